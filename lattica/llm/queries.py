@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.embedding_dedup import embedding_components
 from lattica.llm.ngram_join import ngram_components
+from lattica.llm.quality import quality_scores
+from lattica.llm.toxicity import toxicity_scores
 from lattica.llm.transport import media_features
 
 
@@ -21,9 +23,17 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op6_media_columns, op9_ngram_jaccard_join)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op6_media_columns, op8_toxicity, op9_ngram_jaccard_join, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
