@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a threshold or more.
 
-Documents of equal sets are one class first. Classes that share a band of min-hash values meet in a bucket; every class is
-compared with the bucket's first one, then whatever of a bucket is not yet in one component is compared in blocks of bounded
-size, cut by set size. In a block, signatures of hashed bits bound the overlap from above before sorted arrays are
-intersected exactly. Pairs inside one component are never listed, so groups of copies cost their size and not its square.
+Documents of equal sets are one class first. Classes that share a band of min-hash values meet in a bucket. In a few rounds
+every class is compared with one chosen class of its buckets; then whatever of a bucket is not yet in one component is compared
+in tiles of blocks of bounded size, cut by set size. Hashed signatures thin the tiles out; in a tile, signatures of hashed bits
+bound the overlap from above before sorted arrays are intersected exactly. Pairs inside one component are never listed, so
+groups of copies cost their size and not its square.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from lattica.llm.tables import drop, keep, with_rows_of
 WIDTH, PERCENT = 5, 80
 #: 32 bands of 3: a pair at Jaccard 0.8 misses all with probability (1 - 0.8^3)^32 = 1e-10.
 BANDS, PER_BAND, SEED = 32, 3, 11
-BLOCK, STAR_BLOCK = 64, 256
+BLOCK, STAR_BLOCK, STARS = 256, 256, 2
+#: Rows of a tile go on if so many of the low bytes of their min-hash values agree with another row: six standard deviations
+#: below what a pair at Jaccard 0.8 has of 96.
+AGREE = 53
 
 
 def _sets(batch: pa.RecordBatch, at: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -39,45 +43,79 @@ def _sum(values: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band: int = PER_BAND, seed: int = SEED) -> DataFrame:
-    """(doc_id, n, set_a, set_b, keys): size and 128-bit fingerprint of the set of shingles, and its band keys."""
+    """(doc_id, n, set_a, set_b, keys, signature): size and 128-bit fingerprint of the set of shingles, its band keys, and the low
+    bytes of its min-hash values."""
 
     def run(batches):
         for batch in batches:
             for a, b, h, o, _ in _sets(batch, 1, width):
-                keys = A.band_keys(A.minhash(h, o, bands * per_band, seed), per_band)
+                hashed = A.minhash(h, o, bands * per_band, seed)
+                keys = A.band_keys(hashed, per_band)
                 n = np.diff(o)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(_sum(A.mix(h), o)), pa.array(_sum(A.mix(h * A.U(0x9FB21C651E98DF25)), o)), A.list_array(keys[n > 0].ravel(), ends, pa.int64())], ["doc_id", "n", "set_a", "set_b", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(_sum(A.mix(h), o)), pa.array(_sum(A.mix(h * A.U(0x9FB21C651E98DF25)), o)), A.list_array(keys[n > 0].ravel(), ends, pa.int64()), A.binary_array(hashed.astype(np.uint8), np.arange(b - a + 1) * hashed.shape[1])], ["doc_id", "n", "set_a", "set_b", "keys", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>, signature binary")
 
 
-def links(tiles: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) found in tiles (tile, doc_id, side, comp): rows of side 0 are compared with those of side 1, and those of
-    side 2 with all. Tiles hold at most a few hundred rows. Rows of equal comp are not compared, and two values of comp get one edge a tile.
-    """
-
-    def expand(batches):
-        for batch in batches:
-            for a, b, h, o, _ in _sets(batch, 4, width):
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(4)), A.binary_array(h, o * 8)], ["tile", "doc_id", "side", "comp", "hashes"])
+def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, hashes): sorted sets of the documents in ids (doc_id)."""
 
-    def compare(batches):
-        tile, held = None, []
+    def run(batches):
         for batch in batches:
-            t, d, s, c = (batch.column(k).to_numpy() for k in range(4))
-            sets = batch.column(4)
-            for k in range(batch.num_rows):
-                if t[k] != tile:
-                    yield from _tile(held, percent)
-                    tile, held = t[k], []
-                held.append((int(d[k]), int(s[k]), int(c[k]), np.frombuffer(sets[k].as_buffer(), np.uint64)))
-        yield from _tile(held, percent)
+            for a, b, h, o, _ in _sets(batch, 1, width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), A.binary_array(h, o * 8)], ["doc_id", "hashes"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = with_rows_of(text, tiles, "doc_id").select("tile", "doc_id", "side", "comp", "text")
-    sets = rows.mapInArrow(expand, "tile long, doc_id long, side int, comp long, hashes binary")
-    return sets.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(compare, "a long, b long")
+    return with_rows_of(text, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")
+
+
+def _by_tile(batches, columns: int, tile_of) -> Iterator[pa.RecordBatch]:
+    """Calls tile_of(rows) for the rows of each tile; rows come sorted by tile, the first column."""
+    tile, held = None, []
+    for batch in batches:
+        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
+        for k in range(batch.num_rows):
+            if c[0][k] != tile:
+                yield from tile_of(held)
+                tile, held = c[0][k], []
+            held.append([x[k] for x in c])
+    yield from tile_of(held)
+
+
+def _pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Rows of a tile that row i is to be compared with."""
+    j = np.flatnonzero((comp != comp[i]) & ((side != side[i]) | (side[i] == 2) & (np.arange(len(side)) > i)))
+    return j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
+
+
+def thinned(tiles: DataFrame, signatures: DataFrame, percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
+    """The rows of tiles (tile, doc_id, side, comp) that another row of the tile may be similar to, by size and signature."""
+
+    def tile_of(held):
+        if len(held) < 2:
+            return
+        side, comp, n = (np.array([x[k] for x in held], np.int64) for k in (2, 3, 4))
+        sig = np.stack([np.frombuffer(x[5], np.uint8) for x in held])
+        stay = np.zeros(len(held), bool)
+        for i in np.flatnonzero(side != 1):
+            j = _pairs(side, comp, n, i, percent)
+            j = j[(sig[j] == sig[i]).sum(1) >= agree]
+            stay[j] = True
+            stay[i] |= len(j) > 0
+        if stay.any():
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x, s in zip(held, stay, strict=True) if s], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["tile", "doc_id", "side", "comp"])
+
+    rows = with_rows_of(signatures, tiles, "doc_id").select("tile", "doc_id", "side", "comp", "n", "signature")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _by_tile(b, 6, tile_of), "tile long, doc_id long, side int, comp long")
+
+
+def links(tiles: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) found in tiles (tile, doc_id, side, comp): rows of side 0 are compared with those of side 1, and those of
+    side 2 with all. Tiles hold at most a few hundred rows. Rows of equal comp are not compared, and two values of comp get one edge a tile.
+    """
+    rows = with_rows_of(sets, tiles, "doc_id").select("tile", "doc_id", "side", "comp", "hashes")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _by_tile(b, 5, lambda held: _tile(held, percent)), "a long, b long")
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -93,12 +131,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _tile(held: list, percent: int) -> Iterator[pa.RecordBatch]:
     if len(held) < 2:
         return
-    side, comp = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-    n, sig = np.array([len(x[3]) for x in held]), signatures([x[3] for x in held])
+    side, comp = np.array([x[2] for x in held]), np.array([x[3] for x in held])
+    sets = [np.frombuffer(x[4], np.uint64) for x in held]
+    n, sig = np.array([len(x) for x in sets]), signatures(sets)
     found, done = [], set()
     for i in np.flatnonzero(side != 1):
-        j = np.flatnonzero((comp != comp[i]) & ((side != side[i]) | (side[i] == 2) & (np.arange(len(held)) > i)))
-        j = j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
+        j = _pairs(side, comp, n, i, percent)
         if not len(j):
             continue
         only_i, only_j = np.bitwise_count(sig[i] & ~sig[j]).sum(1), np.bitwise_count(sig[j] & ~sig[i]).sum(1)
@@ -107,14 +145,30 @@ def _tile(held: list, percent: int) -> Iterator[pa.RecordBatch]:
             pair = (comp[i], comp[k])
             if pair in done:
                 continue
-            both = len(np.intersect1d(held[i][3], held[k][3], assume_unique=True))
+            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
             if 100 * both >= percent * (n[i] + n[k] - both):
                 done |= {pair, pair[::-1]}
-                found.append((held[i][0], held[k][0]))
+                found.append((held[i][1], held[k][1]))
     if found:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
 
+def _star(met: DataFrame, turn: int) -> DataFrame:
+    """Tiles of each row of met (key, doc_id, comp) and the class chosen in one of its buckets, the one that it meets most often."""
+    w = Window.partitionBy("key")
+    order = F.struct(*([] if not turn else [F.xxhash64("doc_id", F.lit(turn)).alias("h")]), F.col("doc_id").alias("first"), F.col("comp").alias("at"))
+    other = met.withColumn("x", F.min(order).over(w)).select("doc_id", "comp", "x.first", "x.at").where("comp <> at")
+    best = other.groupBy("doc_id", "comp", "first", "at").agg(F.count("*").alias("k")).groupBy("doc_id", "comp").agg(F.max(F.struct("k", (-F.col("first")).alias("f"), "at")).alias("x"))
+    best = best.select("doc_id", "comp", (-F.col("x.f")).alias("first"), "x.at")
+    blocks = best.join(best.groupBy("first").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("blocks")), "first").select("first", "at", "doc_id", "comp", F.xxhash64("first", F.expr("pmod(xxhash64(doc_id), blocks)")).alias("tile"))
+    centre = blocks.select("tile", F.col("first").alias("doc_id"), F.lit(0).alias("side"), F.col("at").alias("comp")).distinct()
+    return centre.unionByName(blocks.select("tile", "doc_id", F.lit(1).alias("side"), "comp"))
+
+
+def _labelled(met: DataFrame, found: DataFrame) -> DataFrame:
+    return met.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+
+
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -126,35 +180,41 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     same = ["set_a", "set_b", "n"]
     reps = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     members = keep(known.select("doc_id", *same).join(reps, same).select("doc_id", "rep").distinct(), "members")
-    rows = known.join(members.where("doc_id = rep").select("doc_id"), "doc_id").select("doc_id", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    w = Window.partitionBy("key")
-    met = rows.withColumns({"first": F.min("doc_id").over(w), "all": F.count("*").over(w)}).where("all > 1").drop("all")
+    chosen = known.join(members.where("doc_id = rep").select("doc_id"), "doc_id")
+    rows = chosen.select("doc_id", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    met = rows.withColumn("all", F.count("*").over(Window.partitionBy("key"))).where("all > 1").drop("all")
     met = keep(met, "buckets")
+    sets = keep(sets_of(docs, met.select("doc_id").distinct(), width), "sets")
 
-    # each class with the first class of the bucket that it shares most bands with
-    best = met.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("first")).alias("f"))).alias("x")).select("doc_id", (-F.col("x.f")).alias("first"))
-    blocks = best.join(best.groupBy("first").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("blocks")), "first").select("first", "doc_id", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block"))
-    star = lambda doc, side: blocks.select(F.xxhash64("first", "block").alias("tile"), F.col(doc).alias("doc_id"), F.lit(side).alias("side"), F.col(doc).alias("comp"))
-    tiles = keep(star("first", 0).distinct().unionByName(star("doc_id", 1)), "tiles")
-    near = keep(links(tiles, docs, width, percent), "links")
-    found = keep(components(near), "components")
+    near, found = None, None
+    for turn in range(STARS):
+        now = met.withColumn("comp", F.col("doc_id")) if found is None else _labelled(met, found)
+        tiles = keep(_star(now, turn), "tiles")
+        new = keep(links(tiles, sets, percent), "links")
+        drop(tiles)
+        near = new if near is None else near.unionByName(new)
+        found = keep(components(near), "components")
 
     # what a bucket holds beside its largest component, in blocks by size
-    at = met.select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = at.join(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "key")
-    cut = keep(mixed.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "doc_id")) - 1) / BLOCK)), "blocks")
+    at = _labelled(met, found)
+    share = at.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("comps"))
+    mixed = at.join(share.where("comps > 1").select("key", F.col("x.comp").alias("main")), "key").withColumn("stray", F.col("comp") != F.col("main"))
+    cut = keep(mixed.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key", "stray").orderBy("n", "doc_id")) - 1) / BLOCK) * 2 + F.col("stray").cast("int")), "blocks")
     of = cut.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr("bit_xor(xxhash64(doc_id, comp))").alias("mark"), F.count("*").alias("rows"))
     i, j = of.select("key", *(F.col(c).alias(f"{c}_i") for c in of.columns[1:])), of.select("key", *(F.col(c).alias(f"{c}_j") for c in of.columns[1:]))
-    pairs = i.join(j, "key").where(f"block_i <= block_j and most_i * 100 >= {percent} * least_j and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)")
+    pairs = i.join(j, "key").where(f"block_i <= block_j and most_i * 100 >= {percent} * least_j and most_j * 100 >= {percent} * least_i and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)")
     once = pairs.groupBy("mark_i", "mark_j", "rows_i", "rows_j").agg(F.min(F.struct("key", "block_i", "block_j")).alias("x")).select("x.*")
+    once = keep(once, "pairs")
     tile = F.xxhash64("key", "block_i", "block_j").alias("tile")
     left = once.withColumn("block", F.col("block_i")).join(cut, ["key", "block"]).select(tile, "doc_id", F.when(F.col("block_i") == F.col("block_j"), 2).otherwise(0).alias("side"), "comp")
     right = once.where("block_i < block_j").withColumn("block", F.col("block_j")).join(cut, ["key", "block"]).select(tile, "doc_id", F.lit(1).alias("side"), "comp")
-    more = keep(links(keep(left.unionByName(right), "tiles"), docs, width, percent), "links")
+    tiles = keep(left.unionByName(right), "tiles")
+    thin = keep(thinned(tiles, chosen.select("doc_id", "n", "signature"), percent), "thin")
+    more = keep(links(thin, sets, percent), "links")
     final = components(near.unionByName(more)) if more.limit(1).count() else found
     label = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = s.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left")
     out = keep(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
-    for table in (members, met, tiles, cut):
+    for table in (s, members, met, sets, tiles, cut, once, thin):
         drop(table)
     return out

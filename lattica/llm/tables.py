@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of ids that a broadcast may carry; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
 
 
 def folder(spark: SparkSession) -> str:
