@@ -43,6 +43,22 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, eight at a time."""
+    size = end - start
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:-8] = raw
+    eight = np.ndarray((len(raw) + 1,), np.uint64, padded, 0, (1,))
+    h = mix(size.astype(np.uint64) * _BASE ^ (eight[start] & _KEEP[np.minimum(size, 8)]))
+    at, done = np.flatnonzero(size > 8), 8
+    while len(at):
+        left = size[at] - done
+        h[at] = mix(h[at] * _MIX2 ^ (eight[start[at] + done] & _KEEP[np.minimum(left, 8)]))
+        done += 8
+        at = at[left > 8]
+    return h
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each, so that temporaries stay small; a longer row is a range of its own."""
     row, rows = 0, len(offsets) - 1
@@ -81,18 +97,7 @@ class Words:
         """A 64-bit hash of each lower-cased word."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        padded = np.zeros(len(self.raw) + 8, np.uint8)
-        padded[:-8] = LOWER[self.raw]
-        eight = np.ndarray((len(self.raw) + 1,), np.uint64, padded, 0, (1,))
-        h = mix(size.astype(np.uint64) * _BASE ^ (eight[self.start] & _KEEP[np.minimum(size, 8)]))
-        at, done = np.flatnonzero(size > 8), 8
-        while len(at):
-            left = size[at] - done
-            h[at] = mix(h[at] * _MIX2 ^ (eight[self.start[at] + done] & _KEEP[np.minimum(left, 8)]))
-            done += 8
-            at = at[left > 8]
-        return h
+        return span_hashes(LOWER[self.raw], self.start, self.end)
 
 
 def shingles(word_hash: np.ndarray, word_row: np.ndarray, count: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ confidence bound; only pairs whose bound reaches the threshold are computed exac
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ def plan(vectors: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-agree))
 
 
+@lru_cache(8)
 def rotations(dim: int, n: int, seed: int = SEED) -> np.ndarray:
     """n random rotations side by side, (dim, n * dim)."""
     rng = np.random.Generator(np.random.PCG64([seed, dim]))
