@@ -1,13 +1,56 @@
-"""Corpus cleaning in stages; each works on all rows that the one before it kept."""
+"""Corpus cleaning in stages; each works on all rows that the one before it kept, and all but the last return documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm import bpe, mixing, ngram_join, passages, quality
+from lattica.llm.queries import ranks, table
+from lattica.llm.tables import folder
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
+    groups = ngram_join.ngram_components(docs)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    marked = gone.withColumn("_gone", F.lit(True))
+    small = gone.limit(1_000_001).count() <= 1_000_000
+    return docs.join(F.broadcast(marked) if small else marked, "doc_id", "left").where("_gone is null").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of passages that repeat."""
+    return passages.without_repeats(docs, passages.repeated_passages(docs))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A mix of nine tenths of the tokens, in which large leaves weigh less than in proportion; no document occurs twice."""
+    return mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))), share=0.9, epochs=1, alpha=0.7).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of each document, and hashes of its ids and of what they decode to."""
+    return bpe.token_digests(docs, ranks())
+
+
+STAGES = [("quality", quality_filter), ("near_copies", near_copies), ("passages", repeated_passages), ("mixing", mixed_sources), ("tokens", tokens)]
+#: Several stages cannot be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lattica.llm import bpe, mixing
 from lattica.llm.embedding_dedup import embedding_components
 from lattica.llm.ngram_join import ngram_components
+from lattica.llm.passages import repeated_passages
 from lattica.llm.quality import quality_scores
 from lattica.llm.toxicity import toxicity_scores
 from lattica.llm.transport import media_features
@@ -19,6 +25,27 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+@lru_cache(1)
+def ranks() -> bpe.Ranks:
+    return bpe.Ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), ranks())
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens: domains alike, half English, a fifth German and French each, a tenth Spanish; two epochs at most."""
+    docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
+    domains = [f"d{k}" for k in range(3)]
+    weights = {(d,): 1.0 for d in domains} | {(d, lang): w for d in domains for lang, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))}
+    return mixing.mix(docs, 0.5, weights, 2).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
@@ -35,5 +62,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op6_media_columns, op8_toxicity, op9_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_byte_level_bpe, op4_source_mixing, op6_media_columns, op8_toxicity, op9_ngram_jaccard_join, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
