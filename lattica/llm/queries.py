@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe, mixing
 from lattica.llm.embedding_dedup import embedding_components
+from lattica.llm.language_model import language_model_scores
+from lattica.llm.licenses import license_scan
 from lattica.llm.ngram_join import ngram_components
 from lattica.llm.passages import repeated_passages
 from lattica.llm.quality import quality_scores
@@ -46,10 +48,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, 0.5, weights, 2).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,5 +72,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_byte_level_bpe, op4_source_mixing, op6_media_columns, op8_toxicity, op9_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_byte_level_bpe, op4_source_mixing, op5_language_model, op6_media_columns, op7_license_scan, op8_toxicity, op9_ngram_jaccard_join, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
