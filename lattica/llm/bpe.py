@@ -23,7 +23,7 @@ from lattica.llm.tables import drop, keep
 
 #: Most words of the table that executors get, about 20 bytes each; and most bytes of a word that is folded.
 TABLE_WORDS, FOLD_BYTES = 2_000_000, 96
-BUCKETS = 131_071
+BUCKETS = 32_749
 BATCH_BYTES = 2 << 20
 # What may follow an apostrophe as a word of its own.
 SHORT_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -105,14 +105,20 @@ class Ranks:
                 if a is not None and b is not None:
                     pair = a << 16 | b
                     buckets[pair * 7919 % BUCKETS].append(pair << 16 | rank)
-        self.width = max(map(len, buckets))
-        self.pairs = json.dumps([x for held in buckets for x in held + [-1] * (self.width - len(held))], separators=(",", ":"))
+        at, places = 0, []
+        for held in buckets:
+            places.append(at << 8 | len(held))
+            at += len(held)
+        self.pairs = json.dumps([x for held in buckets for x in held], separators=(",", ":"))
+        self.places = json.dumps(places, separators=(",", ":"))
 
     def pair_rank(self, pair: Column) -> Column:
-        """The rank of two neighbours joined, or null; pair: both ids in one number. The literal has buckets of one width, of pairs and ranks."""
-        table = F.from_json(F.lit(self.pairs), "array<bigint>")
-        bucket = F.slice(table, (F.pmod(pair * 7919, F.lit(BUCKETS)) * self.width + 1).cast("int"), F.lit(self.width))
-        return F.get(F.filter(bucket, lambda x: F.shiftright(x, 16) == pair), F.lit(0)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        """The rank of two neighbours joined, or null; pair: both ids in one number. One literal has pairs and ranks by bucket, the
+        other where each bucket begins and how many it holds."""
+        pairs, places = F.from_json(F.lit(self.pairs), "array<bigint>"), F.from_json(F.lit(self.places), "array<int>")
+        place = F.array(F.get(places, F.pmod(pair * 7919, F.lit(BUCKETS)).cast("int")))
+        found = F.transform(place, lambda x: F.filter(F.slice(pairs, F.shiftright(x, 8) + 1, x.bitwiseAND(F.lit(255))), lambda y: F.shiftright(y, 16) == pair))
+        return F.get(F.get(found, F.lit(0)), F.lit(0)).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
     def fold(self, word: Column) -> Column:
         """array<int> of ids: the lowest-ranked neighbours, leftmost first, are merged until none can be.
