@@ -101,8 +101,8 @@ def folded(graph: Graph, centre: str, root: str = "", threshold: int = GROUP_THR
 def class_edges(store) -> tuple[DataFrame, DataFrame]:
     """Edges from derived to base classes and their nodes; bases that nothing defines are external."""
     b = store._base_edges(store.bases)
-    e = b.select(F.col("symbol_id").alias("src"), F.coalesce("base_id", F.concat(F.lit("ext:"), "base")).alias("dst"), F.lit(1).cast("long").alias("count"), F.lit(0).alias("line"))
-    n = store.symbols.select("id", F.col("name").alias("label"), F.lit("class").alias("kind"), F.col("path").alias("dir"))
+    e = b.select(F.col("symbol_id").cast("string").alias("src"), F.coalesce(F.col("base_id").cast("string"), F.concat(F.lit("ext:"), "base")).alias("dst"), F.lit(1).cast("long").alias("count"), F.lit(0).alias("line"))
+    n = store.symbols.select(F.col("id").cast("string").alias("id"), F.col("name").alias("label"), F.lit("class").alias("kind"), F.col("path").alias("dir"))
     return e, n
 
 
