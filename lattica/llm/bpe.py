@@ -187,20 +187,21 @@ def word_counts(docs: DataFrame, longest: int = FOLD_BYTES) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, off = A.string_bytes(batch.column(0))
-            hs, ns, starts, ends = [], [], [], []
-            for a, b in A.slices(off):
-                start, end, _ = pieces(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                fit = end - start <= longest
-                start, end = start[fit], end[fit]
-                h, at, n = np.unique(A.span_hashes(raw[off[a] : off[b]], start, end), return_index=True, return_counts=True)
-                hs.append(h), ns.append(n), starts.append(start[at] + off[a]), ends.append(end[at] + off[a])
-            if not hs:
-                continue
-            n, starts, ends = np.concatenate(ns), np.concatenate(starts), np.concatenate(ends)
-            h, at, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
-            total = np.bincount(back, n, len(h)).astype(np.int64)
-            data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string()), pa.array(total)], ["word", "n"])
+            for part in A.slices(off, 16 << 20):
+                yield from count(raw, off[part[0] : part[1] + 1])
+
+    def count(raw, off):
+        hs, ns, starts, ends = [], [], [], []
+        for a, b in A.slices(off):
+            start, end, _ = pieces(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+            fit = end - start <= longest
+            start, end = start[fit], end[fit]
+            h, at, n = np.unique(A.span_hashes(raw[off[a] : off[b]], start, end), return_index=True, return_counts=True)
+            hs.append(h), ns.append(n), starts.append(start[at] + off[a]), ends.append(end[at] + off[a])
+        n, starts, ends = np.concatenate(ns), np.concatenate(starts), np.concatenate(ends)
+        h, at, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+        total = np.bincount(back, n, len(h)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([raw[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string()), pa.array(total)], ["word", "n"])
 
     return _text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -250,6 +251,11 @@ def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 16-bit integers, of each row of docs (doc_id, text). Null texts count as
     empty and give no ids. Rows stay as many as they are; other columns are ignored.
     """
+    return _encoded(docs, ranks, most, lambda batches: batches, "doc_id long, ids binary")
+
+
+def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> DataFrame:
+    """Rows of encode() that `then` makes batches of `schema` from, in the same Python worker."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(word_table(docs, ranks, most))
     vocabulary = spark.sparkContext.broadcast(ranks.ranks)
@@ -283,10 +289,10 @@ def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
 
     def filled(batches):
         table = vocabulary.value
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             out = []
-            for raw, tail, long in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.int32)
+            for raw, tail, long in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                ids, long = np.frombuffer(raw.as_buffer(), np.int32), long.as_py()
                 hole = np.flatnonzero(ids < 0)
                 if len(hole):
                     lists = tail.values
@@ -307,35 +313,40 @@ def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
 
     rows = _text(docs).mapInArrow(known, "doc_id long, ids binary, tail array<string>, long array<binary>")
     rows = rows.select("doc_id", "ids", F.transform("tail", ranks.fold).alias("tail"), "long")
-    return rows.mapInArrow(filled, "doc_id long, ids binary")
+    return rows.mapInArrow(lambda batches: then(filled(batches)), schema)
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     """Adds `bytes` to (doc_id, ids): the pieces of the ids, one after another. Null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks.ranks)
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, shared.value), "doc_id long, ids binary, bytes binary")
 
-    def run(batches):
-        table = sorted(shared.value.items(), key=lambda x: x[1])
-        places = np.full(table[-1][1] + 2, 0, np.int64)
-        places[np.array([r for _, r in table]) + 1] = [len(t) for t, _ in table]
-        places, data = np.cumsum(places), np.frombuffer(b"".join(t for t, _ in table), np.uint8)
-        for batch in batches:
-            out, held, first = [], 0, 0
-            for k, raw in enumerate(batch.column(1).to_pylist()):
-                out.append(None if raw is None else data[_ragged(places, np.frombuffer(raw, "<u2").astype(np.int64))].tobytes())
-                held += len(out[-1] or b"")
-                if held > BATCH_BYTES or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(first, len(out)) for c in batch.columns), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
-                    first, out, held = first + len(out), [], 0
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+def _decoded(batches, ranks: dict[bytes, int]):
+    table = sorted(ranks.items(), key=lambda x: x[1])
+    places = np.full(table[-1][1] + 2, 0, np.int64)
+    places[np.array([r for _, r in table]) + 1] = [len(t) for t, _ in table]
+    places, data = np.cumsum(places), np.frombuffer(b"".join(t for t, _ in table), np.uint8)
+    for batch in batches:
+        out, held, first = [], 0, 0
+        for k in range(batch.num_rows):
+            raw = batch.column(1)[k].as_buffer()
+            out.append(None if raw is None else data[_ragged(places, np.frombuffer(raw, "<u2").astype(np.int64))].tobytes())
+            held += len(out[-1] or b"")
+            if held > BATCH_BYTES or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(out)) for c in batch.columns), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
+                first, out, held = first + len(out), [], 0
 
 
-def token_digests(docs: DataFrame, ranks: Ranks) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: hashes of the ids as 32-bit integers and of what they decode to."""
+def token_digests(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: hashes of the ids as 32-bit integers and of what they decode to.
 
-    def run(batches):
-        for batch in batches:
+    Decoding and hashing run in the worker that encodes, so that texts need not leave it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks.ranks)
+
+    def digests(batches):
+        for batch in _decoded(batches, shared.value):
             n, ids, text = [], [], []
             for raw, back in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n.append(len(raw) // 2)
@@ -343,4 +354,4 @@ def token_digests(docs: DataFrame, ranks: Ranks) -> DataFrame:
                 text.append(hashlib.sha256(back).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode(encode(docs, ranks), ranks).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, ranks, most, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
