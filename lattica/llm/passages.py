@@ -37,8 +37,10 @@ def cut_pieces(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
     return piece, np.flatnonzero(np.concatenate([[True], ends[:-1]]))
 
 
-def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, no, start, stop, words, fp, keys) of each piece of `width` words or more; start and stop are bytes."""
+def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> DataFrame:
+    """(doc_id, no, start, stop, words, fp) of each piece of `width` words or more; start and stop are bytes. banded_only: (fp, keys)
+    of the pieces that are banded.
+    """
 
     def run(batches):
         for batch in batches:
@@ -53,23 +55,24 @@ def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 h, o = A.distinct_sets(*A.shingles(w.hashes(), piece, count, width), len(count))
                 n = np.diff(o)
                 fp = _sum(A.mix(h), o) ^ n
-                take = np.flatnonzero(count >= width)
+                take = np.flatnonzero((count >= width) & ((n >= BANDED) | (not banded_only)))
                 row = w.row[first]
                 no = np.arange(len(first)) - np.searchsorted(row, row)
-                banded = n[take] >= BANDED
-                picked = take[banded]
-                flat = np.concatenate([h[o[k] : o[k + 1]] for k in picked]) if len(picked) else np.zeros(0, np.uint64)
-                keys = A.band_keys(A.minhash(flat, np.concatenate([[0], np.cumsum(n[picked])]), BANDS * PER_BAND, SEED), PER_BAND)
-                ends = np.concatenate([[0], np.cumsum(np.where(banded, BANDS, 0))])
+                if banded_only:
+                    take = take[np.unique(fp[take], return_index=True)[1]]
+                    flat = np.concatenate([h[o[k] : o[k + 1]] for k in take]) if len(take) else np.zeros(0, np.uint64)
+                    keys = A.band_keys(A.minhash(flat, np.concatenate([[0], np.cumsum(n[take])]), BANDS * PER_BAND, SEED), PER_BAND)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[take]), A.list_array(keys.ravel(), np.arange(len(take) + 1) * BANDS, pa.int64())], ["fp", "keys"])
+                    continue
                 base = off[a] - off[a:b]
                 stop = w.end[first + count - 1]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take]), A.list_array(keys.ravel(), ends, pa.int64())],
-                    ["doc_id", "no", "start", "stop", "words", "fp", "keys"],
+                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take])],
+                    ["doc_id", "no", "start", "stop", "words", "fp"],
                 )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return text.mapInArrow(run, "doc_id long, no int, start long, stop long, words int, fp long, keys array<long>")
+    return text.mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, no int, start long, stop long, words int, fp long")
 
 
 def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -97,9 +100,10 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     texts and rows whose doc_id is null. Rows repeated whole count as copies of the first in ties. Other columns are ignored.
     """
     p = keep(pieces(docs, width), "pieces")
-    near = p.where("size(keys) > 0").select("fp", F.explode(F.array_distinct("keys")).alias("key"))
-    low = near.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    pairs = keep(near.join(low, "key").where("fp <> low").select("fp", "low").distinct(), "pairs")
+    near = pieces(docs, width, True).select("fp", F.explode(F.array_distinct("keys")).alias("key"))
+    w = Window.partitionBy("key")
+    met = near.withColumn("low", F.min("fp").over(w)).where("fp <> low")
+    pairs = keep(met.select("fp", "low").distinct(), "pairs")
     ids = pairs.select("fp").union(pairs.select("low")).distinct()
     stats = keep(p.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes")
     places = keep(stats.join(ids, "fp").select("fp", "at.doc_id", "at.start", "at.stop"), "places")
@@ -110,7 +114,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     found = keep(components(edges).withColumnRenamed("node", "fp"), "components")
     classed = stats.join(found, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("class_id"))
     many = classed.groupBy("class_id").agg(F.sum("n").alias("all")).where("all > 1").select("class_id")
-    flagged = p.drop("keys").join(classed.join(many, "class_id").select("fp", "class_id"), "fp")
+    flagged = p.join(classed.join(many, "class_id").select("fp", "class_id"), "fp")
     doc = Window.partitionBy("doc_id").orderBy("no", "start")
     runs = flagged.withColumn("new", (F.col("no") - F.lag("no").over(doc) > 2).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(doc))
     long = keep(runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(f"total >= {run_words}").select("doc_id", "start", "stop", "words", "class_id"), "runs")
