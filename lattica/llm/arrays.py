@@ -20,7 +20,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Masks of the first n bytes of a little-endian word.
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,14 +31,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The column's UTF-8 bytes and row offsets; null counts as empty."""
+    """The column's UTF-8 bytes and row offsets; null counts as empty. Memory that Arrow no longer needs goes back first."""
+    pa.default_memory_pool().release_unused()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    off = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
     return raw, off - off[0]
 

@@ -20,6 +20,8 @@ from lattica.llm.tables import keep
 #: Words with ids; training documents that the network is fitted on (counts cover all).
 WORDS, FIT_DOCUMENTS = 4_096, 1_500
 HIDDEN, CLASSES, WINDOW, STREAMS, EPOCHS, RATE, SEED = 24, 64, 32, 96, 2, 0.01, 53
+#: Tokens of a scoring window over all documents in step.
+TOKENS = 16_384
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -130,10 +132,14 @@ class Recurrent:
         out, h = np.zeros(len(docs)), np.zeros((len(docs), self.hidden), np.float32)
         flat = np.concatenate([docs[k] for k in order]) if len(docs) else np.zeros(0, np.int64)
         first, long = np.cumsum(size[order]) - size[order], size[order]
-        for at in range(0, int(size.max(initial=0)), window):
-            hs, ys, who = [], [], []
-            for t in range(at, min(at + window, int(long[0]))):
+        at, most = 0, int(size.max(initial=0))
+        while at < most:
+            hs, ys, who, held = [], [], [], 0
+            for t in range(at, min(at + window, most)):
                 m = int(np.searchsorted(-long, -t, "left"))
+                if held and held + m > TOKENS:
+                    break
+                held, at = held + m, t + 1
                 x = flat[first[:m] + t - 1] if t else np.full(m, begin)
                 h[:m] = self.step(x, h[:m])[0]
                 hs.append(h[:m].copy())

@@ -21,7 +21,7 @@ CRC_POLYNOMIAL = 0x04C11DB7
 PMT_PID, ES_PID, PROGRAM = 0x100, 0x101, 1
 #: Bytes of payload in a PES packet; the clock ticks between two; every how many is marked as random-access point.
 UNIT_BYTES, TICKS, ACCESS_EVERY = 16_384, 3_600, 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, ROWS = 4 << 20, 512
 
 
 def _crc_table() -> list[int]:
@@ -185,6 +185,14 @@ def demux(media: bytes) -> Stream:
     return found
 
 
+def _parts(batches):
+    """Batches in parts of a few hundred rows, so that few rows are Python objects at a time."""
+    for whole in batches:
+        pa.default_memory_pool().release_unused()
+        for at in range(0, whole.num_rows, ROWS):
+            yield whole.slice(at, ROWS)
+
+
 def transport_streams(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text (null: empty) as UTF-8, padded with zeros to a positive multiple of 64 bytes, as a stream.
 
@@ -192,7 +200,7 @@ def transport_streams(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             ids, sizes, media, held = [], [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (t or "").encode()
@@ -221,14 +229,12 @@ def read_streams(media: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{c}` {dict(media.dtypes)[c]}" for c in [*names, "media"]) + f", payload binary, units {UNITS}, found struct<packets: int, program: int, pid: int, stream_type: int, continuity_errors: int, sync_errors: int, crc_errors: int>"
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                got = [demux(x or b"") for x in batch.column(len(names)).to_pylist()]
-                units = pa.array([[{"pts": u.pts, "random_access": u.random_access, "size": u.size} for u in s.units] for s in got], pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())])))
-                kinds = [(k, pa.int32()) for k in ("packets", "program", "pid", "stream_type", "continuity_errors", "sync_errors", "crc_errors")]
-                facts = pa.array([{"packets": s.packets, "program": s.program, "pid": (s.streams or [(None, None)])[0][0], "stream_type": (s.streams or [(None, None)])[0][1], "continuity_errors": s.continuity_errors, "sync_errors": s.sync_errors, "crc_errors": s.crc_errors} for s in got], pa.struct(kinds))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.payload for s in got], pa.binary()), units, facts], [*batch.schema.names, "payload", "units", "found"])
+        for batch in _parts(batches):
+            got = [demux(x or b"") for x in batch.column(len(names)).to_pylist()]
+            units = pa.array([[{"pts": u.pts, "random_access": u.random_access, "size": u.size} for u in s.units] for s in got], pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())])))
+            kinds = [(k, pa.int32()) for k in ("packets", "program", "pid", "stream_type", "continuity_errors", "sync_errors", "crc_errors")]
+            facts = pa.array([{"packets": s.packets, "program": s.program, "pid": (s.streams or [(None, None)])[0][0], "stream_type": (s.streams or [(None, None)])[0][1], "continuity_errors": s.continuity_errors, "sync_errors": s.sync_errors, "crc_errors": s.crc_errors} for s in got], pa.struct(kinds))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.payload for s in got], pa.binary()), units, facts], [*batch.schema.names, "payload", "units", "found"])
 
     return media.select(*names, "media").mapInArrow(run, schema)
 
@@ -240,7 +246,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     rows = read_streams(transport_streams(docs))
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             out = []
             for payload, media, units, found in zip(c["payload"].to_pylist(), c["media"].to_pylist(), c["units"].to_pylist(), c["found"].to_pylist(), strict=True):
