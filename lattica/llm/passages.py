@@ -4,6 +4,10 @@ Texts are cut at line ends and sentence ends into paragraphs' pieces of five wor
 middle of a line is still found. Pieces with equal sets of word shingles are one class; longer pieces are also banded by
 min-hash, colliding ones verified by exact Jaccard similarity, and joined to components. Runs of repeated pieces that are long
 enough count as repeated passages; of each class the first piece stays and the others are to be removed.
+
+Stretches of 50 words and more that stand elsewhere word by word are found exactly, wherever sentences and lines end. The least
+hash of the short windows inside a long one is its anchor; equal long windows have equal anchors, so only those whose anchor
+occurs twice are compared, and each repeated one points at its first place.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.components import components
-from lattica.llm.ngram_join import PERCENT, WIDTH, _sum, links
+from lattica.llm.ngram_join import PERCENT, WIDTH, _by_tile, _sum, links
 from lattica.llm.tables import drop, keep, with_rows_of
 
 #: A run of repeated pieces counts from so many words on; pieces of so many shingles are banded.
@@ -23,6 +27,10 @@ RUN_WORDS, BANDED = 25, 9
 #: A pair at Jaccard 0.8 misses all bands with probability (1 - 0.8^3)^10 = 8e-4, one at 0.9 with 2e-6.
 BANDS, PER_BAND, SEED = 10, 3, 41
 BLOCK = 256
+#: Words of the windows that are compared exactly, and of the windows that their anchors are chosen from.
+EXACT_WORDS, ANCHOR_WORDS = 50, 16
+#: Bits of the table of repeated anchors: eight an anchor, within these powers of two. A full table only lets more windows through.
+FEWEST_BITS, MOST_BITS = 16, 29
 
 
 def cut_pieces(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +46,8 @@ def cut_pieces(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> DataFrame:
-    """(doc_id, no, start, stop, words, fp) of each piece of `width` words or more; start and stop are bytes. banded_only: (fp, keys)
-    of the pieces that are banded.
+    """(doc_id, no, start, stop, words, fp, prev, gap) of each piece of `width` words or more; start and stop are bytes, prev is the
+    no of the one before it (-1 if none) and gap a hash of the shorter pieces between. banded_only: (fp, keys) of those banded.
     """
 
     def run(batches):
@@ -65,14 +73,18 @@ def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(fp[take]), A.list_array(keys.ravel(), np.arange(len(take) + 1) * BANDS, pa.int64())], ["fp", "keys"])
                     continue
                 base = off[a] - off[a:b]
+                place = np.arange(len(count)) - np.maximum.accumulate(np.where(count >= width, np.arange(len(count)), -1))
+                short = np.where(count < width, A.mix(fp.view(np.uint64) + A.mix(place.astype(np.uint64))), A.U(0))
+                gap = _sum(short, np.append(np.concatenate([[0], take[:-1]]), take[-1])) if len(take) else np.zeros(0, np.int64)
+                prev = np.where(np.concatenate([[False], row[take[1:]] == row[take[:-1]]]), np.concatenate([[-1], no[take[:-1]]]), -1) if len(take) else gap
                 stop = w.end[first + count - 1]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take])],
-                    ["doc_id", "no", "start", "stop", "words", "fp"],
+                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take]), pa.array(prev.astype(np.int32)), pa.array(gap)],
+                    ["doc_id", "no", "start", "stop", "words", "fp", "prev", "gap"],
                 )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return text.mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, no int, start long, stop long, words int, fp long")
+    return text.mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, no int, start long, stop long, words int, fp long, prev int, gap long")
 
 
 def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -92,13 +104,138 @@ def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
     return with_rows_of(text, places, "doc_id").select("fp", "start", "stop", "text").mapInArrow(run, "doc_id long, hashes binary")
 
 
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` neighbouring values of h."""
+    size, out, at = 1, None, 0
+    while True:
+        if width & size:
+            out = h if out is None else A.mix(out[: len(h) - at] * A._MIX1 + h[at:])
+            at += size
+        if size * 2 > width:
+            return out
+        h = A.mix(h[:-size] * A._MIX2 + h[size:])
+        size *= 2
+
+
+def slide(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """f, the least or the greatest, of each `width` neighbouring values of x."""
+    size = 1
+    while size * 2 <= width:
+        x, size = f(x[:-size], x[size:]), size * 2
+    return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def _anchored(batch: pa.RecordBatch, width: int, part: int):
+    """(first row, words, whether each window of `width` words is inside a row, their anchors, word hashes, hashes of the parts)."""
+    raw, off = A.string_bytes(batch.column(0))
+    for a, b in A.slices(off):
+        w = A.Words(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+        h = w.hashes()
+        if len(h) >= width:
+            g = windows(h, part)
+            yield a, w, w.row[: len(h) - width + 1] == w.row[width - 1 :], slide(np.minimum, g, width - part + 1), h, g
+
+
+def _bitmap(hot: DataFrame) -> np.ndarray:
+    """A table of bits, one set for each v of hot, at its highest bits."""
+    bits = min(max(FEWEST_BITS, (8 * hot.count()).bit_length()), MOST_BITS)
+    at = F.shiftrightunsigned("v", 64 - bits)
+    rows = hot.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(v, {64 - bits}) & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
+    return out
+
+
+def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR_WORDS) -> DataFrame:
+    """Stretches of docs (doc_id, text) of which each `width` words stand elsewhere too, in the columns of repeated_passages.
+
+    A stretch is cut where the first places of its windows do not follow each other. Those that are first places themselves are
+    kept; class_id names the kept stretch that a stretch is inside of, so of each repeated window one place is kept.
+    """
+    text = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    text = text.withColumn("key", F.xxhash64("text"))
+
+    def anchors(batches):
+        for batch in batches:
+            for _, _, inside, least, _, g in _anchored(batch, width, part):
+                pad = np.zeros(width - part, np.uint64)
+                most = slide(np.maximum, np.concatenate([pad, np.where(inside, least, A.U(0)), pad]), width - part + 1)
+                v, n = np.unique(g[g == most], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], ["v", "n"])
+
+    hot = keep(text.select("text").mapInArrow(anchors, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "anchors")
+    table = _bitmap(hot)
+    drop(hot)
+    shift, shared = A.U(64 - (len(table) * 64 - 1).bit_length()), docs.sparkSession.sparkContext.broadcast(table)
+
+    def places(batches):
+        for batch in batches:
+            for a, w, inside, least, h, _ in _anchored(batch, width, part):
+                bit = least >> shift
+                at = np.flatnonzero(inside & ((shared.value[bit >> A.U(6)] >> (bit & A.U(63)) & A.U(1)) > 0))
+                if not len(at):
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (w.row[at[1:]] != w.row[at[:-1]])]))
+                o, x, first = np.append(new, len(at)), windows(h, width)[at], at[new]
+                of, row = np.repeat(first, np.diff(o)), w.row[first]
+                base = w.offsets[row]
+                place = np.arange(len(at)) - np.repeat(new, np.diff(o))
+                cid = _sum(A.mix(x + A.mix(place.astype(np.uint64))), o)
+                cols = [pa.array(least[first].view(np.int64)), pa.array(cid), batch.column(1).take(pa.array(row + a)), batch.column(2).take(pa.array(row + a)), pa.array(first - np.searchsorted(w.row, row)), pa.array(w.start[first] - base)]
+                cols += [A.binary_array(x, o * 8), A.list_array(w.start[at] - w.start[of], o, pa.int32()), A.list_array(w.end[at + width - 1] - w.start[of], o, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["v", "cid", "doc_id", "key", "pos", "base", "windows", "starts", "stops"])
+
+    found = keep(text.mapInArrow(places, "v long, cid long, doc_id long, key long, pos long, base long, windows binary, starts array<int>, stops array<int>"), "places")
+    same = found.groupBy("v", "cid").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n"), F.first("windows").alias("windows"))
+    same = same.select("v", "cid", "at.doc_id", "at.pos", "n", "windows")
+
+    def firsts(held):
+        if not held or len(held) == 1 and held[0][4] == 1 and len(held[0][5]) == 8:
+            return
+        x = [np.frombuffer(r[5], np.uint64) for r in held]
+        size = np.array([len(r) for r in x])
+        row, o = np.repeat(np.arange(len(held)), size), np.concatenate([np.arange(k) for k in size])
+        doc, pos, n = (np.array([r[k] for r in held], np.int64)[row] for k in (2, 3, 4))
+        _, inv = np.unique(np.concatenate(x), return_inverse=True)
+        order = np.lexsort((pos + o, doc, inv))
+        lead = order[np.searchsorted(inv[order], inv)]
+        at = np.flatnonzero(np.bincount(inv, n)[inv] > 1)
+        if not len(at):
+            return
+        first_doc, first_pos = doc[lead[at]], (pos + o)[lead[at]]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row[at]) != 0) | (np.diff(first_doc) != 0) | (np.diff(first_pos) != 1)]))
+        cols = [np.array([r[1] for r in held], np.int64)[row[at[new]]], o[at[new]], np.diff(np.append(new, len(at))), first_doc[new], first_pos[new]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cid", "o", "n", "first_doc", "first_pos"])
+
+    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(lambda b: _by_tile(b, 6, firsts), "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
+    met = with_rows_of(found.drop("v", "windows"), parts, "cid")
+    place = F.col("pos") + F.col("o")
+    met = met.select("doc_id", "key", place.alias("pos"), "n", (F.col("base") + F.expr("starts[int(o)]")).alias("start"), (F.col("base") + F.expr("stops[int(o + n - 1)]")).alias("stop"), "first_doc", "first_pos")
+    met = met.groupBy(*met.columns).agg(F.count("*").alias("rows"))  # rows repeated whole
+    w = Window.partitionBy("doc_id", "key").orderBy("pos")
+    follows = (F.lag(F.col("pos") + F.col("n")).over(w) == F.col("pos")) & (F.lag("first_doc").over(w) == F.col("first_doc")) & (F.lag(F.col("first_pos") + F.col("n")).over(w) == F.col("first_pos"))
+    runs = met.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    runs = runs.groupBy("doc_id", "key", "run").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc"), F.min("first_pos").alias("first_pos"), F.max("rows").alias("rows"))
+    runs = runs.withColumn("kept", (F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))
+    name = F.last(F.when(F.col("kept"), F.xxhash64("doc_id", "pos", F.lit(width))), True)
+    classed = runs.withColumn("class_id", name.over(Window.partitionBy("first_doc").orderBy("first_pos", F.desc("kept")).rowsBetween(Window.unboundedPreceding, 0)))
+    out = classed.withColumn("copies", F.sum("rows").over(Window.partitionBy("first_doc", "class_id")))
+    out = keep(out.select("doc_id", "start", "stop", (F.col("n") + width - 1).cast("int").alias("words"), "class_id", "first_doc", "copies", "kept"), "exact")
+    for kept in (found, parts):
+        drop(kept)
+    shared.destroy()
+    return out
+
+
 def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, run_words: int = RUN_WORDS) -> DataFrame:
     """The pieces of repeated passages of docs (doc_id, text): (doc_id, start, stop, words, class_id, first_doc, copies, kept).
+    Besides, in the same columns, the stretches that exact_passages finds; they may overlap pieces.
 
     start and stop are byte offsets; class_id names the component of similar pieces, first_doc the document with its first
     piece, which is kept; copies counts the class. Documents without a repeated passage have no row; so have null or empty
     texts and rows whose doc_id is null. Rows repeated whole count as copies of the first in ties. Other columns are ignored.
     """
+    exact = exact_passages(docs)
     p = keep(pieces(docs, width), "pieces")
     near = pieces(docs, width, True).select("fp", F.explode(F.array_distinct("keys")).alias("key"))
     w = Window.partitionBy("key")
@@ -116,12 +253,16 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     many = classed.groupBy("class_id").agg(F.sum("n").alias("all")).where("all > 1").select("class_id")
     flagged = p.join(classed.join(many, "class_id").select("fp", "class_id"), "fp")
     doc = Window.partitionBy("doc_id").orderBy("no", "start")
-    runs = flagged.withColumn("new", (F.col("no") - F.lag("no").over(doc) > 2).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(doc))
+    after = flagged.withColumn("was", F.lag("no").over(doc)).withColumn("far", F.coalesce(F.col("no") - F.col("was") > 2, F.lit(False)))
+    # short pieces between two repeated ones do not end a run where the same ones stand between the same two elsewhere
+    after = after.withColumn("bridge", F.when(F.col("far") & (F.col("prev") == F.col("was")), F.xxhash64(F.lag("class_id").over(doc), "class_id", "gap")).otherwise(F.xxhash64("doc_id", "no", "start")))
+    after = after.withColumn("same", F.count("*").over(Window.partitionBy("bridge")))
+    runs = after.withColumn("new", (F.col("far") & ~((F.col("prev") == F.col("was")) & (F.col("same") > 1))).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(doc))
     long = keep(runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(f"total >= {run_words}").select("doc_id", "start", "stop", "words", "class_id"), "runs")
     first = long.groupBy("class_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     out = long.join(first, "class_id").select("doc_id", "start", "stop", "words", "class_id", F.col("first.doc_id").alias("first_doc"), "copies", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
-    out = keep(out, "result")
-    for table in (p, pairs, stats, places, sets, edges):
+    out = keep(out.unionByName(exact), "result")
+    for table in (exact, p, pairs, stats, places, sets, edges):
         drop(table)
     return out
 

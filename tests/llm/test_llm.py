@@ -150,6 +150,44 @@ def test_passages(spark, docs):
     assert not passages.repeated_passages(empty(spark)).count()
 
 
+def test_passages_bridge_short_pieces(spark):
+    """Two sentences of 14 words with short ones between: one run of over 25 words if the short ones are the same."""
+    a, b = (" ".join(f"{x}{k}" for k in range(14)) + "." for x in "pq")
+    rows = [(1, f"Intro one. {a} Oh yes. Oh no. Go on. {b}"), (2, f"{a} Oh yes. Oh no. Go on. {b} End."), (3, f"{a} Not this. Nor that. Stop it. {b}")]
+    got = Counter(r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {1: 2, 2: 2}
+
+
+def test_exact_passages(spark):
+    """Against brute force over all windows of 50 words: no ends of sentences, cut ones, short ones, loops, repeats in one text."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    plain, short = [word() for _ in range(60)], [f"{word()} {word()}." for _ in range(30)]
+    rows = [(k, " ".join([word() for _ in range(rng.randrange(40))] + plain[k % 7 : 60 - k % 3] + [word() for _ in range(30)])) for k in range(12)]
+    rows += [(20 + k, " ".join([word(), *short, word()])) for k in range(2)] + [(30, " ".join(plain + [word()] + plain[:50] + plain[:49])), (31, " ".join(plain[5:54])), (32, "loop " * 200), (33, "a b c " * 18), (34, "a b " * 24)]
+    rows += [(40, " ".join(plain[20:] + rows[0][1].split()[-25:])), (50, rows[3][1].upper()), (60, " ".join(word() for _ in range(300))), (61, None), (62, ""), (None, rows[0][1])]
+    found = passages.exact_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    windows = defaultdict(list)
+    words = {d: (t or "").lower().split() for d, t in rows if d is not None}
+    for d in sorted(words):
+        for p in range(len(words[d]) - 49):
+            windows[tuple(words[d][p : p + 50])].append((d, p))
+    want = {(d, p): at[0] == (d, p) for at in windows.values() if len(at) > 1 for d, p in at}
+    got, text = {}, {d: (t or "").encode() for d, t in rows if d is not None}
+    for r in found:
+        p = len(text[r.doc_id][: r.start].split())
+        assert text[r.doc_id][r.start : r.stop].lower().split() == [x.encode() for x in words[r.doc_id][p : p + r.words]]
+        for k in range(r.words - 49):
+            assert (r.doc_id, p + k) not in got
+            got[r.doc_id, p + k] = r.kept
+            assert r.first_doc == windows[tuple(words[r.doc_id][p + k : p + k + 50])][0][0]
+    assert got == want
+    kept = {r.class_id: r for r in found if r.kept}
+    assert all(kept[r.class_id].doc_id == r.first_doc and r.copies == sum(x.class_id == r.class_id for x in found) for r in found)
+    every = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.stop) for r in found} <= {(r.doc_id, r.start, r.stop) for r in every}
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers
