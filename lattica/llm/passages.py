@@ -2,7 +2,8 @@
 
 Texts are cut at line ends and sentence ends into paragraphs' pieces of five words or more, so that a passage put into the
 middle of a line is still found. Pieces with equal sets of word shingles are one class; longer pieces are also banded by
-min-hash, colliding ones verified by exact Jaccard similarity, and joined to components. Runs of repeated pieces that are long
+min-hash, colliding ones verified by exact Jaccard similarity, first with the smallest of their bucket, then whatever of a bucket
+is not yet in one component, and joined to components. Runs of repeated pieces that are long
 enough count as repeated passages; of each class the first piece stays and the others are to be removed.
 
 Stretches of 50 words and more that stand elsewhere word by word are found exactly, wherever sentences and lines end. The least
@@ -104,6 +105,24 @@ def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
     return with_rows_of(text, places, "doc_id").select("fp", "start", "stop", "text").mapInArrow(run, "doc_id long, hashes binary")
 
 
+def _left(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Tiles of what the buckets met (key, fp) hold beside their largest component, in blocks by size, with all else of them."""
+    size = sets.select(F.col("doc_id").alias("fp"), F.expr("octet_length(hashes) div 8").alias("n"))
+    at = met.join(found, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
+    share = at.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("comps"))
+    mixed = at.join(share.where("comps > 1").select("key", F.col("x.comp").alias("main")), "key").join(size, "fp").withColumn("stray", F.col("comp") != F.col("main"))
+    order = Window.partitionBy("key", "stray").orderBy("n", "fp")
+    cut = keep(mixed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK) * 2 + F.col("stray").cast("int")), "blocks")
+    of = cut.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr("bit_xor(xxhash64(fp, comp))").alias("mark"), F.count("*").alias("rows"))
+    i, j = of.select("key", *(F.col(c).alias(f"{c}_i") for c in of.columns[1:])), of.select("key", *(F.col(c).alias(f"{c}_j") for c in of.columns[1:]))
+    pairs = i.join(j, "key").where(f"block_i <= block_j and most_i * 100 >= {percent} * least_j and most_j * 100 >= {percent} * least_i and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)")
+    once = keep(pairs.groupBy("mark_i", "mark_j", "rows_i", "rows_j").agg(F.min(F.struct("key", "block_i", "block_j")).alias("x")).select("x.*"), "once")
+    tile = F.xxhash64("key", "block_i", "block_j").alias("tile")
+    first = once.withColumn("block", F.col("block_i")).join(cut, ["key", "block"]).select(tile, F.col("fp").alias("doc_id"), F.when(F.col("block_i") == F.col("block_j"), 2).otherwise(0).alias("side"), "comp")
+    second = once.where("block_i < block_j").withColumn("block", F.col("block_j")).join(cut, ["key", "block"]).select(tile, F.col("fp").alias("doc_id"), F.lit(1).alias("side"), "comp")
+    return first.unionByName(second)
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of each `width` neighbouring values of h."""
     size, out, at = 1, None, 0
@@ -239,9 +258,10 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     p = keep(pieces(docs, width), "pieces")
     near = pieces(docs, width, True).select("fp", F.explode(F.array_distinct("keys")).alias("key"))
     w = Window.partitionBy("key")
-    met = near.withColumn("low", F.min("fp").over(w)).where("fp <> low")
-    pairs = keep(met.select("fp", "low").distinct(), "pairs")
-    ids = pairs.select("fp").union(pairs.select("low")).distinct()
+    met = near.withColumn("low", F.min("fp").over(w)).withColumn("high", F.max("fp").over(w)).where("low <> high")
+    met = keep(met.select("key", "fp", "low").distinct(), "buckets")
+    pairs = keep(met.where("fp <> low").select("fp", "low").distinct(), "pairs")
+    ids = met.select("fp").distinct()
     stats = keep(p.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes")
     places = keep(stats.join(ids, "fp").select("fp", "at.doc_id", "at.start", "at.stop"), "places")
     sets = keep(_sets(docs, places, width), "sets")
@@ -249,6 +269,10 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     tile = lambda c, side: blocks.select("tile", F.col(c).alias("doc_id"), F.lit(side).alias("side"), F.col(c).alias("comp"))
     edges = keep(links(keep(tile("low", 0).distinct().unionByName(tile("fp", 1)), "tiles"), sets, percent), "links")
     found = keep(components(edges).withColumnRenamed("node", "fp"), "components")
+    left = keep(_left(met, found, sets, percent), "tiles")
+    more = keep(links(left, sets, percent), "links")
+    if more.limit(1).count():
+        found = keep(components(edges.unionByName(more)).withColumnRenamed("node", "fp"), "components")
     classed = stats.join(found, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("class_id"))
     many = classed.groupBy("class_id").agg(F.sum("n").alias("all")).where("all > 1").select("class_id")
     flagged = p.join(classed.join(many, "class_id").select("fp", "class_id"), "fp")
@@ -262,7 +286,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     first = long.groupBy("class_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     out = long.join(first, "class_id").select("doc_id", "start", "stop", "words", "class_id", F.col("first.doc_id").alias("first_doc"), "copies", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
     out = keep(out.unionByName(exact), "result")
-    for table in (exact, p, pairs, stats, places, sets, edges):
+    for table in (exact, p, met, pairs, stats, places, sets, edges, left, more):
         drop(table)
     return out
 

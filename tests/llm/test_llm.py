@@ -158,6 +158,39 @@ def test_passages_bridge_short_pieces(spark):
     assert got == {1: 2, 2: 2}
 
 
+def test_passages_of_a_family(spark):
+    """Pieces of 30 words from one form, by brute force over all pairs: clusters of pairs over 0.8, pairs of clusters mostly under it."""
+    rng = random.Random(11)
+    form = [f"form{k}" for k in range(34)]
+    rows = []
+    for c in range(150):
+        own = [f"c{c}x{k}" for k in range(4)]
+        rows += [(3 * c + k, " ".join([*own[:2], *form, *own[2:], *(f"e{3 * c + k}y{i}" for i in range(k))]) + ".") for k in range(3)]
+    rng.shuffle(rows)
+    sets = {d: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert len({top(d) for d in sets}) == 150
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = defaultdict(set)
+    for r in found.collect():
+        classes[r.class_id].add(r.doc_id)
+    want = defaultdict(set)
+    for d in sets:
+        want[top(d)].add(d)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
+
+
 def test_exact_passages(spark):
     """Against brute force over all windows of 50 words: no ends of sentences, cut ones, short ones, loops, repeats in one text."""
     rng = random.Random(3)
