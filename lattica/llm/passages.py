@@ -1,10 +1,11 @@
 """Substring dedup: passages that repeat within and across documents.
 
 Texts are cut at line ends and sentence ends into paragraphs' pieces of five words or more, so that a passage put into the
-middle of a line is still found. Pieces with equal sets of word shingles are one class; longer pieces are also banded by
-min-hash, colliding ones verified by exact Jaccard similarity, first with the smallest of their bucket, then whatever of a bucket
-is not yet in one component, and joined to components. Runs of repeated pieces that are long
-enough count as repeated passages; of each class the first piece stays and the others are to be removed.
+middle of a line is still found. Pieces with equal sets of word shingles are one class; small sets that differ by one shingle
+are found by keys of the set without each of its shingles. Longer pieces are also banded by min-hash, colliding ones verified by
+exact Jaccard similarity, first with the smallest of their bucket, then whatever of a bucket is not yet in one component, and
+joined to components. Runs of repeated pieces that are long enough count as repeated passages; of each class the first piece
+stays and the others are to be removed.
 
 Stretches of 50 words and more that stand elsewhere word by word are found exactly, wherever sentences and lines end. The least
 hash of the short windows inside a long one is its anchor; equal long windows have equal anchors, so only those whose anchor
@@ -24,12 +25,14 @@ from lattica.llm.ngram_join import PERCENT, WIDTH, _by_tile, _sum, links
 from lattica.llm.tables import drop, keep, with_rows_of
 
 #: A run of repeated pieces counts from so many words on; pieces of so many shingles are banded.
-RUN_WORDS, BANDED = 25, 9
+RUN_WORDS, BANDED = 25, 8
 #: A pair at Jaccard 0.8 misses all bands with probability (1 - 0.8^3)^10 = 8e-4, one at 0.9 with 2e-6.
 BANDS, PER_BAND, SEED = 10, 3, 41
 BLOCK = 256
 #: Words of the windows that are compared exactly, and of the windows that their anchors are chosen from.
 EXACT_WORDS, ANCHOR_WORDS = 50, 16
+#: Sets of so many shingles at 0.8 and more to a smaller one hold all of it and one shingle besides; they are found by equal keys.
+LEAST_SUB, MOST_SUB = 5, 8
 #: Bits of the table of repeated anchors: eight an anchor, within these powers of two. A full table only lets more windows through.
 FEWEST_BITS, MOST_BITS = 16, 29
 
@@ -47,8 +50,9 @@ def cut_pieces(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> DataFrame:
-    """(doc_id, no, start, stop, words, fp, prev, gap) of each piece of `width` words or more; start and stop are bytes, prev is the
-    no of the one before it (-1 if none) and gap a hash of the shorter pieces between. banded_only: (fp, keys) of those banded.
+    """(doc_id, no, start, stop, words, fp, prev, gap, subs) of each piece of `width` words or more; start and stop are bytes, prev is the
+    no of the one before it (-1 if none) and gap a hash of the shorter pieces between; subs has the fp of a small set without one of
+    its shingles each, at its first place in a slice. banded_only: (fp, keys) of those banded.
     """
 
     def run(batches):
@@ -79,13 +83,21 @@ def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> Da
                 gap = _sum(short, np.append(np.concatenate([[0], take[:-1]]), take[-1])) if len(take) else np.zeros(0, np.int64)
                 prev = np.where(np.concatenate([[False], row[take[1:]] == row[take[:-1]]]), np.concatenate([[-1], no[take[:-1]]]), -1) if len(take) else gap
                 stop = w.end[first + count - 1]
+                few = np.zeros(len(n), bool)
+                few[take[np.unique(fp[take], return_index=True)[1]]] = True
+                few &= (n >= LEAST_SUB) & (n <= MOST_SUB)
+                of = np.repeat(np.arange(len(n)), n)
+                in_few = few[of]
+                of, sub = of[in_few], A.mix(h[in_few])
+                sub = ((fp[of] ^ n[of]).view(np.uint64) - sub).view(np.int64) ^ (n[of] - 1)
+                subs = A.list_array(sub, np.concatenate([[0], np.cumsum(np.where(few, n, 0)[take])]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take]), pa.array(prev.astype(np.int32)), pa.array(gap)],
-                    ["doc_id", "no", "start", "stop", "words", "fp", "prev", "gap"],
+                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take]), pa.array(prev.astype(np.int32)), pa.array(gap), subs],
+                    ["doc_id", "no", "start", "stop", "words", "fp", "prev", "gap", "subs"],
                 )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return text.mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, no int, start long, stop long, words int, fp long, prev int, gap long")
+    return text.mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, no int, start long, stop long, words int, fp long, prev int, gap long, subs array<long>")
 
 
 def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -267,7 +279,10 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     sets = keep(_sets(docs, places, width), "sets")
     blocks = pairs.join(pairs.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "low").select("low", "fp", F.xxhash64("low", F.expr("pmod(xxhash64(fp), blocks)")).alias("tile"))
     tile = lambda c, side: blocks.select("tile", F.col(c).alias("doc_id"), F.lit(side).alias("side"), F.col(c).alias("comp"))
-    edges = keep(links(keep(tile("low", 0).distinct().unionByName(tile("fp", 1)), "tiles"), sets, percent), "links")
+    n = F.size("subs")
+    small = p.where((n > 0) & ((n - 1) * 100 >= percent * n)).select("fp", F.explode("subs").alias("sub")).distinct()
+    small = keep(small.join(stats.select(F.col("fp").alias("sub")), "sub").select(F.col("fp").alias("a"), F.col("sub").alias("b")), "small")
+    edges = keep(links(keep(tile("low", 0).distinct().unionByName(tile("fp", 1)), "tiles"), sets, percent).unionByName(small), "links")
     found = keep(components(edges).withColumnRenamed("node", "fp"), "components")
     left = keep(_left(met, found, sets, percent), "tiles")
     more = keep(links(left, sets, percent), "links")
@@ -286,7 +301,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     first = long.groupBy("class_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     out = long.join(first, "class_id").select("doc_id", "start", "stop", "words", "class_id", F.col("first.doc_id").alias("first_doc"), "copies", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
     out = keep(out.unionByName(exact), "result")
-    for table in (exact, p, met, pairs, stats, places, sets, edges, left, more):
+    for table in (exact, p, small, met, pairs, stats, places, sets, edges, left, more):
         drop(table)
     return out
 

@@ -191,6 +191,18 @@ def test_passages_of_a_family(spark):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
 
+def test_passages_of_short_pieces(spark):
+    """Pieces of 8 to 12 words, and the same with a word more at an end: all pairs of 4 to 8 and one shingle more, and no others."""
+    rows, want = [], set()
+    for n in range(7, 13):
+        w, tail = [f"n{n}w{k}" for k in range(n)], " ".join(f"tail{n}x{k}" for k in range(20)) + "."
+        rows += [(2 * n, " ".join(w) + ". " + tail), (2 * n + 1, " ".join([f"more{n}", *w]) + ". " + tail)]
+        want |= {2 * n, 2 * n + 1} if n >= 8 else set()
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.start == 0} == want
+    assert all(r.copies == 2 and r.first_doc == r.doc_id // 2 * 2 and r.kept == (r.doc_id % 2 == 0) for r in found)
+
+
 def test_exact_passages(spark):
     """Against brute force over all windows of 50 words: no ends of sentences, cut ones, short ones, loops, repeats in one text."""
     rng = random.Random(3)
