@@ -14,14 +14,16 @@ occurs twice are compared, and each repeated one points at its first place.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.components import components
-from lattica.llm.ngram_join import PERCENT, WIDTH, _by_tile, _sum, links
+from lattica.llm.ngram_join import PERCENT, WIDTH, _sum, links
 from lattica.llm.tables import drop, keep, with_rows_of
 
 #: A run of repeated pieces counts from so many words on; pieces of so many shingles are banded.
@@ -167,6 +169,31 @@ def _anchored(batch: pa.RecordBatch, width: int, part: int):
             yield a, w, w.row[: len(h) - width + 1] == w.row[width - 1 :], slide(np.minimum, g, width - part + 1), h, g
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; else they stay until a collection happens."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _by_anchor(batches, found):
+    """found(rows) for the classes (cid, doc_id, pos, n, windows) of each anchor; rows (v, cid, doc_id, pos, windows) come by v."""
+    v, held = None, {}
+    for batch in batches:
+        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        for anchor, cid, doc, pos, x in zip(*c, strict=True):
+            if anchor != v:
+                yield from found(list(held.values()))
+                v, held = anchor, {}
+            at = held.get(cid)
+            if at is None:
+                held[cid] = [cid, doc, pos, 1, x]
+            else:
+                at[3] += 1
+                if (doc, pos) < (at[1], at[2]):
+                    at[1:3] = doc, pos
+    yield from found(list(held.values()))
+
+
 def _bitmap(hot: DataFrame) -> np.ndarray:
     """A table of bits, one set for each v of hot, at its highest bits."""
     bits = min(max(FEWEST_BITS, (8 * hot.count()).bit_length()), MOST_BITS)
@@ -197,9 +224,10 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
     hot = keep(text.select("text").mapInArrow(anchors, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "anchors")
     table = _bitmap(hot)
     drop(hot)
+    _release(docs.sparkSession)
     shift, shared = A.U(64 - (len(table) * 64 - 1).bit_length()), docs.sparkSession.sparkContext.broadcast(table)
 
-    def places(batches):
+    def places(batches, hashes: bool):
         for batch in batches:
             for a, w, inside, least, h, _ in _anchored(batch, width, part):
                 bit = least >> shift
@@ -212,22 +240,27 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
                 base = w.offsets[row]
                 place = np.arange(len(at)) - np.repeat(new, np.diff(o))
                 cid = _sum(A.mix(x + A.mix(place.astype(np.uint64))), o)
-                cols = [pa.array(least[first].view(np.int64)), pa.array(cid), batch.column(1).take(pa.array(row + a)), batch.column(2).take(pa.array(row + a)), pa.array(first - np.searchsorted(w.row, row)), pa.array(w.start[first] - base)]
-                cols += [A.binary_array(x, o * 8), A.list_array(w.start[at] - w.start[of], o, pa.int32()), A.list_array(w.end[at + width - 1] - w.start[of], o, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["v", "cid", "doc_id", "key", "pos", "base", "windows", "starts", "stops"])
+                ids, pos = batch.column(1).take(pa.array(row + a)), pa.array(first - np.searchsorted(w.row, row))
+                if hashes:  # six bytes do, as only windows of one anchor are compared
+                    short = A.binary_array(x.view(np.uint8).reshape(-1, 8)[:, :6], o * 6)
+                    yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(cid), ids, pos, short], ["v", "cid", "doc_id", "pos", "windows"])
+                    continue
+                ends = [A.list_array(y - w.start[of], o, pa.int32()) for y in (w.start[at], w.end[at + width - 1])]
+                cols = [pa.array(cid), ids, batch.column(2).take(pa.array(row + a)), pos, pa.array(w.start[first] - base), *ends]
+                yield pa.RecordBatch.from_arrays(cols, ["cid", "doc_id", "key", "pos", "base", "starts", "stops"])
 
-    found = keep(text.mapInArrow(places, "v long, cid long, doc_id long, key long, pos long, base long, windows binary, starts array<int>, stops array<int>"), "places")
-    same = found.groupBy("v", "cid").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n"), F.first("windows").alias("windows"))
-    same = same.select("v", "cid", "at.doc_id", "at.pos", "n", "windows")
+    same = text.mapInArrow(lambda b: places(b, True), "v long, cid long, doc_id long, pos long, windows binary")
+    found = text.mapInArrow(lambda b: places(b, False), "cid long, doc_id long, key long, pos long, base long, starts array<int>, stops array<int>")
 
     def firsts(held):
-        if not held or len(held) == 1 and held[0][4] == 1 and len(held[0][5]) == 8:
+        if not held or len(held) == 1 and held[0][3] == 1 and len(held[0][4]) == 6:
             return
-        x = [np.frombuffer(r[5], np.uint64) for r in held]
-        size = np.array([len(r) for r in x])
+        size = np.array([len(r[4]) // 6 for r in held])
+        x = np.zeros((size.sum(), 8), np.uint8)
+        x[:, :6] = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, 6)
         row, o = np.repeat(np.arange(len(held)), size), np.concatenate([np.arange(k) for k in size])
-        doc, pos, n = (np.array([r[k] for r in held], np.int64)[row] for k in (2, 3, 4))
-        _, inv = np.unique(np.concatenate(x), return_inverse=True)
+        doc, pos, n = (np.array([r[k] for r in held], np.int64)[row] for k in (1, 2, 3))
+        _, inv = np.unique(x.view(np.uint64).ravel(), return_inverse=True)
         order = np.lexsort((pos + o, doc, inv))
         lead = order[np.searchsorted(inv[order], inv)]
         at = np.flatnonzero(np.bincount(inv, n)[inv] > 1)
@@ -235,11 +268,12 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
             return
         first_doc, first_pos = doc[lead[at]], (pos + o)[lead[at]]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row[at]) != 0) | (np.diff(first_doc) != 0) | (np.diff(first_pos) != 1)]))
-        cols = [np.array([r[1] for r in held], np.int64)[row[at[new]]], o[at[new]], np.diff(np.append(new, len(at))), first_doc[new], first_pos[new]]
+        cols = [np.array([r[0] for r in held], np.int64)[row[at[new]]], o[at[new]], np.diff(np.append(new, len(at))), first_doc[new], first_pos[new]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cid", "o", "n", "first_doc", "first_pos"])
 
-    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(lambda b: _by_tile(b, 6, firsts), "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
-    met = with_rows_of(found.drop("v", "windows"), parts, "cid")
+    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(lambda b: _by_anchor(b, firsts), "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
+    _release(docs.sparkSession)
+    met = with_rows_of(found, parts, "cid")
     place = F.col("pos") + F.col("o")
     met = met.select("doc_id", "key", place.alias("pos"), "n", (F.col("base") + F.expr("starts[int(o)]")).alias("start"), (F.col("base") + F.expr("stops[int(o + n - 1)]")).alias("stop"), "first_doc", "first_pos")
     met = met.groupBy(*met.columns).agg(F.count("*").alias("rows"))  # rows repeated whole
@@ -252,9 +286,9 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
     classed = runs.withColumn("class_id", name.over(Window.partitionBy("first_doc").orderBy("first_pos", F.desc("kept")).rowsBetween(Window.unboundedPreceding, 0)))
     out = classed.withColumn("copies", F.sum("rows").over(Window.partitionBy("first_doc", "class_id")))
     out = keep(out.select("doc_id", "start", "stop", (F.col("n") + width - 1).cast("int").alias("words"), "class_id", "first_doc", "copies", "kept"), "exact")
-    for kept in (found, parts):
-        drop(kept)
+    drop(parts)
     shared.destroy()
+    _release(docs.sparkSession)
     return out
 
 
@@ -273,6 +307,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     met = near.withColumn("low", F.min("fp").over(w)).withColumn("high", F.max("fp").over(w)).where("low <> high")
     met = keep(met.select("key", "fp", "low").distinct(), "buckets")
     pairs = keep(met.where("fp <> low").select("fp", "low").distinct(), "pairs")
+    _release(docs.sparkSession)
     ids = met.select("fp").distinct()
     stats = keep(p.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes")
     places = keep(stats.join(ids, "fp").select("fp", "at.doc_id", "at.start", "at.stop"), "places")
