@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def with_rows_of(big: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """big joined with ids. ids goes to all executors if it has at most BROADCAST_ROWS rows, else both sides are shuffled."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), on)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; else they stay until a collection happens."""
+    gc.collect()
+    spark._jvm.System.gc()

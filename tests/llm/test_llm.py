@@ -272,7 +272,7 @@ def test_mixing(spark, docs):
 
 
 def test_language_model(spark, docs):
-    out = language_model.language_model_scores(docs, words=20, fit_documents=30).collect()
+    out = language_model.language_model_scores(docs, factor=0.7).collect()
     count = Counter()
     for i, t in corpus():
         if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
@@ -304,9 +304,20 @@ def test_recurrent_gradients_and_carried_state():
         flat[i] = old
         assert abs((up - down) / 2e-5 - grads[k].reshape(-1)[i]) < 1e-5
     docs = [rng.integers(0, 8, n) for n in (3, 50, 0, 17)]
-    assert np.allclose(net.score(docs, 0, 4), net.score(docs, 0, 1000))
-    every = np.array([[a] for a in range(8)])
-    assert np.isclose(np.exp(net.score(list(every), 0)).sum(), 1)
+    flat, off = np.concatenate(docs), np.cumsum([0, 3, 50, 0, 17])
+    assert np.allclose(net.score(flat, off, 0, 4), net.score(flat, off, 0, 1000))
+    alone = [net.score(d, np.array([0, len(d)]), 0)[0] for d in docs]
+    assert np.allclose(net.score(flat, off, 0), alone)
+    assert np.isclose(np.exp(net.score(np.arange(8), np.arange(9), 0)).sum(), 1)
+
+
+def test_language_model_learns_from_all(spark):
+    """Words follow each other in a fixed order, so the state tells more than counts; each round and each task adds to the fit."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"w{(rng.randrange(12) + 5 * j) % 12 if j % 6 == 0 else (j * 5 + k % 3) % 12}" for j in range(120))) for k in range(400)]
+    out = language_model.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), factor=4).collect()
+    held = [r for r in out if r.held_out]
+    assert len(held) > 40 and sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
 
 
 def test_transport(spark, docs):
