@@ -8,6 +8,8 @@ the order find the range in which the prefix ends, and only that one is put in o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,42 +19,44 @@ LEVELS = ("domain", "lang", "source")
 SEED = 29
 #: Most leaves that a tree may have; it is a table of settings, of which the driver holds one row a leaf.
 MAX_LEAVES = 200_000
-#: Ranges of the order are cut by this many bits of the hash.
-RANGE_BITS = 12
+HEX = "0123456789abcdef"
 
 
 def domain_of(source: Column, domains: int = 3) -> Column:
-    """A domain for sources that name none."""
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(source, F.lit(""))), F.lit(domains)).cast("string"))
+    """A domain for sources that name none: the first digit of a hash, modulo `domains` (16 at most)."""
+    digit = F.instr(F.lit(HEX), F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 1)) - 1
+    return F.concat(F.lit("d"), F.pmod(digit, F.lit(domains)).cast("string"))
 
 
 def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def fill(budget: int, weights: list[float], room: list[int]) -> list[int]:
-    """Splits budget by weight; what one has no room for goes to the others by weight. Whole numbers; the sum is the budget, or all room."""
+def fill(budget: int, weights: list, room: list[int]) -> list[int]:
+    """Splits budget by weight; what one has no room for goes to the others by weight. Whole numbers, rounded down but for the
+    largest remainders, ties by place; the sum is the budget, or all room of those that weigh anything. Exact for whole weights."""
     given, open_ = [0] * len(room), [k for k in range(len(room)) if room[k] > 0 and weights[k] > 0]
     left = min(budget, sum(room[k] for k in open_))
     while open_ and left > 0:
-        total, full = sum(weights[k] for k in open_), [k for k in open_ if left * weights[k] / sum(weights[x] for x in open_) >= room[k] - given[k]]
+        total = sum(weights[k] for k in open_)
+        full = [k for k in open_ if left * weights[k] >= room[k] * total]
         if not full:
-            share = [left * weights[k] / total for k in open_]
-            whole = [int(s) for s in share]
-            for k in sorted(range(len(open_)), key=lambda i: (whole[i] - share[i], i))[: left - sum(whole)]:
-                whole[k] += 1
-            for k, s in zip(open_, whole, strict=True):
-                given[k] += s
+            parts = [divmod(left * weights[k], total) for k in open_]
+            for k, (whole, _) in zip(open_, parts, strict=True):
+                given[k] = int(whole)
+            for i in sorted(range(len(open_)), key=lambda i: (-parts[i][1], i))[: left - sum(given[k] for k in open_)]:
+                given[open_[i]] += 1
             return given
         for k in full:
-            left -= room[k] - given[k]
             given[k] = room[k]
+            left -= room[k]
         open_ = [k for k in open_ if k not in full]
     return given
 
 
 def budgets(leaves: dict[tuple, int], budget: int, weights: dict[tuple, float], epochs: int, alpha: float) -> dict[tuple, int]:
-    """Tokens for each leaf (a path). A node without a weight of its own weighs its tokens to the power alpha."""
+    """Tokens for each leaf (a path). Children of a node weigh what `weights` says, and 0 if only siblings of theirs are named there;
+    where none is named, each weighs its tokens to the power alpha."""
     out: dict[tuple, int] = {}
 
     def down(path: tuple, own: dict[tuple, int], amount: int) -> None:
@@ -64,7 +68,8 @@ def budgets(leaves: dict[tuple, int], budget: int, weights: dict[tuple, float],
         for leaf, n in sorted(own.items()):
             parts.setdefault(leaf[: depth + 1], {})[leaf] = n
         sums = [sum(p.values()) for p in parts.values()]
-        w = [float(weights.get(k, s**alpha if s else 0.0)) for k, s in zip(parts, sums, strict=True)]
+        named = [weights.get(k) for k in parts]
+        w = [x or 0 for x in named] if any(x is not None for x in named) else [s if alpha == 1 or not s else s**alpha for s in sums]
         for (k, p), amount_k in zip(parts.items(), fill(amount, w, [s * epochs for s in sums]), strict=True):
             down(k, p, amount_k)
 
@@ -73,44 +78,47 @@ def budgets(leaves: dict[tuple, int], budget: int, weights: dict[tuple, float],
     return out
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
-    levels = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LEVELS]
-    return docs, levels
-
-
-def mix(docs: DataFrame, share: float = 0.5, weights: dict[tuple, float] | None = None, epochs: int = 2, alpha: float = 1.0, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, share: float = 0.5, weights: dict[tuple, float] | None = None, epochs: int = 2, alpha: float = 1, seed: int = SEED) -> DataFrame:
     """The chosen rows of docs (doc_id, text, domain, lang, source), with columns tokens and epoch added, a row for each epoch.
 
-    The budget is `share` of all tokens. weights: of nodes, by path from the domain down. epochs: how often a row may occur at
-    most. A leaf's last epoch takes rows in the order of a hash of seed, epoch and doc_id, ties by doc_id, as long as their
-    tokens fit; rows with the same id come or go together. Null texts have no tokens, null names count as ''. Rows of leaves
-    without any token never occur. Raises ValueError beyond MAX_LEAVES leaves. Columns tokens and epoch of docs are replaced.
+    The budget is `share` of all tokens. weights: of nodes, by path from the domain down; see budgets(). epochs: how often a row
+    may occur at most. A leaf's last epoch takes rows in the order of md5('seed:epoch:doc_id'), ties by doc_id, as long as their
+    tokens fit; rows with the same id come or go together. Null texts have no tokens, null names and ids count as ''. Rows of
+    leaves without any token never occur. Raises ValueError beyond MAX_LEAVES leaves. Columns tokens and epoch of docs are
+    replaced, all others kept, whatever their names. An empty table gives an empty one.
     """
-    names = ["_a", "_b", "_c"]
-    level = {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, LEVELS, strict=True)}
-    light = keep(docs.select(F.col("doc_id").alias("_id"), *(e.alias(n) for n, e in level.items()), tokens_of(F.col("text")).alias("_n")), "tokens")
-    got = light.groupBy(*names).agg(F.sum("_n").alias("n")).limit(MAX_LEAVES + 1).collect()
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    a, b, c, key, n, whole, rest, h, end, last, till, upto, times = (tag + x for x in ("a", "b", "c", "id", "n", "whole", "rest", "h", "end", "last", "till", "upto", "times"))
+    names = [a, b, c]
+    level = {x: F.coalesce(F.col(col).cast("string"), F.lit("")) for x, col in zip(names, LEVELS, strict=True)}
+    own = {**level, key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), n: tokens_of(F.col("text"))}
+    light = keep(docs.select(*(e.alias(x) for x, e in own.items())), "tokens")
+    got = light.groupBy(*names).agg(F.sum(n).alias("n"), F.count("*").alias("rows")).limit(MAX_LEAVES + 1).collect()
     if len(got) > MAX_LEAVES:
         raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
-    leaves = {(r._a, r._b, r._c): r.n for r in got}
+    leaves = {(r[a], r[b], r[c]): r.n for r in got}
     target = budgets(leaves, int(share * sum(leaves.values())), weights or {}, epochs, alpha)
     rows = [(*k, target[k] // leaves[k], target[k] % leaves[k]) for k in leaves if leaves[k]]
-    plan = F.broadcast(docs.sparkSession.createDataFrame(rows, "_a string, _b string, _c string, _whole long, _rest long"))
-    place = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_id"))
-    at = light.join(plan, names).withColumn("_h", place).withColumn("_range", F.shiftright("_h", 64 - RANGE_BITS))
-    sums = at.groupBy(*names, "_rest", "_range").agg(F.sum("_n").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_range"))
-    end = sums.withColumn("_to", upto).where("_to > _rest").groupBy(*names).agg(F.min(F.struct("_range", (F.col("_to") - F.col("_n")).alias("before"))).alias("_e"))
-    last = at.join(F.broadcast(end), names).where("_range = _e._range")
-    fit = last.groupBy(*names, "_range", "_h", "_id", "_rest", "_e").agg(F.sum("_n").alias("_n"))
-    inside = fit.withColumn("_to", F.sum("_n").over(Window.partitionBy(*names).orderBy("_h", "_id"))).where("_e.before + _to <= _rest")
-    cut = inside.groupBy(*names).agg(F.max(F.struct("_h", "_id")).alias("_last"))
-    ends = keep(end.join(cut, names, "left").select(*names, F.col("_e._range").alias("_range"), "_last"), "ends")
-    here = docs.withColumns(level).withColumn("_id", F.col("doc_id")).withColumn("tokens", tokens_of(F.col("text")))
-    here = here.join(plan, names).join(F.broadcast(ends), names, "left").withColumn("_h", place)
-    part = F.col("_range").isNotNull() & ((F.shiftright("_h", 64 - RANGE_BITS) < F.col("_range")) | (F.col("_last").isNotNull() & (F.struct("_h", "_id") <= F.col("_last"))))
-    count = F.col("_whole") + F.coalesce(part, F.lit(False)).cast("long")
-    out = here.withColumn("_k", count).where("_k > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    kept_columns = [c for c in docs.columns if c not in ("tokens", "epoch")]
+    plan = F.broadcast(docs.sparkSession.createDataFrame(rows, f"{a} string, {b} string, {c} string, {whole} long, {rest} long"))
+    # as many ranges of the order as each of them then has rows, about
+    digits = max(1, math.ceil(math.log(max(sum(r.rows for r in got), 2), 16) / 2))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(whole).cast("string"), F.col(key)).cast("binary"))
+    ranged = F.substring(h, 1, digits)
+    at = light.join(plan, names).withColumn(h, place)
+    sums = at.groupBy(*names, rest, ranged.alias(end)).agg(F.sum(n).alias(n))
+    sums = sums.withColumn(upto, F.sum(n).over(Window.partitionBy(*names).orderBy(end)))
+    ends = keep(sums.where(F.col(upto) > F.col(rest)).groupBy(*names).agg(F.min(end).alias(end), (F.min(F.struct(end, (F.col(upto) - F.col(n)).alias("before")))["before"]).alias(till)), "ends")
+    inside = at.join(F.broadcast(ends), names).where(ranged == F.col(end))
+    fit = inside.groupBy(*names, h, key, rest, till).agg(F.sum(n).alias(n))
+    fit = fit.withColumn(upto, F.sum(n).over(Window.partitionBy(*names).orderBy(h, key))).where(F.col(till) + F.col(upto) <= F.col(rest))
+    cut = fit.groupBy(*names).agg(F.max(F.struct(h, key)).alias(last))
+    cuts = keep(ends.join(cut, names, "left").select(*names, end, last), "cuts")
+    here = docs.drop("tokens", "epoch").withColumns({**own, "tokens": tokens_of(F.col("text"))})
+    here = here.join(plan, names).join(F.broadcast(cuts), names, "left").withColumn(h, place)
+    part = F.col(end).isNotNull() & ((ranged < F.col(end)) | (F.col(last).isNotNull() & (F.struct(h, key) <= F.col(last))))
+    here = here.withColumn(times, F.col(whole) + F.coalesce(part, F.lit(False)).cast("long")).where(F.col(times) > 0)
+    out = here.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
     drop(light)
-    return out.select(*kept_columns, "tokens", "epoch")
+    return out.select(*(x for x in docs.columns if x not in ("tokens", "epoch")), "tokens", "epoch")

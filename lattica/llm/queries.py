@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, mixing
+from lattica.llm import bpe, mixing, oracles
 from lattica.llm.embedding_dedup import embedding_components
 from lattica.llm.language_model import language_model_scores
 from lattica.llm.licenses import license_scan
@@ -19,6 +19,9 @@ from lattica.llm.toxicity import toxicity_scores
 from lattica.llm.transport import media_features
 
 
+LANGUAGES = {"en": 5, "de": 2, "fr": 2, "es": 1}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +47,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens: domains alike, half English, a fifth German and French each, a tenth Spanish; two epochs at most."""
     docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
     domains = [f"d{k}" for k in range(3)]
-    weights = {(d,): 1.0 for d in domains} | {(d, lang): w for d in domains for lang, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))}
+    weights = {(d,): 1 for d in domains} | {(d, lang): w for d in domains for lang, w in LANGUAGES.items()}
     return mixing.mix(docs, 0.5, weights, 2).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
@@ -73,4 +76,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op3_byte_level_bpe, op4_source_mixing, op5_language_model, op6_media_columns, op7_license_scan, op8_toxicity, op9_ngram_jaccard_join, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries hash, compress or learn in ways that SQL has no functions for; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": oracles.EMBEDDINGS,
+    "op4_source_mixing": oracles.mixing(LANGUAGES, 3, "1 // 2", 2, mixing.SEED),
+    "op9_ngram_jaccard_join": oracles.SHINGLES,
+}

@@ -264,10 +264,38 @@ def test_mixing(spark, docs):
     assert got[("b", "z", "1")] == 100 and sum(got.values()) == 200
     short = mixing.budgets(leaves, 100, {("a",): 1, ("b",): 0, ("a", "x"): 1, ("a", "y"): 1, ("a", "x", "1"): 9, ("a", "x", "2"): 1}, 1, 1.0)
     assert short == {("a", "x", "1"): 10, ("a", "x", "2"): 40, ("a", "y", "1"): 50, ("b", "z", "1"): 0}  # the sibling takes the shortage first
-    table = docs.withColumn("domain", mixing.domain_of(F.col("source")))
-    out = mixing.mix(table, 0.5, epochs=2).collect()
-    total = sum(len((t or "").encode().split()) for _, t in corpus())
-    assert 0 < sum(r.tokens for r in out) <= total // 2 and len({(r.doc_id, r.epoch, r.text) for r in out}) >= len(out) - 2
+    named = mixing.budgets({("a", "", "1"): 30_000, ("a", "de", "1"): 100_000, ("a", "en", "1"): 100_000}, 50_000, {("a", "en"): 5, ("a", "de"): 2}, 1, 1)
+    assert named == {("a", "", "1"): 0, ("a", "de", "1"): 14286, ("a", "en", "1"): 35714}  # who is not named among named ones weighs nothing
+
+
+@pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.5, 2), (1.0, 1)])
+def test_mixing_against_brute_force(spark, docs, share, epochs):
+    """Rows and epochs by sorting each leaf as a whole; columns of docs have names like those that the operator uses."""
+    table = docs.withColumn("domain", mixing.domain_of(F.col("source"))).withColumns({"_a": F.lit(1), "_h": F.lit("z"), "epoch": F.lit("old")})
+    rows = [r.asDict() for r in table.collect()]
+    leaf = lambda r: (r["domain"], r["lang"] or "", r["source"] or "")
+    size = lambda r: len((r["text"] or "").encode().split())
+    leaves = Counter()
+    for r in rows:
+        leaves[leaf(r)] += size(r)
+    goal = mixing.budgets(dict(leaves), int(share * sum(leaves.values())), {}, epochs, 1)
+    want = Counter()
+    for x, n in leaves.items():
+        whole, rest = divmod(goal[x], n)
+        name = lambda r: "" if r["doc_id"] is None else str(r["doc_id"])
+        order = sorted((hashlib.md5(f"{mixing.SEED}:{whole}:{name(r)}".encode()).hexdigest(), name(r), size(r), r["doc_id"], r["text"]) for r in rows if leaf(r) == x) if n else []
+        total = Counter()
+        for h, i, k, _, _ in order:
+            total[h, i] += k
+        sums, at = {}, 0
+        for key in sorted(total):
+            at += total[key]
+            sums[key] = at
+        for h, i, k, d, t in order:
+            want.update((d, t, k, e) for e in range(whole + (sums[h, i] <= rest)))
+    out = mixing.mix(table, share, epochs=epochs, alpha=1)
+    assert out.columns == [c for c in table.columns if c != "epoch"] + ["tokens", "epoch"]
+    assert Counter((r.doc_id, r.text, r.tokens, r.epoch) for r in out.collect()) == want
     assert not mixing.mix(empty(spark).withColumn("domain", F.lit("d"))).count()
 
 
