@@ -145,24 +145,25 @@ def distinct_sets(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
     return h, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
 
 
-def seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(seed))
-    return rng.integers(1, 2**63, n, dtype=np.uint64) | U(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+def seeds(n: int, seed: int) -> np.ndarray:
+    """n odd factors; a product with one of them puts hashes in another order."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64, n, dtype=np.uint64) | U(1)
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of `size[k]` numbers, one row after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def minhash(h: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """(rows, n) min-hash values; rows without hashes get the largest value."""
+    """(rows, n) min-hash values of sets of mixed hashes; rows without hashes get the largest value."""
     rows = len(offsets) - 1
     out = np.full((rows, n), np.iinfo(np.uint64).max, np.uint64)
     full = np.flatnonzero(np.diff(offsets) > 0)
     if len(full):
-        starts = offsets[full]
-        a, b = seeds(n, seed)
+        starts, a = offsets[full], seeds(n, seed)
         for k in range(n):
-            v = h * a[k]
-            v ^= v >> U(32)
-            v *= b[k] | U(1)
-            out[full, k] = np.minimum.reduceat(v, starts)
+            out[full, k] = np.minimum.reduceat(h * a[k], starts)
     return out
 
 

@@ -67,7 +67,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, perce
             return []
         place = np.flatnonzero(w.row[: n - own + 1] == w.row[own - 1 :])
         off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=w.rows))])
-        a, b = A.seeds(HASHES, SEED)
+        factors = A.seeds(HASHES, SEED)
         lengths = sorted({len(t[2]) for t in group})
         windows = {}
         for m in lengths:
@@ -76,9 +76,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, perce
             windows[m] = (first, np.repeat(np.arange(w.rows), blocks))
         hit = [np.zeros(len(windows[len(t[2])][0]), bool) for t in group]
         for k in range(HASHES):
-            v = h * a[k]
-            v ^= v >> A.U(32)
-            v *= b[k] | A.U(1)
+            v = h * factors[k]
             for m in lengths:
                 first, of = windows[m]
                 low = np.minimum.reduceat(v, first)

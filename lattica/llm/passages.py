@@ -14,17 +14,15 @@ occurs twice are compared, and each repeated one points at its first place.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.components import components
 from lattica.llm.ngram_join import PERCENT, WIDTH, _sum, links
-from lattica.llm.tables import drop, keep, with_rows_of
+from lattica.llm.tables import BROADCAST_BYTES, drop, keep, release, with_rows_of
 
 #: A run of repeated pieces counts from so many words on; pieces of so many shingles are banded.
 RUN_WORDS, BANDED = 25, 8
@@ -51,10 +49,16 @@ def cut_pieces(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
     return piece, np.flatnonzero(np.concatenate([[True], ends[:-1]]))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key): a row is known by its id and a hash of its text, as ids may repeat with other texts."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text.where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+
+
 def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> DataFrame:
-    """(doc_id, no, start, stop, words, fp, prev, gap, subs) of each piece of `width` words or more; start and stop are bytes, prev is the
-    no of the one before it (-1 if none) and gap a hash of the shorter pieces between; subs has the fp of a small set without one of
-    its shingles each, at its first place in a slice. banded_only: (fp, keys) of those banded.
+    """(doc_id, text_key, no, start, stop, words, fp, prev, gap, subs) of each piece of `width` words or more; start and stop are bytes,
+    prev is the no of the one before it (-1 if none) and gap a hash of the shorter pieces between; subs has the fp of a small set
+    without one of its shingles each, at its first place in a slice. banded_only: (fp, keys) of those banded.
     """
 
     def run(batches):
@@ -94,16 +98,15 @@ def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> Da
                 sub = ((fp[of] ^ n[of]).view(np.uint64) - sub).view(np.int64) ^ (n[of] - 1)
                 subs = A.list_array(sub, np.concatenate([[0], np.cumsum(np.where(few, n, 0)[take])]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take]), pa.array(prev.astype(np.int32)), pa.array(gap), subs],
-                    ["doc_id", "no", "start", "stop", "words", "fp", "prev", "gap", "subs"],
+                    [ids.take(pa.array(row[take] + a)), batch.column(2).take(pa.array(row[take] + a)), pa.array(no[take].astype(np.int32)), pa.array((w.start[first] + base[row])[take]), pa.array((stop + base[row])[take]), pa.array(count[take].astype(np.int32)), pa.array(fp[take]), pa.array(prev.astype(np.int32)), pa.array(gap), subs],
+                    ["doc_id", "text_key", "no", "start", "stop", "words", "fp", "prev", "gap", "subs"],
                 )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return text.mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, no int, start long, stop long, words int, fp long, prev int, gap long, subs array<long>")
+    return _texts(docs).mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, text_key long, no int, start long, stop long, words int, fp long, prev int, gap long, subs array<long>")
 
 
 def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hashes) with the class in place of doc_id, for places (fp, doc_id, start, stop)."""
+    """(doc_id, hashes) with the class in place of doc_id, for places (fp, doc_id, text_key, start, stop)."""
 
     def run(batches):
         for batch in batches:
@@ -115,8 +118,7 @@ def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
             h, o = A.distinct_sets(*A.shingles(w.hashes(), w.row, w.count, width), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), A.binary_array(h, o * 8)], ["doc_id", "hashes"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_rows_of(text, places, "doc_id").select("fp", "start", "stop", "text").mapInArrow(run, "doc_id long, hashes binary")
+    return with_rows_of(_texts(docs), places, ["doc_id", "text_key"]).select("fp", "start", "stop", "text").mapInArrow(run, "doc_id long, hashes binary")
 
 
 def _left(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,29 +171,67 @@ def _anchored(batch: pa.RecordBatch, width: int, part: int):
             yield a, w, w.row[: len(h) - width + 1] == w.row[width - 1 :], slide(np.minimum, g, width - part + 1), h, g
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more; else they stay until a collection happens."""
-    gc.collect()
-    spark._jvm.System.gc()
+SHORT = 6  # bytes of a window's hash, as only windows of one anchor are compared
 
 
-def _by_anchor(batches, found):
-    """found(rows) for the classes (cid, doc_id, pos, n, windows) of each anchor; rows (v, cid, doc_id, pos, windows) come by v."""
-    v, held = None, {}
+def _first_places(batches):
+    """(cid, o, n, first_doc, first_pos): n windows from the o-th on of a class, which stand elsewhere too, and the first place of the
+    first of them; those of the next ones follow. Rows (v, cid, doc_id, pos, windows) come by their anchor v; classes of an
+    anchor that goes on in the next batch are carried over, each once, with the number of its rows.
+    """
+    held = None
     for batch in batches:
-        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        for anchor, cid, doc, pos, x in zip(*c, strict=True):
-            if anchor != v:
-                yield from found(list(held.values()))
-                v, held = anchor, {}
-            at = held.get(cid)
-            if at is None:
-                held[cid] = [cid, doc, pos, 1, x]
-            else:
-                at[3] += 1
-                if (doc, pos) < (at[1], at[2]):
-                    at[1:3] = doc, pos
-    yield from found(list(held.values()))
+        c = [batch.column(k).to_numpy() for k in range(4)]
+        off = np.frombuffer(batch.column(4).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(4).offset).astype(np.int64) // SHORT
+        raw = np.frombuffer(batch.column(4).buffers()[2] or b"", np.uint8)
+        rows = (*c, np.ones(len(c[0]), np.int64), off[:-1], off[1:] - off[:-1])
+        raw = raw[: len(raw) // SHORT * SHORT].reshape(-1, SHORT)
+        if held is not None:
+            rows = tuple(np.concatenate(x) for x in zip(held[0], (*rows[:5], rows[5] + len(held[1]), rows[6]), strict=True))
+            raw = np.concatenate([held[1], raw])
+        v, cid, doc, pos, n, at, size = rows
+        order = np.lexsort((pos, doc, cid, v))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(v[order]) != 0) | (np.diff(cid[order]) != 0)])) if len(v) else order
+        pick = order[new]
+        n = np.add.reduceat(n[order], new) if len(v) else n
+        v, cid, doc, pos, at, size = (x[pick] for x in (v, cid, doc, pos, at, size))
+        last = v == v[-1] if len(v) else np.zeros(0, bool)
+        yield from _repeated(v[~last], cid[~last], doc[~last], pos[~last], n[~last], at[~last], size[~last], raw)
+        own = A.ragged(at[last], size[last])
+        held = (v[last], cid[last], doc[last], pos[last], n[last], np.cumsum(size[last]) - size[last], size[last]), raw[own]
+    if held is not None:
+        yield from _repeated(*held[0], held[1])
+
+
+def _repeated(v, cid, doc, pos, n, at, size, raw):
+    """What _first_places() gives for whole anchors, the classes of which come by v."""
+    if not len(v):
+        return
+    group = np.cumsum(np.concatenate([[0], np.diff(v) != 0]))
+    more = (np.bincount(group)[group] > 1) | (n > 1) | (size > 1)
+    order = np.flatnonzero(more)
+    order = order[np.lexsort((pos[order], doc[order], group[order]))]
+    for part in np.split(order, np.flatnonzero(np.diff(group[order] >> 16)) + 1):  # windows of 48 bits and 16 bits of an anchor's number
+        if not len(part):
+            continue
+        size_ = size[part]
+        row, place = np.repeat(part, size_), A.ragged(np.zeros(len(part), np.int64), size_)
+        key = np.zeros((len(row), 8), np.uint8)
+        key[:, :SHORT] = raw[A.ragged(at[part], size_)]
+        key = key.view(np.uint64).ravel() | (group[row] & 0xFFFF).astype(np.uint64) << A.U(48)
+        by = np.argsort(key, kind="stable")
+        start = np.concatenate([[True], key[by[1:]] != key[by[:-1]]])
+        run = np.cumsum(start) - 1
+        total, lead = np.add.reduceat(n[row[by]], np.flatnonzero(start)), by[start]
+        first, often = np.empty(len(row), np.int64), np.empty(len(row), bool)
+        first[by], often[by] = lead[run], (total > 1)[run]
+        k = np.flatnonzero(often)
+        if not len(k):
+            continue
+        first_doc, first_pos = doc[row[first[k]]], (pos[row] + place)[first[k]]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 1) | (np.diff(row[k]) != 0) | (np.diff(first_doc) != 0) | (np.diff(first_pos) != 1)]))
+        cols = [cid[row[k[new]]], place[k[new]], np.diff(np.append(new, len(k))), first_doc[new], first_pos[new]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cid", "o", "n", "first_doc", "first_pos"])
 
 
 def _bitmap(hot: DataFrame) -> np.ndarray:
@@ -210,8 +250,7 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
     A stretch is cut where the first places of its windows do not follow each other. Those that are first places themselves are
     kept; class_id names the kept stretch that a stretch is inside of, so of each repeated window one place is kept.
     """
-    text = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    text = text.withColumn("key", F.xxhash64("text"))
+    text = _texts(docs).select("text", "doc_id", "text_key")
 
     def anchors(batches):
         for batch in batches:
@@ -224,7 +263,7 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
     hot = keep(text.select("text").mapInArrow(anchors, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "anchors")
     table = _bitmap(hot)
     drop(hot)
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     shift, shared = A.U(64 - (len(table) * 64 - 1).bit_length()), docs.sparkSession.sparkContext.broadcast(table)
 
     def places(batches, hashes: bool):
@@ -241,62 +280,48 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
                 place = np.arange(len(at)) - np.repeat(new, np.diff(o))
                 cid = _sum(A.mix(x + A.mix(place.astype(np.uint64))), o)
                 ids, pos = batch.column(1).take(pa.array(row + a)), pa.array(first - np.searchsorted(w.row, row))
-                if hashes:  # six bytes do, as only windows of one anchor are compared
-                    short = A.binary_array(x.view(np.uint8).reshape(-1, 8)[:, :6], o * 6)
+                if hashes:
+                    short = A.binary_array(x.view(np.uint8).reshape(-1, 8)[:, :SHORT], o * SHORT)
                     yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(cid), ids, pos, short], ["v", "cid", "doc_id", "pos", "windows"])
                     continue
                 ends = [A.list_array(y - w.start[of], o, pa.int32()) for y in (w.start[at], w.end[at + width - 1])]
                 cols = [pa.array(cid), ids, batch.column(2).take(pa.array(row + a)), pos, pa.array(w.start[first] - base), *ends]
-                yield pa.RecordBatch.from_arrays(cols, ["cid", "doc_id", "key", "pos", "base", "starts", "stops"])
+                yield pa.RecordBatch.from_arrays(cols, ["cid", "doc_id", "text_key", "pos", "base", "starts", "stops"])
 
     same = text.mapInArrow(lambda b: places(b, True), "v long, cid long, doc_id long, pos long, windows binary")
-    found = text.mapInArrow(lambda b: places(b, False), "cid long, doc_id long, key long, pos long, base long, starts array<int>, stops array<int>")
-
-    def firsts(held):
-        if not held or len(held) == 1 and held[0][3] == 1 and len(held[0][4]) == 6:
-            return
-        size = np.array([len(r[4]) // 6 for r in held])
-        x = np.zeros((size.sum(), 8), np.uint8)
-        x[:, :6] = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, 6)
-        row, o = np.repeat(np.arange(len(held)), size), np.concatenate([np.arange(k) for k in size])
-        doc, pos, n = (np.array([r[k] for r in held], np.int64)[row] for k in (1, 2, 3))
-        _, inv = np.unique(x.view(np.uint64).ravel(), return_inverse=True)
-        order = np.lexsort((pos + o, doc, inv))
-        lead = order[np.searchsorted(inv[order], inv)]
-        at = np.flatnonzero(np.bincount(inv, n)[inv] > 1)
-        if not len(at):
-            return
-        first_doc, first_pos = doc[lead[at]], (pos + o)[lead[at]]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row[at]) != 0) | (np.diff(first_doc) != 0) | (np.diff(first_pos) != 1)]))
-        cols = [np.array([r[0] for r in held], np.int64)[row[at[new]]], o[at[new]], np.diff(np.append(new, len(at))), first_doc[new], first_pos[new]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cid", "o", "n", "first_doc", "first_pos"])
+    found = text.mapInArrow(lambda b: places(b, False), "cid long, doc_id long, text_key long, pos long, base long, starts array<int>, stops array<int>")
 
-    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(lambda b: _by_anchor(b, firsts), "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
-    _release(docs.sparkSession)
+    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(_first_places, "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
+    release(docs.sparkSession)
     met = with_rows_of(found, parts, "cid")
     place = F.col("pos") + F.col("o")
-    met = met.select("doc_id", "key", place.alias("pos"), "n", (F.col("base") + F.expr("starts[int(o)]")).alias("start"), (F.col("base") + F.expr("stops[int(o + n - 1)]")).alias("stop"), "first_doc", "first_pos")
+    met = met.select("doc_id", "text_key", place.alias("pos"), "n", (F.col("base") + F.expr("starts[int(o)]")).alias("start"), (F.col("base") + F.expr("stops[int(o + n - 1)]")).alias("stop"), "first_doc", "first_pos")
     met = met.groupBy(*met.columns).agg(F.count("*").alias("rows"))  # rows repeated whole
-    w = Window.partitionBy("doc_id", "key").orderBy("pos")
+    w = Window.partitionBy("doc_id", "text_key").orderBy("pos")
     follows = (F.lag(F.col("pos") + F.col("n")).over(w) == F.col("pos")) & (F.lag("first_doc").over(w) == F.col("first_doc")) & (F.lag(F.col("first_pos") + F.col("n")).over(w) == F.col("first_pos"))
     runs = met.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    runs = runs.groupBy("doc_id", "key", "run").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc"), F.min("first_pos").alias("first_pos"), F.max("rows").alias("rows"))
+    runs = runs.groupBy("doc_id", "text_key", "run").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc"), F.min("first_pos").alias("first_pos"), F.max("rows").alias("rows"))
     runs = runs.withColumn("kept", (F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))
-    name = F.last(F.when(F.col("kept"), F.xxhash64("doc_id", "pos", F.lit(width))), True)
-    classed = runs.withColumn("class_id", name.over(Window.partitionBy("first_doc").orderBy("first_pos", F.desc("kept")).rowsBetween(Window.unboundedPreceding, 0)))
-    out = classed.withColumn("copies", F.sum("rows").over(Window.partitionBy("first_doc", "class_id")))
-    out = keep(out.select("doc_id", "start", "stop", (F.col("n") + width - 1).cast("int").alias("words"), "class_id", "first_doc", "copies", "kept"), "exact")
-    drop(parts)
+    # the kept stretch that a first place is in, from the distinct places, as one place may be the first of very many
+    runs = keep(runs, "runs")
+    spots = runs.groupBy("first_doc", "first_pos").agg(F.max("kept").alias("kept"), F.sum("rows").alias("rows"))
+    name = F.last(F.when(F.col("kept"), F.xxhash64("first_doc", "first_pos", F.lit(width))), True)
+    spots = spots.withColumn("class_id", name.over(Window.partitionBy("first_doc").orderBy("first_pos").rowsBetween(Window.unboundedPreceding, 0)))
+    spots = keep(spots.withColumn("copies", F.sum("rows").over(Window.partitionBy("first_doc", "class_id"))).select("first_doc", "first_pos", "class_id", "copies"), "spots")
+    out = with_rows_of(runs, spots, ["first_doc", "first_pos"])
+    out = keep(out.select("doc_id", "text_key", "start", "stop", (F.col("n") + width - 1).cast("int").alias("words"), "class_id", "first_doc", "copies", "kept"), "exact")
+    for table in (parts, runs, spots):
+        drop(table)
     shared.destroy()
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     return out
 
 
 def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, run_words: int = RUN_WORDS) -> DataFrame:
-    """The pieces of repeated passages of docs (doc_id, text): (doc_id, start, stop, words, class_id, first_doc, copies, kept).
-    Besides, in the same columns, the stretches that exact_passages finds; they may overlap pieces.
+    """The pieces of repeated passages of docs (doc_id, text): (doc_id, text_key, start, stop, words, class_id, first_doc, copies,
+    kept). Besides, in the same columns, the stretches that exact_passages finds; they may overlap pieces.
 
-    start and stop are byte offsets; class_id names the component of similar pieces, first_doc the document with its first
+    text_key is the xxhash64 of the text, which tells rows of one doc_id apart; start and stop are byte offsets; class_id names the component of similar pieces, first_doc the document with its first
     piece, which is kept; copies counts the class. Documents without a repeated passage have no row; so have null or empty
     texts and rows whose doc_id is null. Rows repeated whole count as copies of the first in ties. Other columns are ignored.
     """
@@ -307,10 +332,10 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     met = near.withColumn("low", F.min("fp").over(w)).withColumn("high", F.max("fp").over(w)).where("low <> high")
     met = keep(met.select("key", "fp", "low").distinct(), "buckets")
     pairs = keep(met.where("fp <> low").select("fp", "low").distinct(), "pairs")
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     ids = met.select("fp").distinct()
-    stats = keep(p.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes")
-    places = keep(stats.join(ids, "fp").select("fp", "at.doc_id", "at.start", "at.stop"), "places")
+    stats = keep(p.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "stop")).alias("at")), "classes")
+    places = keep(stats.join(ids, "fp").select("fp", "at.doc_id", "at.text_key", "at.start", "at.stop"), "places")
     sets = keep(_sets(docs, places, width), "sets")
     blocks = pairs.join(pairs.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "low").select("low", "fp", F.xxhash64("low", F.expr("pmod(xxhash64(fp), blocks)")).alias("tile"))
     tile = lambda c, side: blocks.select("tile", F.col(c).alias("doc_id"), F.lit(side).alias("side"), F.col(c).alias("comp"))
@@ -326,15 +351,15 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     classed = stats.join(found, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("class_id"))
     many = classed.groupBy("class_id").agg(F.sum("n").alias("all")).where("all > 1").select("class_id")
     flagged = p.join(classed.join(many, "class_id").select("fp", "class_id"), "fp")
-    doc = Window.partitionBy("doc_id").orderBy("no", "start")
+    doc = Window.partitionBy("doc_id", "text_key").orderBy("no", "start")
     after = flagged.withColumn("was", F.lag("no").over(doc)).withColumn("far", F.coalesce(F.col("no") - F.col("was") > 2, F.lit(False)))
     # short pieces between two repeated ones do not end a run where the same ones stand between the same two elsewhere
-    after = after.withColumn("bridge", F.when(F.col("far") & (F.col("prev") == F.col("was")), F.xxhash64(F.lag("class_id").over(doc), "class_id", "gap")).otherwise(F.xxhash64("doc_id", "no", "start")))
+    after = after.withColumn("bridge", F.when(F.col("far") & (F.col("prev") == F.col("was")), F.xxhash64(F.lag("class_id").over(doc), "class_id", "gap")).otherwise(F.xxhash64("doc_id", "text_key", "no", "start")))
     after = after.withColumn("same", F.count("*").over(Window.partitionBy("bridge")))
     runs = after.withColumn("new", (F.col("far") & ~((F.col("prev") == F.col("was")) & (F.col("same") > 1))).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(doc))
-    long = keep(runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(f"total >= {run_words}").select("doc_id", "start", "stop", "words", "class_id"), "runs")
-    first = long.groupBy("class_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    out = long.join(first, "class_id").select("doc_id", "start", "stop", "words", "class_id", F.col("first.doc_id").alias("first_doc"), "copies", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
+    long = keep(runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "text_key", "run"))).where(f"total >= {run_words}").select("doc_id", "text_key", "start", "stop", "words", "class_id"), "runs")
+    first = long.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    out = long.join(first, "class_id").select("doc_id", "text_key", "start", "stop", "words", "class_id", F.col("first.doc_id").alias("first_doc"), "copies", (F.struct("doc_id", "text_key", "start") == F.col("first")).alias("kept"))
     out = keep(out.unionByName(exact), "result")
     for table in (exact, p, small, met, pairs, stats, places, sets, edges, left, more):
         drop(table)
@@ -344,28 +369,33 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the pieces that are not kept cut out of `text`, and n_chars, if there, counted anew where something was cut.
 
-    Documents of which only blanks are left are dropped; all others stay, also those with null ids or texts.
+    Documents of which only blanks are left are dropped; all others stay, also those with null ids or texts, and rows of one id
+    with other texts, of which each is cut on its own. Other columns stay, whatever their names. An empty table gives an empty one.
     """
-    spans = found.where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
-    columns = docs.columns
+    tag, columns = "_cut", docs.columns
+    while any(c.lower().startswith(tag) for c in columns):
+        tag = "_" + tag
+    cuts = found.where("not kept").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"))
+    cuts = keep(cuts.select(F.col("doc_id").alias(tag + "i"), F.col("text_key").alias(tag + "k"), F.col("s").alias(tag)), "spans")
 
     def run(batches):
         for batch in batches:
-            text, spans_, keep_ = batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), []
-            for k, (t, cut) in enumerate(zip(text, spans_, strict=True)):
+            text, cut_, stay = batch.column("text").to_pylist(), batch.column(tag).to_pylist(), []
+            for k, (t, cut) in enumerate(zip(text, cut_, strict=True)):
                 if cut and t:
                     raw, parts, at = t.encode(), [], 0
                     for s in cut:
                         parts.append(raw[at : s["start"]])
                         at = max(at, s["stop"])
                     text[k] = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
-                keep_.append(not cut or bool(text[k] and text[k].strip()))
+                stay.append(not cut or bool(text[k] and text[k].strip()))
             done = [pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in columns]
             if "n_chars" in columns:
                 n = batch.column("n_chars").to_pylist()
-                done[columns.index("n_chars")] = pa.array([len(t) if c and t is not None else x for t, c, x in zip(text, spans_, n, strict=True)], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(done, columns).filter(pa.array(keep_, pa.bool_()))
+                done[columns.index("n_chars")] = pa.array([len(t) if c and t is not None else x for t, c, x in zip(text, cut_, n, strict=True)], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(done, columns).filter(pa.array(stay, pa.bool_()))
 
-    spans = keep(spans, "spans")
-    small = spans.limit(200_001).count() <= 200_000
-    return docs.join(F.broadcast(spans) if small else spans, "doc_id", "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
+    size = cuts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(tag)), F.lit(0)).alias("spans")).first()
+    small = 24 * (size.rows + size.spans) <= BROADCAST_BYTES
+    keyed = docs.withColumns({tag + "i": F.col("doc_id").cast("long"), tag + "k": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(F.broadcast(cuts) if small else cuts, [tag + "i", tag + "k"], "left").select(*columns, tag).mapInArrow(run, docs.schema)

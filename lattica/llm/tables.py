@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids that a broadcast may carry; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids, and bytes of longer rows, that a broadcast may carry; a larger side is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -40,7 +40,7 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_rows_of(big: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+def with_rows_of(big: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """big joined with ids. ids goes to all executors if it has at most BROADCAST_ROWS rows, else both sides are shuffled."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), on)

@@ -150,6 +150,21 @@ def test_passages(spark, docs):
     assert not passages.repeated_passages(empty(spark)).count()
 
 
+def test_passages_of_rows_with_one_id(spark):
+    """Two texts under one id are cut each on their own; a row repeated whole is cut like its twin."""
+    alone = prose(70)
+    rows = [(1, f"{prose(20)} {PASSAGE} {prose(20)}"), (2, f"{prose(5)} {PASSAGE} {prose(9)}"), (2, alone), (3, f"{prose(8)}\n{PASSAGE}"), (3, "")]
+    rows.append(rows[3])
+    docs = spark.createDataFrame([(i, t, 1, "c", 7) for i, t in rows], "doc_id long, text string, _cut int, _spans string, text_key long")
+    found = passages.repeated_passages(docs)
+    got = passages.without_repeats(docs, found)
+    assert got.columns == docs.columns
+    text = Counter((r.doc_id, r.text) for r in got.collect())
+    assert text[2, alone] == 1 and text[1, rows[0][1]] == 1 and text[3, ""] == 1
+    cut = [t for (i, t), n in text.items() for _ in range(n) if t not in (alone, rows[0][1], "")]
+    assert len(cut) == 3 and not any("passage3" in t for t in cut) and all(t.split()[:3] in ([*rows[1][1].split()[:3]], [*rows[3][1].split()[:3]]) for t in cut)
+
+
 def test_passages_bridge_short_pieces(spark):
     """Two sentences of 14 words with short ones between: one run of over 25 words if the short ones are the same."""
     a, b = (" ".join(f"{x}{k}" for k in range(14)) + "." for x in "pq")
