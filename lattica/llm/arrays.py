@@ -38,23 +38,33 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     off = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
     return raw, off - off[0]
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw on as one number; raw has eight bytes more than there are places of interest."""
+    return np.ndarray((len(raw) - 7,), np.uint64, np.ascontiguousarray(raw), 0, (1,))
+
+
+def first_bytes(size: np.ndarray) -> np.ndarray:
+    """Masks of the first size bytes, eight at most."""
+    return _KEEP[np.minimum(size, 8)]
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, eight at a time."""
     size = end - start
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[:-8] = raw
-    eight = np.ndarray((len(raw) + 1,), np.uint64, padded, 0, (1,))
-    h = mix(size.astype(np.uint64) * _BASE ^ (eight[start] & _KEEP[np.minimum(size, 8)]))
+    eight = eights(padded)
+    h = mix(size.astype(np.uint64) * _BASE ^ (eight[start] & first_bytes(size)))
     at, done = np.flatnonzero(size > 8), 8
     while len(at):
         left = size[at] - done
-        h[at] = mix(h[at] * _MIX2 ^ (eight[start[at] + done] & _KEEP[np.minimum(left, 8)]))
+        h[at] = mix(h[at] * _MIX2 ^ (eight[start[at] + done] & first_bytes(left)))
         done += 8
         at = at[left > 8]
     return h

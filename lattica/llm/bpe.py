@@ -2,28 +2,34 @@
 
 Words that occur twice or more are merged once: a fold over the bytes of each distinct word, with the ranks of pairs as a
 literal. They become a table that all executors get, up to a bound; words beyond it are merged by the same fold where they
-stand. Words too long for the fold, whose cost is quadratic, are merged with a heap.
+stand. Words too long for the fold, whose cost is quadratic, are merged with a heap. Words are found in the table by hash and
+then compared byte by byte.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import heapq
 import json
+from contextlib import suppress
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
-from lattica.llm.tables import drop, keep
+from lattica.llm.tables import drop, keep, release
 
 #: Most words of the table that executors get, about 20 bytes each; and most bytes of a word that is folded.
 TABLE_WORDS, FOLD_BYTES = 2_000_000, 96
-BUCKETS = 32_749
+BUCKETS = 16_381
 BATCH_BYTES = 2 << 20
 # What may follow an apostrophe as a word of its own.
 SHORT_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -90,8 +96,24 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, stop, np.searchsorted(offsets, start, "right") - 1
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts that a token is merged from in the end; None if merging its bytes stops before.
+
+    No other pair ever makes it: until the merge, nothing has crossed the token's ends, so the merges inside of it were those of
+    the token on its own, whatever stood around it.
+    """
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        found = [(r, k) for k in range(len(parts) - 1) if (r := ranks.get(parts[k] + parts[k + 1])) is not None]
+        if not found:
+            return None
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return parts[0], parts[1]
+
+
 class Ranks:
-    """Ranks in the forms that the parts need."""
+    """Ranks in the forms that the parts need. `whole` has the tokens that merges do not lead to: only words equal to one give it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -99,12 +121,15 @@ class Ranks:
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids of more than 16 bits")
         buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+        self.whole = []
         for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                a, b = ranks.get(token[:k]), ranks.get(token[k:])
-                if a is not None and b is not None:
-                    pair = a << 16 | b
-                    buckets[pair * 7919 % BUCKETS].append(pair << 16 | rank)
+            if len(token) < 2:
+                continue
+            if (parts := last_pair(token, ranks)) is None:
+                self.whole.append(token)
+                continue
+            pair = ranks[parts[0]] << 16 | ranks[parts[1]]
+            buckets[pair * 7919 % BUCKETS].append(pair << 16 | rank)
         at, places = 0, []
         for held in buckets:
             places.append(at << 8 | len(held))
@@ -206,8 +231,52 @@ def word_counts(docs: DataFrame, longest: int = FOLD_BYTES) -> DataFrame:
     return _text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of at most `most` frequent words, the offsets of their ids and the ids, from folds over distinct words."""
+@dataclass
+class WordTable:
+    """Words by hash: `hashes` sorted, `sizes` in bytes, `at` where the bytes of longer words than eight begin in `data` (which
+    ends with eight zeros), `off` the offsets of their ids in `ids`."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    at: np.ndarray
+    data: np.ndarray
+    off: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, ids: pa.Array) -> WordTable:
+        """words: binary; ids: binary, two bytes each."""
+        raw, start = A.string_bytes(words.cast(pa.large_binary()))
+        h = A.span_hashes(raw, start[:-1], start[1:])
+        order = np.argsort(h, kind="stable")
+        size = np.diff(start)[order]
+        long = np.where(size > 8, size, 0)
+        ids = ids.cast(pa.large_binary()).take(pa.array(order))
+        flat, off = A.string_bytes(ids)
+        data = np.concatenate([raw[A.ragged(start[:-1][order], long)], np.zeros(8, np.uint8)])
+        return cls(h[order], size, np.cumsum(long) - long, data, off // 2, flat.view(np.uint16).copy())
+
+    def find(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table, whether the word is there) of each span of raw. Hashes of words of up to eight bytes tell them apart
+        among those of equal size; the bytes of longer ones are compared."""
+        if not len(self.hashes):
+            return np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+        h, size = A.span_hashes(raw, start, end), end - start
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = (self.hashes[k] == h) & (self.sizes[k] == size)
+        at, done = np.flatnonzero(hit & (size > 8)), 0
+        here, there = (A.eights(x) for x in (np.concatenate([raw, np.zeros(8, np.uint8)]), self.data))
+        while len(at):
+            mask = A.first_bytes(size[at] - done)
+            same = (here[start[at] + done] & mask) == (there[self.at[k[at]] + done] & mask)
+            hit[at[~same]] = False
+            done += 8
+            at = at[same & (size[at] > done)]
+        return k, hit
+
+
+def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> WordTable:
+    """The table of at most `most` frequent words, with ids from folds over distinct words; besides, of what merges do not lead to."""
     counts = keep(word_counts(docs), "words")
     steps = counts.where("n > 1").groupBy(F.expr("cast(log2(n) * 8 as int)").alias("size")).agg(F.count("*").alias("k")).orderBy(F.desc("size")).collect()
     least, held = None, 0
@@ -216,68 +285,59 @@ def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> tuple[
         if held > most:
             break
         least = r["size"]
-    if least is None:
-        drop(counts)
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
-    chosen = counts.where(F.expr(f"n > 1 and cast(log2(n) * 8 as int) >= {least}")).select("word").repartition(F.col("word"))
-    folded = keep(chosen.select("word", ranks.fold(F.col("word")).alias("ids")), "folded")
-
-    def run(batches):
-        for batch in batches:
-            raw, off = A.string_bytes(batch.column(0))
-            ids = batch.column(1)
-            size = np.diff(ids.offsets.to_numpy()).astype(np.int32)
-            flat = ids.flatten().to_numpy().astype(np.uint16)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            yield pa.RecordBatch.from_arrays([pa.array(A.span_hashes(raw, off[:-1], off[1:]).view(np.int64)), A.binary_array(flat, ends * 2)], ["h", "ids"])
-
-    got = folded.mapInArrow(run, "h long, ids binary").toArrow()
+    words, ids = [pa.array(ranks.whole, pa.binary())], [pa.array([np.uint16(ranks.ranks[w]).tobytes() for w in ranks.whole], pa.binary())]
+    if least is not None:
+        chosen = counts.where(F.expr(f"n > 1 and cast(log2(n) * 8 as int) >= {least}")).select("word").repartition(F.col("word"))
+        folded = keep(chosen.select("word", ranks.fold(F.col("word")).alias("ids")), "folded")
+
+        def run(batches):
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy().astype(np.uint16)
+                ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), A.binary_array(flat, ends * 2)], ["word", "ids"])
+
+        got = folded.mapInArrow(run, "word binary, ids binary").toArrow()
+        new = got["word"].combine_chunks()
+        if ranks.whole:
+            got = got.filter(pc.invert(pc.is_in(new, pa.array(ranks.whole, pa.binary()))))
+        words.append(got["word"].combine_chunks())
+        ids.append(got["ids"].combine_chunks())
+        drop(folded)
     drop(counts)
-    drop(folded)
-    h = got["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    column = got["ids"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-    off = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] // 2
-    return h[order], off.copy(), np.frombuffer(column.buffers()[2], np.uint16)[: off[-1]].copy()
-
-
-def _ragged(off: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Places of the elements of the picked rows, one row after another."""
-    size = off[pick + 1] - off[pick]
-    return np.repeat(off[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return WordTable.of(pa.concat_arrays(words), pa.concat_arrays(ids))
 
 
 def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 16-bit integers, of each row of docs (doc_id, text). Null texts count as
     empty and give no ids. Rows stay as many as they are; other columns are ignored.
     """
-    return _encoded(docs, ranks, most, lambda batches: batches, "doc_id long, ids binary")
+    return _encoded(docs, ranks, most, lambda batches, _: batches, "doc_id long, ids binary")[0]
 
 
-def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> DataFrame:
-    """Rows of encode() that `then` makes batches of `schema` from, in the same Python worker."""
+def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tuple[DataFrame, list]:
+    """Rows of encode() that then(batches, ranks) makes batches of `schema` from, in the same Python worker; and the broadcasts."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(word_table(docs, ranks, most))
+    _tidy()
     vocabulary = spark.sparkContext.broadcast(ranks.ranks)
 
     def known(batches):
-        h, off, ids = shared.value
+        table = shared.value
+        off, ids = table.off, table.ids
         for batch in batches:
             raw, at = A.string_bytes(batch.column(1))
             for a, b in A.slices(at):
                 part = raw[at[a] : at[b]]
                 start, end, row = pieces(part, at[a : b + 1] - at[a])
-                own = A.span_hashes(part, start, end)
-                k = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
-                hit = h[k] == own if len(h) else np.zeros(len(own), bool)
-                size = np.ones(len(own), np.int64)
+                k, hit = table.find(part, start, end)
+                size = np.ones(len(hit), np.int64)
                 size[hit] = off[k[hit] + 1] - off[k[hit]]
                 out = np.full(size.sum(), -1, np.int32)
                 to = np.cumsum(size) - size
                 miss = np.flatnonzero(~hit)
                 filled = np.ones(len(out), bool)
                 filled[to[miss]] = False
-                out[filled] = ids[_ragged(off, k[hit])]
+                out[filled] = ids[A.ragged(off[k[hit]], size[hit])]
                 data = part.tobytes()
                 long = end[miss] - start[miss] > FOLD_BYTES
                 words = [data[s:e] for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)]
@@ -313,7 +373,15 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> Dat
 
     rows = _text(docs).mapInArrow(known, "doc_id long, ids binary, tail array<string>, long array<binary>")
     rows = rows.select("doc_id", "ids", F.transform("tail", ranks.fold).alias("tail"), "long")
-    return rows.mapInArrow(lambda batches: then(filled(batches)), schema)
+    return rows.mapInArrow(lambda batches: then(filled(batches), vocabulary.value), schema), [shared, vocabulary]
+
+
+def _tidy() -> None:
+    """Gives memory that the driver's Python process does not need any more back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
@@ -322,6 +390,10 @@ def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, shared.value), "doc_id long, ids binary, bytes binary")
 
 
+def _joined(places: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return data[A.ragged(places[ids], places[ids.astype(np.int64) + 1] - places[ids])]
+
+
 def _decoded(batches, ranks: dict[bytes, int]):
     table = sorted(ranks.items(), key=lambda x: x[1])
     places = np.full(table[-1][1] + 2, 0, np.int64)
@@ -331,7 +403,7 @@ def _decoded(batches, ranks: dict[bytes, int]):
         out, held, first = [], 0, 0
         for k in range(batch.num_rows):
             raw = batch.column(1)[k].as_buffer()
-            out.append(None if raw is None else data[_ragged(places, np.frombuffer(raw, "<u2").astype(np.int64))].tobytes())
+            out.append(None if raw is None else _joined(places, data, np.frombuffer(raw, "<u2")).tobytes())
             held += len(out[-1] or b"")
             if held > BATCH_BYTES or k == batch.num_rows - 1:
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(out)) for c in batch.columns), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
@@ -341,12 +413,12 @@ def _decoded(batches, ranks: dict[bytes, int]):
 def token_digests(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: hashes of the ids as 32-bit integers and of what they decode to.
 
-    Decoding and hashing run in the worker that encodes, so that texts need not leave it.
+    Decoding and hashing run in the worker that encodes, so that texts need not leave it. Null texts count as empty; null ids and
+    repeated rows stay as they are; other columns are ignored; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks.ranks)
 
-    def digests(batches):
-        for batch in _decoded(batches, shared.value):
+    def digests(batches, vocabulary):
+        for batch in _decoded(batches, vocabulary):
             n, ids, text = [], [], []
             for raw, back in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n.append(len(raw) // 2)
@@ -354,4 +426,9 @@ def token_digests(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> Dat
                 text.append(hashlib.sha256(back).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _encoded(docs, ranks, most, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out, held = _encoded(docs, ranks, most, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = keep(out, "result")
+    for x in held:
+        x.destroy()
+    release(docs.sparkSession)
+    return out

@@ -78,21 +78,22 @@ def budgets(leaves: dict[tuple, int], budget: int, weights: dict[tuple, float],
     return out
 
 
-def mix(docs: DataFrame, share: float = 0.5, weights: dict[tuple, float] | None = None, epochs: int = 2, alpha: float = 1, seed: int = SEED) -> DataFrame:
-    """The chosen rows of docs (doc_id, text, domain, lang, source), with columns tokens and epoch added, a row for each epoch.
+def mix(docs: DataFrame, share: float = 0.5, weights: dict[tuple, float] | None = None, epochs: int = 2, alpha: float = 1, seed: int = SEED, levels: tuple = LEVELS, add: tuple = ("tokens", "epoch")) -> DataFrame:
+    """The chosen rows of docs (doc_id, text, and the levels of the tree: names or columns), a row for each epoch. Columns with the
+    names in `add` are added, for the tokens and the epoch; with add=() docs' columns stay as they are.
 
     The budget is `share` of all tokens. weights: of nodes, by path from the domain down; see budgets(). epochs: how often a row
     may occur at most. A leaf's last epoch takes rows in the order of md5('seed:epoch:doc_id'), ties by doc_id, as long as their
     tokens fit; rows with the same id come or go together. Null texts have no tokens, null names and ids count as ''. Rows of
-    leaves without any token never occur. Raises ValueError beyond MAX_LEAVES leaves. Columns tokens and epoch of docs are
-    replaced, all others kept, whatever their names. An empty table gives an empty one.
+    leaves without any token never occur. Raises ValueError beyond MAX_LEAVES leaves. Columns of docs that are named as in `add`
+    are replaced, all others kept, whatever their names. An empty table gives an empty one.
     """
     tag = "_"
     while any(c.lower().startswith(tag) for c in docs.columns):
         tag += "_"
-    a, b, c, key, n, whole, rest, h, end, last, till, upto, times = (tag + x for x in ("a", "b", "c", "id", "n", "whole", "rest", "h", "end", "last", "till", "upto", "times"))
+    a, b, c, key, n, whole, rest, h, end, last, till, upto, times, no = (tag + x for x in ("a", "b", "c", "id", "n", "whole", "rest", "h", "end", "last", "till", "upto", "times", "no"))
     names = [a, b, c]
-    level = {x: F.coalesce(F.col(col).cast("string"), F.lit("")) for x, col in zip(names, LEVELS, strict=True)}
+    level = {x: F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")) for x, col in zip(names, levels, strict=True)}
     own = {**level, key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), n: tokens_of(F.col("text"))}
     light = keep(docs.select(*(e.alias(x) for x, e in own.items())), "tokens")
     got = light.groupBy(*names).agg(F.sum(n).alias("n"), F.count("*").alias("rows")).limit(MAX_LEAVES + 1).collect()
@@ -115,10 +116,10 @@ def mix(docs: DataFrame, share: float = 0.5, weights: dict[tuple, float] | None
     fit = fit.withColumn(upto, F.sum(n).over(Window.partitionBy(*names).orderBy(h, key))).where(F.col(till) + F.col(upto) <= F.col(rest))
     cut = fit.groupBy(*names).agg(F.max(F.struct(h, key)).alias(last))
     cuts = keep(ends.join(cut, names, "left").select(*names, end, last), "cuts")
-    here = docs.drop("tokens", "epoch").withColumns({**own, "tokens": tokens_of(F.col("text"))})
+    here = docs.withColumns(own)
     here = here.join(plan, names).join(F.broadcast(cuts), names, "left").withColumn(h, place)
     part = F.col(end).isNotNull() & ((ranged < F.col(end)) | (F.col(last).isNotNull() & (F.struct(h, key) <= F.col(last))))
     here = here.withColumn(times, F.col(whole) + F.coalesce(part, F.lit(False)).cast("long")).where(F.col(times) > 0)
-    out = here.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    out = here.withColumn(no, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
     drop(light)
-    return out.select(*(x for x in docs.columns if x not in ("tokens", "epoch")), "tokens", "epoch")
+    return out.select(*(x for x in docs.columns if x not in add), *(F.col(x).alias(y) for x, y in zip((n, no), add, strict=False)))

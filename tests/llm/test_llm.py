@@ -272,6 +272,33 @@ def test_bpe(spark, docs, ranks):
     assert Counter(tuple(r) for r in few.collect()) == expect
 
 
+def test_bpe_of_tokens_that_merges_do_not_lead_to(spark):
+    import public_tokenizers
+    import tiktoken
+
+    own = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"xyz": 257, b"abab": 258, b"Q" * 100: 259}
+    few = bpe.Ranks(own)
+    assert few.whole == [b"xyz", b"Q" * 100] and bpe.last_pair(b"abab", own) == (b"ab", b"ab")
+    enc = tiktoken.Encoding("few", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
+    rows = [(1, "xyz"), (2, "xyzab abab\nxyz"), (3, "Q" * 100), (4, "Q" * 101), (5, "abababab xyz xyz"), (6, None)]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), few).collect()}
+    assert got == {i: enc.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_word_table_compares_bytes():
+    words = [b"word", b"a longer word", b"another longer word, 26 bytes"]
+    import pyarrow as pa
+
+    table = bpe.WordTable.of(pa.array(words, pa.binary()), pa.array([b"\1\0", b"\2\0\3\0", b"\4\0"], pa.binary()))
+    raw = b"".join([*words, b"words"])
+    ends = np.cumsum([0] + [len(w) for w in words] + [5])
+    k, hit = table.find(np.frombuffer(raw, np.uint8), ends[:-1], ends[1:])
+    assert hit.tolist() == [True, True, True, False]
+    assert [table.ids[table.off[i] : table.off[i + 1]].tolist() for i in k[:3]] == [[1], [2, 3], [4]]
+    table.data[table.at[k[2]] + 20] ^= 1  # another word of the same hash and size
+    assert table.find(np.frombuffer(raw, np.uint8), ends[:-1], ends[1:])[1].tolist() == [True, True, False, False]
+
+
 def test_mixing(spark, docs):
     assert mixing.fill(10, [1, 1], [3, 100]) == [3, 7] and mixing.fill(10, [1, 1, 2], [100] * 3) == [3, 2, 5] and mixing.fill(9, [1], [4]) == [4]
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "1"): 100, ("b", "z", "1"): 1000}
