@@ -9,35 +9,51 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe, mixing, ngram_join, passages, quality
 from lattica.llm.queries import ranks, table
-from lattica.llm.tables import folder
+from lattica.llm.tables import BROADCAST_ROWS, folder
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, with all their rows and columns; all of them if nothing can be learned."""
     return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
+    """One document of each group of near copies: the one with the smallest id, and of rows with that id and one text one. Rows without
+    an id stay, as do rows of one id with other texts."""
     groups = ngram_join.ngram_components(docs)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    marked = gone.withColumn("_gone", F.lit(True))
-    small = gone.limit(1_000_001).count() <= 1_000_000
-    return docs.join(F.broadcast(marked) if small else marked, "doc_id", "left").where("_gone is null").select(*docs.columns)
+    out = without(docs, gone)
+    twice = groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return out
+    again = docs.join(with_size(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return without(out, twice).unionByName(again)
+
+
+def with_size(ids: DataFrame) -> DataFrame:
+    """ids, broadcast in a join if they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows of ids (doc_id)."""
+    return docs.join(with_size(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later copies of passages that repeat."""
+    """Documents without the later copies of passages that repeat; those of which nothing is left go, also if they were repeated rows."""
     return passages.without_repeats(docs, passages.repeated_passages(docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mix of nine tenths of the tokens, in which large leaves weigh less than in proportion; no document occurs twice."""
-    return mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))), share=0.9, epochs=1, alpha=0.7).select(*docs.columns)
+    """A mix of nine tenths of the tokens, in which large leaves weigh less than in proportion; no document occurs twice.
+    Rows of leaves without any token go; null languages and sources are leaves of their own."""
+    levels = (mixing.domain_of(F.col("source")), "lang", "source")
+    return mixing.mix(docs, share=0.9, epochs=1, alpha=0.7, levels=levels, add=())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of each document, and hashes of its ids and of what they decode to."""
+    """Byte-level BPE of each document, and hashes of its ids and of what they decode to; a row for each row."""
     return bpe.token_digests(docs, ranks())
 
 
