@@ -18,10 +18,12 @@ from lattica.llm import arrays as A
 from lattica.llm.tables import drop, keep, release
 
 #: Words with ids: so many times the cube root of the training tokens; the softmax has the square root of them as classes.
-WORDS_FACTOR = 16
-HIDDEN, WINDOW, STREAMS, ROUNDS, RATE, SEED = 24, 32, 96, 3, 0.01, 53
+WORDS_FACTOR = 8
+HIDDEN, WINDOW, STREAMS, ROUNDS, RATE, SEED = 16, 32, 192, 3, 0.01, 53
+#: Largest logit that is told apart, far above what fits give: exponents of it do not overflow.
+LOGIT = np.float32(60)
 #: Windows that a stream has at least before there are more streams; tokens fitted at a time, and of a task in all rounds.
-WINDOWS, FIT_TOKENS, TASK_TOKENS = 64, 1 << 18, 2_000_000
+WINDOWS, FIT_TOKENS, TASK_TOKENS = 32, 1 << 18, 2_000_000
 #: Tokens of a scoring window over all documents in step; parameters in a row when copies are averaged.
 TOKENS, PART = 16_384, 4_096
 
@@ -61,37 +63,42 @@ class Recurrent:
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of y, and with grads the gradient by h of minus their sum."""
-        p, cls, rows = self.p, self.cls[y], np.arange(len(y))
-        out, share = self._chosen(h @ p["wc"] + p["bc"], cls)
-        dh = None
-        if grads is not None:
-            share[rows, cls] -= 1
-            grads["wc"] += h.T @ share
-            grads["bc"] += share.sum(0)
-            dh = share @ p["wc"].T
-        order = np.argsort(cls.astype(np.int32), kind="stable")
+        p, cls, rows, fit = self.p, self.cls[y], np.arange(len(y)), grads is not None
+        logits = h @ p["wc"]
+        logits += p["bc"]
+        out, dh = self._chosen(logits, cls, rows, fit), None
+        if fit:
+            grads["wc"] += h.T @ logits
+            grads["bc"] += logits.sum(0)
+            dh = logits @ p["wc"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(len(self.first)))
+        h, y, got, back = h[order], y[order], np.zeros(len(y), h.dtype), np.zeros_like(h) if fit else None
         for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.first) > 1)):
-            at, lo, hi = order[bounds[c] : bounds[c + 1]], self.first[c], self.first[c + 1]
-            own, word = h[at], y[at] - lo
-            got, share = self._chosen(own @ p["ww"][lo:hi].T + p["bw"][lo:hi], word)
-            out[at] += got
-            if grads is not None:
-                share[rows[: len(at)], word] -= 1
-                grads["ww"][lo:hi] += share.T @ own
-                grads["bw"][lo:hi] += share.sum(0)
-                dh[at] += share @ p["ww"][lo:hi]
+            (a, b), (lo, hi) = bounds[c : c + 2], self.first[c : c + 2]
+            logits = h[a:b] @ p["ww"][lo:hi].T
+            logits += p["bw"][lo:hi]
+            got[a:b] = self._chosen(logits, y[a:b] - lo, rows[: b - a], fit)
+            if fit:
+                grads["ww"][lo:hi] += logits.T @ h[a:b]
+                grads["bw"][lo:hi] += logits.sum(0)
+                back[a:b] = logits @ p["ww"][lo:hi]
+        out[order] += got
+        if fit:
+            dh[order] += back
         return out, dh
 
     @staticmethod
-    def _chosen(logits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of y in each row, and all probabilities, in place of the logits."""
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(y)), y]
+    def _chosen(logits: np.ndarray, y: np.ndarray, rows: np.ndarray, fit: bool) -> np.ndarray:
+        """Log-probability of y in each row; with fit, its gradient by the logits, with the sign turned, in place of them."""
+        np.minimum(logits, LOGIT, logits)
+        out = logits[rows, y]
         np.exp(logits, logits)
-        total = logits.sum(1, keepdims=True)
-        logits /= total
-        return out - np.log(total[:, 0]), logits
+        total = logits.sum(1)
+        if fit:
+            logits *= (1 / total)[:, None]
+            logits[rows, y] -= 1
+        return out - np.log(total)
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Loss, gradients and last state of a window: x, y (steps, streams), backpropagation no further than its start."""
@@ -125,26 +132,31 @@ class Recurrent:
 
     def fit(self, stream: np.ndarray, memory: dict, streams: int = STREAMS, window: int = WINDOW, rate: float = RATE) -> None:
         """One pass over a stream of ids, cut into as many parallel ones as are at least WINDOWS windows long; memory holds the
-        moments of the gradients from call to call."""
+        mean squares of the gradients, by which steps are divided, from call to call."""
         streams = max(1, min(streams, len(stream) // (window * WINDOWS)))
         n = (len(stream) - 1) // streams
         if n < 1:
             return
         x, y = (np.ascontiguousarray(stream[k : k + n * streams].reshape(streams, n).T) for k in (0, 1))
         if not memory:
-            memory |= {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()} | {"t": 0}
+            memory |= {k: np.zeros_like(a) for k, a in self.p.items()} | {"": 0}
         h = np.zeros((streams, self.hidden), np.float32)
         for at in range(0, n, window):
             _, grads, h = self.window(x[at : at + window], y[at : at + window], h)
-            memory["t"] += 1
-            one, two = 1 - 0.9 ** memory["t"], 1 - 0.999 ** memory["t"]
+            memory[""] += 1
+            known = 1 / (1 - 0.99 ** memory[""])
             for k, g in grads.items():
-                g *= window / x[at : at + window].size
-                np.clip(g, -1, 1, g)
-                m, v = memory[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                self.p[k] -= ((rate / one) * m / (np.sqrt(v / two) + 1e-6)).astype(np.float32)
+                g *= np.float32(window / x[at : at + window].size)
+                square = g * g
+                square -= memory[k]
+                square *= np.float32(0.01)
+                memory[k] += square
+                np.multiply(memory[k], np.float32(known), square)
+                np.sqrt(square, square)
+                square += np.float32(1e-5)
+                g /= square
+                g *= np.float32(rate)
+                self.p[k] -= g
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.p.values()])
