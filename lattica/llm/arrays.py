@@ -6,7 +6,9 @@ constants below, so every executor and every run agrees.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,14 @@ _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SLICE_BYTES = 1 << 18
 
 
+def give_back() -> None:
+    """Returns memory that this process does not need any more to the system, where the C library can: a worker that waits for
+    its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
     h = (h ^ (h >> U(30))) * _MIX1
@@ -32,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and row offsets; null counts as empty. Memory that Arrow no longer needs goes back first."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     if column.null_count:
         column = column.fill_null("")
     if not len(column):

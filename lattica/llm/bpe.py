@@ -9,12 +9,10 @@ then compared byte by byte.
 from __future__ import annotations
 
 import base64
-import ctypes
 import gc
 import hashlib
 import heapq
 import json
-from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
-from lattica.llm.tables import drop, keep, release
+from lattica.llm.tables import drop, keep, release, small_batches
 
 #: Most words of the table that executors get, about 20 bytes each; and most bytes of a word that is folded.
 TABLE_WORDS, FOLD_BYTES = 2_000_000, 96
@@ -212,7 +210,7 @@ def word_counts(docs: DataFrame, longest: int = FOLD_BYTES) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, off = A.string_bytes(batch.column(0))
-            for part in A.slices(off, 16 << 20):
+            for part in A.slices(off, 4 << 20):
                 yield from count(raw, off[part[0] : part[1] + 1])
 
     def count(raw, off):
@@ -317,8 +315,10 @@ def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
 def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tuple[DataFrame, list]:
     """Rows of encode() that then(batches, ranks) makes batches of `schema` from, in the same Python worker; and the broadcasts."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(word_table(docs, ranks, most))
-    _tidy()
+    gc.collect()
+    A.give_back()
     vocabulary = spark.sparkContext.broadcast(ranks.ranks)
 
     def known(batches):
@@ -376,14 +376,6 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tup
     return rows.mapInArrow(lambda batches: then(filled(batches), vocabulary.value), schema), [shared, vocabulary]
 
 
-def _tidy() -> None:
-    """Gives memory that the driver's Python process does not need any more back to the system, where the C library can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     """Adds `bytes` to (doc_id, ids): the pieces of the ids, one after another. Null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks.ranks)

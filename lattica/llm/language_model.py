@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
-from lattica.llm.tables import drop, keep, release
+from lattica.llm.tables import drop, keep, release, small_batches
 
 #: Words with ids: so many times the cube root of the training tokens; the softmax has the square root of them as classes.
 WORDS_FACTOR = 8
@@ -273,6 +273,7 @@ def language_model_scores(docs: DataFrame, factor: float = WORDS_FACTOR, rounds:
     among them. Null texts count as empty: their one token is the end. Rows repeated whole are scored alike. Without a training
     row all counts are 0. Scores are log10 probabilities; base_score that of single tokens by their counts. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = _text(docs)
 
     def count(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.components import components
-from lattica.llm.tables import drop, keep, with_rows_of
+from lattica.llm.tables import drop, keep, small_batches, with_rows_of
 
 WIDTH, PERCENT = 5, 80
 #: 32 bands of 3: a pair at Jaccard 0.8 misses all with probability (1 - 0.8^3)^32 = 1e-10.
@@ -175,6 +175,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     A null, empty or blank text has no set and links with nothing; so does a row whose doc_id is null, which is kept. Rows
     repeated whole stay as many. Other columns are ignored. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     s = keep(sketches(docs, width, bands, per_band), "sketches")
     known = s.where("n > 0 and doc_id is not null")
     same = ["set_a", "set_b", "n"]

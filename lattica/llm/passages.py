@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lattica.llm import arrays as A
 from lattica.llm.components import components
 from lattica.llm.ngram_join import PERCENT, WIDTH, _sum, links
-from lattica.llm.tables import BROADCAST_BYTES, drop, keep, release, with_rows_of
+from lattica.llm.tables import BROADCAST_BYTES, drop, keep, release, small_batches, with_rows_of
 
 #: A run of repeated pieces counts from so many words on; pieces of so many shingles are banded.
 RUN_WORDS, BANDED = 25, 8
@@ -325,6 +325,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     piece, which is kept; copies counts the class. Documents without a repeated passage have no row; so have null or empty
     texts and rows whose doc_id is null. Rows repeated whole count as copies of the first in ties. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     exact = exact_passages(docs)
     p = keep(pieces(docs, width), "pieces")
     near = pieces(docs, width, True).select("fp", F.explode(F.array_distinct("keys")).alias("key"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.learn import Logistic, lowest, sigmoid
+from lattica.llm.tables import small_batches
 
 #: Bounds of the samples that the classifiers are fitted on: labelled rows, and rows without label for pseudo-labels.
 LABELLED_ROWS, POOL_ROWS = 6_000, 6_000
@@ -121,6 +122,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content:
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Quality | None:
     """Fits on at most LABELLED_ROWS rows of labels (doc_id, quality) and POOL_ROWS documents without label."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = lowest(known, LABELLED_ROWS, SEED)
     pool = lowest(docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known.select("doc_id"), "doc_id", "left_anti").distinct(), POOL_ROWS, SEED + 1)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch of texts for Python workers.
+BATCH_ROWS = 2_000
 #: Rows of ids, and bytes of longer rows, that a broadcast may carry; a larger side is joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -24,6 +26,13 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Whole texts go to Python workers in batches of so many rows at most: a batch is held several times over on its way."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
