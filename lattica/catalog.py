@@ -25,7 +25,8 @@ symbols AS (SELECT doc_id * 1000000 + line AS id, doc_id AS file_id, path, names
 refs AS (SELECT file_id, path, line, from_symbol, name, col, CASE WHEN col = 0 THEN 'call' ELSE 'ref' END AS kind FROM
   (SELECT doc_id AS file_id, path, line, doc_id * 1000000 + line AS from_symbol, unnest(names) AS name, CAST(unnest(range(len(names))) AS INTEGER) AS col FROM named WHERE len(names) > 0)),
 ranked AS (SELECT *, RANK AS rk FROM symbols),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN kind = 'prototype' THEN 1 ELSE 0 END, rk, end_line - line DESC, path, line, col, id) AS r FROM ranked) WHERE r = 1)
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN kind = 'prototype' THEN 1 ELSE 0 END, rk, end_line - line DESC, path, line, col, id) AS r FROM ranked) WHERE r = 1),
+called AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN kind = 'prototype' THEN 1 ELSE 0 END, CASE WHEN kind IN ('function', 'method', 'macro') THEN 0 ELSE 1 END, rk, end_line - line DESC, path, line, col, id) AS r FROM ranked) WHERE r = 1)
 """.replace("RANK", RANK)
 STAR = """WITH edges AS (SELECT 'c:' || CAST(o_custkey AS VARCHAR) AS src, 'p:' || CAST(l_partkey AS VARCHAR) AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
 UNION ALL SELECT 'p:' || CAST(l_partkey AS VARCHAR), 's:' || CAST(l_suppkey AS VARCHAR), count(*) FROM lineitem GROUP BY ALL),
@@ -112,9 +113,9 @@ def search_symbols(spark, d):
     return pick(P.text_store(spark, d).search_symbols(" TION "), SYMBOL)
 
 
-@query(TEXT + f"SELECT {SYMBOL_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rk, end_line - line DESC, path, line, col, id) AS r FROM ranked WHERE starts_with(name, 'Th')) WHERE r = 1 ORDER BY name LIMIT 150")
+@query(TEXT + f"SELECT {SYMBOL_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rk, end_line - line DESC, path, line, col, id) AS r FROM ranked WHERE starts_with(name, 'Th')) WHERE r = 1 ORDER BY rk, name LIMIT 50")
 def symbols_with_prefix(spark, d):
-    return pick(P.text_store(spark, d).symbols_with_prefix("Th"), SYMBOL)
+    return pick(P.text_store(spark, d).symbols_with_prefix("Th", 50), SYMBOL)
 
 
 @query(TEXT + "SELECT DISTINCT name FROM symbols WHERE kind IN ('macro', 'struct')")
@@ -143,7 +144,7 @@ def enclosing_functions(spark, d):
     return pick(P.text_store(spark, d).enclosing_functions(places), "path spot name line")
 
 
-@query(TEXT + "SELECT path, name, qualname, kind, line FROM symbols WHERE starts_with(qualname, 'src1::') AND instr(substr(qualname, 7), '::') = 0")
+@query(TEXT + "SELECT path, name, qualname, kind, line FROM symbols WHERE starts_with(qualname, 'src1::') AND instr(substr(qualname, 7), '::') = 0 AND kind IN ('field', 'method', 'prototype')")
 def members_of(spark, d):
     return pick(P.text_store(spark, d).members_of("src1"), "path name qualname kind line")
 
@@ -167,7 +168,7 @@ def references_of(spark, d):
     return pick(P.text_store(spark, d).references_of(FREQUENT), REF)
 
 
-@query(TEXT + "SELECT c.name, c.line, c.col, c.count, b.kind AS target_kind, b.path AS target_path, b.line AS target_line FROM (SELECT name, min(line) AS line, min(col) AS col, count(*) AS count FROM refs WHERE from_symbol = 1000000 AND kind = 'call' GROUP BY name) c LEFT JOIN best b ON c.name = b.name")
+@query(TEXT + "SELECT c.name, c.line, c.col, c.count, b.kind AS target_kind, b.path AS target_path, b.line AS target_line FROM (SELECT name, min(line) AS line, min(col) AS col, count(*) AS count FROM refs WHERE from_symbol = 1000000 AND kind = 'call' GROUP BY name) c LEFT JOIN called b ON c.name = b.name")
 def callees_of(spark, d):
     return P.text_store(spark, d).callees_of(1_000_000)
 
@@ -187,7 +188,7 @@ def incoming_calls(spark, d):
     return pick(P.text_store(spark, d).incoming_calls(NAME), "from_qualname from_path from_line count")
 
 
-@query(TEXT + "SELECT c.name, c.line, c.count, b.path AS target_path FROM (SELECT name, min(line) AS line, count(*) AS count FROM refs WHERE from_symbol = 1000000 AND kind = 'call' GROUP BY name) c JOIN best b ON c.name = b.name")
+@query(TEXT + "SELECT c.name, c.line, c.count, b.path AS target_path FROM (SELECT name, min(line) AS line, count(*) AS count FROM refs WHERE from_symbol = 1000000 AND kind = 'call' GROUP BY name) c JOIN called b ON c.name = b.name")
 def outgoing_calls(spark, d):
     return pick(P.text_store(spark, d).outgoing_calls(1_000_000), "name line count target_path")
 
@@ -207,7 +208,7 @@ def closeness_order(spark, d):
     return P.text_store(spark, d).closest_files(FREQUENT, FILE)
 
 
-@query(TEXT + "SELECT m.name, coalesce(u.refs, 0) AS refs, coalesce(u.files, 0) AS files, coalesce(u.top_files, '') AS top_files FROM (SELECT DISTINCT name FROM symbols WHERE starts_with(qualname, 'src1::') AND instr(substr(qualname, 7), '::') = 0) m LEFT JOIN (SELECT name, CAST(sum(total) AS BIGINT) AS refs, count(*) AS files, string_agg(CASE WHEN r <= 3 THEN split_part(path, '/', 3) END, ',' ORDER BY r) AS top_files FROM (SELECT name, path, count(*) AS total, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, path) AS r FROM refs GROUP BY name, path) GROUP BY name) u ON m.name = u.name")
+@query(TEXT + "SELECT m.name, coalesce(u.refs, 0) AS refs, coalesce(u.files, 0) AS files, coalesce(u.top_files, '') AS top_files FROM (SELECT DISTINCT name FROM symbols WHERE starts_with(qualname, 'src1::') AND instr(substr(qualname, 7), '::') = 0 AND kind IN ('field', 'method', 'prototype')) m LEFT JOIN (SELECT name, CAST(sum(total) AS BIGINT) AS refs, count(*) AS files, string_agg(CASE WHEN r <= 3 THEN split_part(path, '/', 3) END, ',' ORDER BY r) AS top_files FROM (SELECT name, path, count(*) AS total, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, path) AS r FROM refs GROUP BY name, path) GROUP BY name) u ON m.name = u.name")
 def member_usage(spark, d):
     return P.text_store(spark, d).member_usage("src1")
 
@@ -278,11 +279,9 @@ def bases_of(spark, d):
     return pick(P.star_bases(spark, d).bases_of("n:3"), "base base_qualname")
 
 
-@query(CLASSES + "SELECT s.id, s.name, s.qualname FROM sy s JOIN ba b ON s.id = b.symbol_id WHERE b.base = (SELECT n_name FROM nation WHERE n_nationkey = 3)")
+@query(CLASSES + "SELECT s.id, s.name, s.qualname FROM sy s JOIN ba b ON s.id = b.symbol_id WHERE b.base = 'NATION_3'")
 def derived_of(spark, d):
-    s = P.star_bases(spark, d)
-    base = s.symbols.where("id = 'n:3'").select(F.col("name").alias("base"))
-    return pick(s.symbols.join(s.bases.join(F.broadcast(base), "base").select(F.col("symbol_id").alias("id")), "id"), "id name qualname")
+    return pick(P.star_bases(spark, d).derived_of("NATION_3"), "id name qualname")
 
 
 @query(CLASSES + ", e AS (SELECT symbol_id AS src, coalesce(s.id, 'ext:' || base) AS dst FROM ba LEFT JOIN sy s ON s.name = base) SELECT src AS source, dst AS target, CAST(1 AS BIGINT) AS count FROM e WHERE src = 'n:3' OR src IN (SELECT dst FROM e WHERE src = 'n:3')")
@@ -320,12 +319,64 @@ def call_graph_folders(spark, d):
     return G.folded(G.build(P.star_edges(spark, d), P.star_nodes(spark, d), "c:1", "callees", 1, 1_000_000), "c:1", "", 3)
 
 
-@query(STAR + ", g AS (SELECT DISTINCT dst AS id FROM edges WHERE src = 'c:1') SELECT id, EXISTS (SELECT 1 FROM edges e WHERE e.src = x.id AND x.id <> 'c:1') AS callees, EXISTS (SELECT 1 FROM edges e WHERE e.dst = x.id AND e.src <> 'c:1') AS callers FROM (SELECT id FROM g UNION ALL SELECT 'c:1') x")
+@query(STAR + "SELECT 'c:1' AS id, false AS callees, false AS callers, false AS folder UNION ALL SELECT DISTINCT dst, EXISTS (SELECT 1 FROM edges e WHERE e.src = x.dst), false, false FROM edges x WHERE src = 'c:1'")
 def call_graph_expandable(spark, d):
     e = P.star_edges(spark, d)
     return G.expandable(G.build(e, P.star_nodes(spark, d), "c:1", "callees", 1, 1_000_000), e)
 
 
+@query(STAR + "SELECT 's:1' AS id, false AS callees, false AS callers, false AS folder UNION ALL SELECT DISTINCT src, false, EXISTS (SELECT 1 FROM edges e WHERE e.dst = x.src), false FROM edges x WHERE dst = 's:1'")
+def call_graph_expandable_callers(spark, d):
+    e = P.star_edges(spark, d)
+    return G.expandable(G.build(e, P.star_nodes(spark, d), "s:1", "callers", 1, 1_000_000), e)
+
+
+GROUPED = STAR + ", m AS (SELECT dst, n, CASE WHEN dir = 'Brand#13' THEN dst ELSE 'grp:callees:c:1:' || dir END AS id, dir FROM edges JOIN nodes ON nodes.id = dst WHERE src = 'c:1') "
+FOLDERS = G.Folders(3, ("grp:callees:c:1:Brand#13",))
+
+
+@query(GROUPED + "SELECT id, count(*) AS parts, 1 AS depth, CASE WHEN id = any_value(dst) THEN 'function' ELSE 'group' END AS kind, CASE WHEN id = any_value(dst) THEN NULL ELSE any_value(dir) || '/ (' || count(*) || ')' END AS folder FROM m GROUP BY id UNION ALL SELECT 'c:1', 1, 0, 'function', NULL")
+def call_graph_grouped(spark, d):
+    """Folders in place of the centre's callees, one of them opened."""
+    n = G.build(P.star_edges(spark, d), P.star_nodes(spark, d), "c:1", "callees", 1, 1_000_000, folders=FOLDERS).nodes
+    parts = F.when(F.col("kind") == "group", F.regexp_extract("label", r"\((\d+)\)$", 1).cast("long")).otherwise(1)
+    return n.select("id", parts.alias("parts"), "depth", "kind", F.when(F.col("kind") == "group", F.col("label")).alias("folder"))
+
+
+@query(GROUPED + "SELECT 'c:1' AS source, id AS target, CAST(sum(n) AS BIGINT) AS count FROM m GROUP BY id")
+def call_graph_grouped_edges(spark, d):
+    return G.build(P.star_edges(spark, d), P.star_nodes(spark, d), "c:1", "callees", 1, 1_000_000, folders=FOLDERS).edges
+
+
+TRADE = """WITH sold AS (SELECT s_nationkey AS a, c_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM sold),
+e AS (SELECT 'n:' || a AS src, 'n:' || b AS dst, n FROM top WHERE r <= 3 OR a = b),
+l1 AS (SELECT * FROM e WHERE src = 'n:3'), d1 AS (SELECT DISTINCT dst AS id FROM l1 WHERE dst <> 'n:3'),
+l2 AS (SELECT * FROM e WHERE src IN (SELECT id FROM d1)), d2 AS (SELECT DISTINCT dst AS id FROM l2 WHERE dst <> 'n:3' AND dst NOT IN (SELECT id FROM d1)),
+k1 AS (SELECT src, dst, CASE WHEN src = dst THEN 1 ELSE n END AS n FROM e WHERE dst = 'n:3'), u1 AS (SELECT DISTINCT src AS id FROM k1 WHERE src <> 'n:3'),
+k2 AS (SELECT src, dst, CASE WHEN src = dst THEN 1 ELSE n END AS n FROM e WHERE dst IN (SELECT id FROM u1)), u2 AS (SELECT DISTINCT src AS id FROM k2 WHERE src <> 'n:3' AND src NOT IN (SELECT id FROM u1)),
+seen AS (SELECT id, min_by(depth, o) AS depth FROM (SELECT 'n:3' AS id, 0 AS depth, 0 AS o UNION ALL SELECT id, 1, 1 FROM d1 UNION ALL SELECT id, 2, 2 FROM d2 UNION ALL SELECT id, -1, 3 FROM u1 UNION ALL SELECT id, -2, 4 FROM u2) GROUP BY id)
+"""
+
+
+@query(TRADE + "SELECT src AS source, dst AS target, CAST(sum(n) AS BIGINT) AS count FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2) GROUP BY src, dst")
+def call_graph_both(spark, d):
+    """Both sides in a graph with cycles and calls of oneself: what is found from both sides adds up."""
+    return G.build(P.trade_edges(spark, d), P.trade_nodes(spark, d), "n:3", "both", 2).edges
+
+
+@query(TRADE + "SELECT id, depth FROM seen")
+def call_graph_both_nodes(spark, d):
+    return pick(G.build(P.trade_edges(spark, d), P.trade_nodes(spark, d), "n:3", "both", 2).nodes, "id depth")
+
+
+@query(CLASSES + "SELECT 'r:0' AS id, 0 AS depth UNION ALL SELECT 'n:' || CAST(n_nationkey AS VARCHAR), -1 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'c:' || CAST(c_custkey AS VARCHAR), -2 FROM customer WHERE c_nationkey = 0")
+def call_graph_expanded(spark, d):
+    """One node of the last level opened: its callers stand a level below it."""
+    e, n = G.class_edges(P.star_bases(spark, d))
+    return pick(G.expand(G.build(e, n, "r:0", "callers", 1, 1_000_000, ("class",)), e, n, {"n:0": "callers", "c:none": "callers"}, 1_000_000).nodes, "id depth")
+
+
 @query(TWO + "SELECT 'c:1' AS node, 0 AS level, 'c:1' AS path UNION ALL SELECT dst, 1, 'c:1>' || dst FROM l1 UNION ALL SELECT l2.dst, 2, 'c:1>' || l2.src || '>' || l2.dst FROM l2")
 def graph_outline(spark, d):
     g = G.build(P.star_edges(spark, d), P.star_nodes(spark, d), "c:1", "callees", 2, 1_000_000)

@@ -1,7 +1,9 @@
-"""Source trees as tables: scanning, reading, parsing in parallel, and generations of Parquet behind a manifest.
+"""Source trees as tables: scanning, reading, parsing in parallel, and buckets of Parquet behind a manifest.
 
-A project folder holds generations (gen-N/<table>) and manifest.json, which names the current one. A sync reads only what is new or
-changed, carries the other files' rows over, writes the next generation and then swaps the manifest, so readers see whole states.
+A project's tables are dealt into buckets by file. A sync parses only what is new or changed and writes only the buckets of those
+files, as a new generation (<table>/gen-N/bucket=K); then it swaps manifest.json, which names the generation of each bucket, so
+readers see whole states. Files of the last generations stay, so that tables which are being read stay whole. The folder is on any
+file system that Hadoop knows.
 """
 
 from __future__ import annotations
@@ -9,19 +11,22 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
+import re
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.exprs import EXTENSIONS
 from lattica.operators.store import Store, changed_files, not_excluded
 from lattica.sources.cparse import index_text
+from lattica.sources.shared import hadoop_path
 
-SCHEMA_VERSION = "7"
+SCHEMA_VERSION = "8"
+#: Buckets of a new project; generations of a bucket that stay besides the current one.
+BUCKETS, OLD_GENERATIONS = 16, 3
 EXTERNAL_LIMIT = 50_000
 # Folders that scans do not enter, by default and in external trees.
 EXCLUDED = (".git", "node_modules", "build", "out", "dist", ".cache")
@@ -29,6 +34,9 @@ EXTERNAL_EXCLUDED = (".git", "node_modules")
 
 FILES = "id long, path string, mtime long, size long, lang string"
 RECORDS = "rec string, id long, file_id long, path string, name string, qualname string, kind string, line int, col int, end_line int, signature string, seq int, from_symbol long, is_system boolean, error string"
+COLUMNS = {c.split()[0]: {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in RECORDS.split(", ")}
+#: Rows that a task turns into one Arrow batch.
+BATCH_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -53,61 +61,111 @@ def lang_of(path: str, header_lang: str = "cpp") -> str | None:
     return header_lang if ext == "h" else EXTENSIONS.get(ext)
 
 
-def scan(roots: list[str], header_lang: str = "cpp", excluded: tuple[str, ...] = EXCLUDED, limit: int | None = None) -> list[tuple]:
-    """(id, path, mtime in ms, size, lang) of source files under roots; folders named in `excluded` are not entered, nor those
-    that cannot be read; `limit` ends a scan of an external tree."""
-    out = []
+def glob_pattern(glob: str) -> str:
+    """A regular expression for paths below a root: '**/' any folders, '*' and '?' within a name, '{a,b}' either."""
+    signs = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    return "".join(signs.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|.", glob))
+
+
+def walk(folder: str, root: str, header_lang: str, excluded: tuple[str, ...], include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), deep: bool = True):
+    """(id, path, mtime in ms, size, lang) of source files in a folder and, if deep, in those below; see scan()."""
+    wanted, unwanted = (re.compile("|".join(map(glob_pattern, g)) or "$.") for g in (include, exclude))
+    for at, dirs, names in os.walk(folder, onerror=lambda _: None):
+        dirs[:] = sorted(d for d in dirs if d not in excluded) if deep else []
+        for n in sorted(names):
+            path = f"{at}/{n}".replace("\\", "/")
+            below = path[len(root) :].lstrip("/")
+            lang = lang_of(path, header_lang)
+            if lang is None or include and not wanted.fullmatch(below) or unwanted.fullmatch(below):
+                continue
+            try:
+                s = os.stat(path)
+            except OSError:
+                continue
+            yield stable_id(path), path, int(s.st_mtime * 1000), s.st_size, lang
+
+
+def scan(spark: SparkSession, roots: list[str], header_lang: str = "cpp", excluded: tuple[str, ...] = EXCLUDED, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """FILES of the source files under roots, which tasks walk through, a folder below a root each.
+
+    Folders named in `excluded` are not entered, nor those that cannot be read. include, exclude: globs of paths below a root; limit:
+    how many files a root gives at most, by path.
+    """
+    names = [c.split()[0] for c in FILES.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    top = []
     for root in roots:
-        for folder, dirs, names in os.walk(root, onerror=lambda _: None):
-            dirs[:] = sorted(d for d in dirs if d not in excluded)
-            for n in sorted(names):
-                path = f"{folder}/{n}".replace("\\", "/")
-                lang = lang_of(path, header_lang)
-                if lang is None:
-                    continue
-                try:
-                    s = os.stat(path)
-                except OSError:
-                    continue
-                out.append((stable_id(path), path, int(s.st_mtime * 1000), s.st_size, lang))
-                if limit and len(out) >= limit:
-                    return out
-    return out
+        below = sorted(e.path for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and e.name not in excluded) if os.path.isdir(root) else []
+        top += [(root, root, False), *((root, f, True) for f in below)]
+
+    def run(batches):
+        for batch in batches:
+            for root, folder, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = list(walk(folder, root, header_lang, excluded, include, exclude, deep))
+                cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([root] * len(rows), pa.string())], [*names, "root"])
+
+    folders = spark.createDataFrame(top, "root string, folder string, deep boolean")
+    found = folders.repartition(max(1, min(len(top), spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, FILES + ", root string")
+    if limit:
+        found = found.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("path"))).where(F.col("_r") <= limit)
+    return found.select(*names).dropDuplicates(["id"])
+
+
+def external_files(spark: SparkSession, roots: list[str], header_lang: str = "cpp") -> DataFrame:
+    return scan(spark, roots, header_lang, EXTERNAL_EXCLUDED, limit=EXTERNAL_LIMIT)
+
+
+class Rows:
+    """Rows of RECORDS in columns."""
 
+    def __init__(self):
+        self.columns: dict[str, list] = {c: [] for c in COLUMNS}
+        self.n = 0
 
-def external_files(root: str, header_lang: str = "cpp") -> list[tuple]:
-    return scan([root], header_lang, EXTERNAL_EXCLUDED, EXTERNAL_LIMIT)
+    def add(self, count: int, **columns) -> None:
+        """count rows; what is no list is the same in all of them."""
+        for c, held in self.columns.items():
+            x = columns.get(c)
+            held.extend(x if isinstance(x, list) else [x] * count)
+        self.n += count
 
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(x, COLUMNS[c]) for c, x in self.columns.items()], list(COLUMNS))
+        self.__init__()
+        return out
 
-def records(path: str, lang: str, text: str, settings: Settings) -> list[dict]:
+
+def add_file(rows: Rows, path: str, lang: str, text: str, settings: Settings) -> None:
     """All rows of one file."""
-    x, file_id = index_text(text, lang, list(settings.ignore_macros), settings.index_references), stable_id(path)
-    ids = [stable_id(path, s.at, s.end, s.kind, s.qualname) for s in x.symbols]
-    base = dict.fromkeys(c.split()[0] for c in RECORDS.split(", ")) | {"file_id": file_id, "path": path}
-    out = [base | {"rec": "symbol", "id": i, "name": s.name, "qualname": s.qualname, "kind": s.kind, "line": s.line, "col": s.col, "end_line": s.end_line, "signature": s.signature} for i, s in zip(ids, x.symbols, strict=True)]
-    out += [base | {"rec": "ref", "seq": n, "name": r.name, "kind": r.kind, "line": r.line, "col": r.col, "from_symbol": ids[r.owner] if r.owner >= 0 else None} for n, r in enumerate(x.refs)]
-    out += [base | {"rec": "base", "id": ids[k], "name": b} for k, b in x.bases]
-    out += [base | {"rec": "include", "name": p, "line": line, "is_system": system} for p, line, system in x.includes]
-    return out
+    x, own = index_text(text, lang, list(settings.ignore_macros), settings.index_references), {"file_id": stable_id(path), "path": path}
+    s, r = x.symbols, x.refs
+    ids = [stable_id(path, y.at, y.end, y.kind, y.qualname) for y in s]
+    pick = lambda found, *names: {n: [getattr(y, n) for y in found] for n in names}
+    rows.add(len(s), rec="symbol", id=ids, **own, **pick(s, "name", "qualname", "kind", "line", "col", "end_line", "signature"))
+    rows.add(len(r), rec="ref", **own, seq=list(range(len(r))), from_symbol=[ids[y.owner] if y.owner >= 0 else None for y in r], **pick(r, "name", "kind", "line", "col"))
+    rows.add(len(x.bases), rec="base", **own, id=[ids[k] for k, _ in x.bases], name=[b for _, b in x.bases])
+    rows.add(len(x.includes), rec="include", **own, name=[p for p, _, _ in x.includes], line=[n for _, n, _ in x.includes], is_system=[y for _, _, y in x.includes])
 
 
 def parse(files: DataFrame, settings: Settings) -> DataFrame:
-    """Rows of RECORDS for files (path, lang); a file that cannot be read has one row of rec 'error'. Texts may come along in a column
-    `text`; else tasks read the paths, which have to be on a file system that all executors share."""
+    """Rows of RECORDS for files (path, lang); a file that cannot be read or decoded has one row of rec 'error'. Texts may come along
+    in a column `text`; else tasks read the paths, which have to be on a file system that all executors share."""
     with_text = "text" in files.columns
-    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in RECORDS.split(", "))])
 
     def run(batches):
+        rows = Rows()
         for batch in batches:
             for row in batch.to_pylist():
                 try:
                     text = row["text"] if with_text else Path(row["path"]).read_bytes().decode(settings.encoding, "replace")
-                    rows = records(row["path"], row["lang"], text or "", settings)
-                except (OSError, RecursionError) as error:
-                    rows = [dict.fromkeys(schema.names) | {"rec": "error", "path": row["path"], "error": str(error)}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    add_file(rows, row["path"], row["lang"], text or "", settings)
+                except (OSError, LookupError, RecursionError) as error:
+                    rows.add(1, rec="error", file_id=stable_id(row["path"]), path=row["path"], error=f"{type(error).__name__}: {error}")
+                if rows.n >= BATCH_ROWS:
+                    yield rows.batch()
+        if rows.n:
+            yield rows.batch()
 
     return files.select("path", "lang", *(["text"] if with_text else [])).mapInArrow(run, RECORDS)
 
@@ -123,70 +181,136 @@ def split(files: DataFrame, rows: DataFrame) -> Store:
     )
 
 
-TABLES = ("files", "symbols", "refs", "bases", "includes")
+#: Tables with the column of the file's id and the order inside a bucket.
+TABLES = {"files": ("id", "path"), "symbols": ("file_id", "name"), "refs": ("file_id", "name"), "bases": ("file_id", "base"), "includes": ("file_id", "path"), "errors": ("file_id", "path")}
+ERRORS = "file_id long, path string, error string"
 
 
 class Project:
     """Tables of a code base in a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
-        self.spark, self.folder, self.settings = spark, Path(folder), settings or Settings()
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, buckets: int = BUCKETS):
+        self.spark, self.folder, self.settings, self.buckets = spark, str(folder).rstrip("/"), settings or Settings(), buckets
+        self.fs, self.top = hadoop_path(spark, self.folder)
+        self.fs.mkdirs(self.top)
+        empty = split(spark.createDataFrame([], FILES), spark.createDataFrame([], RECORDS))
+        self.schemas = {t: spark.createDataFrame([], ERRORS).schema if t == "errors" else getattr(empty, t).schema for t in TABLES}
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
     def manifest(self) -> dict:
         """What is current; a manifest that cannot be read or has another schema version counts as none."""
+        path = self._path("manifest.json")
+        if not self.fs.exists(path):
+            return {}
+        stream = self.fs.open(path)
         try:
-            found = json.loads((self.folder / "manifest.json").read_text())
-        except (OSError, ValueError):
+            found = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        except ValueError:
             return {}
+        finally:
+            stream.close()
         return found if found.get("schema_version") == SCHEMA_VERSION else {}
 
+    def _table(self, manifest: dict, t: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table of a manifest, or some buckets of it."""
+        paths = [f"{self.folder}/{t}/gen-{g}/bucket={k}" for k, g in manifest["tables"][t].items() if buckets is None or int(k) in buckets]
+        return self.spark.read.schema(self.schemas[t]).parquet(*paths) if paths else self.spark.createDataFrame([], self.schemas[t])
+
     def store(self) -> Store | None:
         m = self.manifest()
-        return Store(*(self.spark.read.parquet(str(self.folder / m["generation"] / t)) for t in TABLES)) if m else None
-
-    def _write(self, store: Store) -> Store:
-        old = self.manifest().get("generation")
-        name = f"gen-{int(old.split('-')[1]) + 1 if old else 1}"
-        shutil.rmtree(self.folder / name, ignore_errors=True)
-        for t in TABLES:
-            df = getattr(store, t)
-            (df.repartition("name").sortWithinPartitions("name") if t in ("symbols", "refs") else df).write.parquet(str(self.folder / name / t))
-        swap = self.folder / "manifest.tmp"
-        swap.write_text(json.dumps({"schema_version": SCHEMA_VERSION, "generation": name, "settings": self.settings.mark()}))
-        swap.replace(self.folder / "manifest.json")
+        return Store(*(self._table(m, t) for t in TABLES if t != "errors")) if m else None
+
+    def errors(self) -> DataFrame:
+        """(file_id, path, error) of files that could not be read."""
+        m = self.manifest()
+        return self._table(m, "errors") if m else self.spark.createDataFrame([], ERRORS)
+
+    def _bucket(self, column: str, n: int):
+        return F.pmod(F.col(column), F.lit(n)).cast("int")
+
+    def replace(self, gone: DataFrame, files: DataFrame, rows: DataFrame, anew: bool = False) -> Store:
+        """Drops all rows of the paths in `gone` and adds those of files; only the buckets of both are written. anew: nothing is
+        carried over."""
+        old = {} if anew else self.manifest()
+        n = old.get("buckets", self.buckets)
+        g = self.manifest().get("generation", 0) + 1
+        new = {t: rows.where("rec = 'error'").select("file_id", "path", "error") if t == "errors" else getattr(split(files, rows), t) for t in TABLES}
+        ids = files.select(F.col("id").alias("file_id"))
         if old:
-            shutil.rmtree(self.folder / old, ignore_errors=True)
+            lost = gone.select("path").join(self._table(old, "files"), "path").select(F.col("id").alias("file_id"))
+            ids = ids.unionByName(lost)
+        touched = {r.b for r in ids.select(self._bucket("file_id", n).alias("b")).distinct().collect()}
+        tables = {}
+        for t, (key, order) in TABLES.items():
+            df = new[t]
+            if old:
+                df = self._table(old, t, touched).join(ids.withColumnRenamed("file_id", key).distinct(), key, "left_anti").select(*df.columns).unionByName(df)
+            dealt = df.withColumn("bucket", self._bucket(key, n)).repartition(min(n, max(1, len(touched))), "bucket").sortWithinPartitions("bucket", order)
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{t}/gen-{g}")
+            written = [x.getPath().getName() for x in self.fs.listStatus(self._path(t, f"gen-{g}"))]
+            kept = {k: x for k, x in old.get("tables", {}).get(t, {}).items() if int(k) not in touched}
+            tables[t] = kept | {x.split("=")[1]: g for x in written if x.startswith("bucket=")}
+        self._swap({"schema_version": SCHEMA_VERSION, "generation": g, "buckets": n, "settings": self.settings.mark(), "tables": tables})
+        self._clean(g, tables)
         return self.store()
 
-    def replace(self, gone: DataFrame, files: DataFrame, rows: DataFrame) -> Store:
-        """Drops all rows of the paths in `gone` and adds those of files."""
-        new, old = split(files, rows), self.store()
-        if old is not None:
-            ids = gone.select("path").join(old.files, "path").select("id")
-            by = {"files": "id", "symbols": "file_id", "refs": "file_id", "bases": "file_id", "includes": "file_id"}
-            new = Store(*(getattr(old, t).join(ids.withColumnRenamed("id", by[t]), by[t], "left_anti").unionByName(getattr(new, t)) for t in TABLES))
-        return self._write(new)
+    def _swap(self, manifest: dict) -> None:
+        jvm = self.spark._jvm
+        new, to = self._path("manifest.tmp"), self._path("manifest.json")
+        out = self.fs.create(new, True)
+        out.write(json.dumps(manifest).encode())
+        out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        qualified = self.fs.makeQualified(to)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(new), qualified, how)
+
+    def _clean(self, generation: int, tables: dict) -> None:
+        """Deletes buckets of old generations that the manifest does not name any more."""
+        for t, named in tables.items():
+            for gen in self.fs.listStatus(self._path(t)):
+                g = int(gen.getPath().getName().split("-")[1])
+                if g > generation - OLD_GENERATIONS:
+                    continue
+                stay = {int(k) for k, x in named.items() if x == g}
+                if not stay:
+                    self.fs.delete(gen.getPath(), True)
+                    continue
+                for b in self.fs.listStatus(gen.getPath()):
+                    name = b.getPath().getName()
+                    if name.startswith("bucket=") and int(name.split("=")[1]) not in stay:
+                        self.fs.delete(b.getPath(), True)
 
-    def sync(self, roots: list[str], external: list[str] = (), excluded: list[str] = (), force: bool = False) -> Store:
+    def sync(self, roots: list[str], external: list[str] = (), excluded: list[str] = (), force: bool = False, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Store:
         """Brings the tables in line with the trees: drops what vanished or is excluded, parses what is new or changed. force, or
-        other settings than before, parses all."""
-        found = scan(list(roots), self.settings.header_lang) + [f for x in external for f in external_files(x, self.settings.header_lang)]
-        present = not_excluded(self.spark.createDataFrame(list(dict.fromkeys(found)), FILES), list(excluded))
-        old = self.store()
-        todo = present
-        if old is not None and not force and self.manifest().get("settings") == self.settings.mark():
+        other settings than before, parses all. include, exclude: globs of paths below the roots."""
+        lang = self.settings.header_lang
+        found = scan(self.spark, list(roots), lang, include=include, exclude=exclude)
+        if external:
+            found = found.unionByName(external_files(self.spark, list(external), lang)).dropDuplicates(["id"])
+        present = not_excluded(found, list(excluded)).persist()
+        try:
+            old = self.store()
+            if old is None or force or self.manifest().get("settings") != self.settings.mark():
+                return self._parsed(present, present.select("path"), True)
             todo = changed_files(old.files, present).select(*present.columns)
             vanished = old.files.join(present, "path", "left_anti").select("path")
             if not todo.limit(1).count() and not vanished.limit(1).count():
                 return old
-        else:
-            vanished = old.files.select("path") if old is not None else present.select("path").limit(0)
+            return self._parsed(todo, vanished.union(todo.select("path")))
+        finally:
+            present.unpersist()
+
+    def _parsed(self, todo: DataFrame, gone: DataFrame, anew: bool = False) -> Store:
         todo = todo.repartition(max(1, min(self.spark.sparkContext.defaultParallelism * 4, todo.count())), "path")
         rows = parse(todo, self.settings).persist()
-        done = self.replace(vanished.union(todo.select("path")), todo, rows)
-        rows.unpersist()
-        return done
+        try:
+            return self.replace(gone, todo, rows, anew)
+        finally:
+            rows.unpersist()
 
     def index_text(self, path: str, text: str, mtime: int = 0) -> Store:
         lang = lang_of(path, self.settings.header_lang)
@@ -198,4 +322,4 @@ class Project:
         return self.replace(gone, self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], RECORDS))
 
     def clear(self) -> Store:
-        return self._write(split(self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], RECORDS)))
+        return self.replace(self.spark.createDataFrame([], "path string"), self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], RECORDS), True)

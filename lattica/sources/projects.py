@@ -1,15 +1,21 @@
 """Projects over the driver's tables, as views: a text project, a star project with call edges, and web includes.
 
-Each has the tables that the store works on, so the same queries run on them and on parsed code.
+Each has the tables that the store works on, so the same queries run on them and on parsed code. Like an index, the tables of a
+project are written once, sorted by what they are looked up by, and used by all queries of an application while the inputs stay as
+they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import exprs as X
 from lattica.operators.store import Store
+from lattica.sources.shared import folder, hadoop_path
 
 TEXT_KINDS = ("function", "prototype", "macro", "struct", "variable", "field")
 
@@ -18,6 +24,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(spark: SparkSession, sf_dir: str, inputs: tuple[str, ...], name: str, make: Callable[[], DataFrame], *by: str) -> DataFrame:
+    """make() as Parquet in the shared folder, in ranges of the columns `by`; written when first asked for, and anew when an input was."""
+    mark = hashlib.sha256(f"{spark.sparkContext.applicationId} {sf_dir}".encode())
+    for t in inputs:
+        fs, path = hadoop_path(spark, f"{sf_dir}/{t}.parquet")
+        at = fs.getFileStatus(path)
+        mark.update(f" {t} {at.getModificationTime()} {fs.getContentSummary(path).getLength()}".encode())
+    place = f"{folder(spark)}/projects/{mark.hexdigest()[:20]}/{name}"
+    fs, done = hadoop_path(spark, f"{place}/_SUCCESS")
+    if not fs.exists(done):
+        df = make()
+        (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, path, line, txt): lines of documents, numbered from 0."""
     d = read(spark, sf_dir, "documents")
@@ -42,11 +63,17 @@ def text_store(spark: SparkSession, sf_dir: str) -> Store:
     symbols = t.select(i.alias("id"), "file_id", "path", name.alias("name"), F.concat("source", F.lit("::"), name).alias("qualname"), kind.alias("kind"), "line", F.lit(0).alias("col"), (F.col("line") + F.pmod(F.length("txt"), F.lit(4))).alias("end_line"), X.collapse(F.col("txt"), 40).alias("signature"))
     refs = t.select("file_id", "path", "line", i.alias("from_symbol"), F.posexplode("names").alias("col", "name")).withColumns({"kind": F.when(F.col("col") == 0, "call").otherwise("ref"), "seq": F.col("col")})
     includes = d.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.concat((F.col("doc_id") + 20).cast("string"), F.lit(".txt"))).alias("path"), F.lit(0).alias("line"), F.lit(False).alias("is_system"))
-    return Store(files, symbols, refs, None, includes)
+    own = lambda n, df, *by: kept(spark, sf_dir, ("documents",), f"text-{n}", lambda: df, *by)
+    by_file = own("refs_by_file", refs, "path", "line", "col")
+    return Store(own("files", files, "path"), own("symbols", symbols, "name", "path", "line"), own("refs", by_file, "name", "path", "line"), None, own("includes", includes), by_file)
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, count, line): customers call the parts they order, parts call their suppliers."""
+    return kept(spark, sf_dir, ("lineitem", "orders"), "star-edges", lambda: _star_edges(spark, sf_dir), "src", "dst")
+
+
+def _star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cp = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.count("*").alias("count"), F.min("l_linenumber").alias("line"))
@@ -55,6 +82,26 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.select(name("c:", "o_custkey").alias("src"), name("p:", "l_partkey").alias("dst"), "count", "line").unionByName(ps.select(name("p:", "l_partkey").alias("src"), name("s:", "l_suppkey").alias("dst"), "count", "line"))
 
 
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, count, line): nations call the three nations that their suppliers sell most line items to, and themselves."""
+    return kept(spark, sf_dir, ("lineitem", "orders", "customer", "supplier"), "trade-edges", lambda: _trade_edges(spark, sf_dir))
+
+
+def _trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c, s = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    sold = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    n = sold.groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.count("*").alias("count"))
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).where("r <= 3 or a = b")
+    name = lambda x: F.concat(F.lit("n:"), F.col(x).cast("string"))
+    return top.select(name("a").alias("src"), name("b").alias("dst"), "count", F.col("r").alias("line"))
+
+
+def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, kind, dir) of nations."""
+    return read(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("function").alias("kind"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dir"))
+
+
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, kind, dir): customers, parts and suppliers; parts are functions, suppliers macros."""
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("dir"))

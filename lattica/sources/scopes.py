@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 from lattica.sources.cparse import AGGREGATES, KEYWORDS, PRIMITIVE, Reader
@@ -38,12 +39,26 @@ class Occurrence:
 class Scopes(Reader):
     def run_scopes(self) -> tuple[list[Local], list[Occurrence]]:
         self.run()
+        self.prepare()
         self.locals: list[Local] = []
         for s in self.out.symbols:
             if s.kind in ("function", "method"):
                 self.function_scope(s)
         return self.locals, self.occurrences()
 
+    def prepare(self) -> None:
+        """Where the bracket is that each closing one belongs to, and methods and functions by where they begin."""
+        self.opens = {b: a for a, b in self.match.items()}
+        self.functions = sorted((s.start, s.end, s.qualname.rpartition("::")[0]) for s in self.out.symbols if s.kind in ("function", "method"))
+        self.starts = [f[0] for f in self.functions]
+
+    def owner_of(self, offset: int) -> str:
+        """The scope of the innermost function that a place is in."""
+        k = bisect.bisect_right(self.starts, offset) - 1
+        while k >= 0 and self.functions[k][1] < offset and offset - self.functions[k][0] < 1 << 20:
+            k -= 1
+        return self.functions[k][2] if k >= 0 and self.functions[k][1] >= offset else ""
+
     def index_at(self, offset: int) -> int:
         lo, hi = 0, len(self.tokens)
         while lo < hi:
@@ -138,10 +153,10 @@ class Scopes(Reader):
         if k < 0:
             return []
         while self.tok(k) == "]":
-            k = next((a for a, b in self.match.items() if b == k), -1) - 1
+            k = self.opens.get(k, -1) - 1
         t = self.tok(k)
         if t == ")":
-            a = next((a for a, b in self.match.items() if b == k), -1)
+            a = self.opens.get(k, -1)
             if a < 0:
                 return []
             if self.tokens[a - 1 : a] and a > 0 and self.tokens[a - 1][0] == "word" and self.tok(a - 1) not in KEYWORDS:
@@ -166,7 +181,14 @@ class Scopes(Reader):
             if kind == "word" and t not in KEYWORDS and t not in PRIMITIVE:
                 steps = (self.receiver(k - 2) or ["unknown:"]) if self.tok(k - 1) in (".", "->") else []
                 if steps == ["this:"] or steps[:1] == ["this:"]:
-                    owner = next((s.qualname.rpartition("::")[0] for s in sorted(self.out.symbols, key=lambda s: -s.start) if s.kind in ("function", "method") and s.start <= offset <= s.end), "")
-                    steps = [f"type:{owner.rsplit('::', 1)[-1]}", *steps[1:]]
+                    steps = [f"type:{self.owner_of(offset).rsplit('::', 1)[-1]}", *steps[1:]]
                 out.append(Occurrence(t, offset, *self.place(offset), self.tok(k + 1) == "(", steps[:5]))
         return out
+
+
+def receiver_at_end(text: str, lang: str = "cpp") -> list[str]:
+    """Steps of the expression in front of the '.' or '->' that text ends with; none if it ends otherwise."""
+    r = Scopes(text, lang)
+    r.prepare()
+    last = len(r.tokens) - 1
+    return (r.receiver(last - 1) or ["unknown:"])[:5] if r.tok(last) in (".", "->") else []

@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lattica.operators.store import latest_events
-from lattica.sources.code import Project, parse
+from lattica.operators.store import changed_files, latest_events
+from lattica.sources.code import FILES, Project, parse, scan
 
 EVENTS = "event_id long, op string, id long, path string, mtime long, size long, lang string"
 
 
+def changes(project: Project, roots: list[str], event_id: int) -> DataFrame:
+    """EVENTS that lead from a project's tables to what is on disk now: a source of events where nothing reports them."""
+    present, old = scan(project.spark, roots, project.settings.header_lang), project.store()
+    known = old.files if old is not None else project.spark.createDataFrame([], FILES)
+    new = changed_files(known, present).withColumn("op", F.lit("upsert"))
+    gone = known.join(present, "path", "left_anti").withColumn("op", F.lit("delete"))
+    return new.unionByName(gone).select(F.lit(event_id).cast("long").alias("event_id"), "op", "id", "path", "mtime", "size", "lang")
+
+
 def apply_events(project: Project, events: DataFrame) -> None:
     """Takes the last event of each path ('upsert' or 'delete'); files whose time and size are known already are left alone."""
     last = latest_events(events, "path", ["event_id"]).persist()

@@ -1,57 +1,147 @@
-"""Resolution over a small source with shadowed names and typed receivers."""
+"""Resolution of occurrences in a small program whose names shadow each other, and what an editor asks about its places."""
 
 import pytest
 
 from lattica.operators import resolve as R
+from lattica.plans import tasks as T
 from lattica.sources.code import FILES, Settings, parse, split, stable_id
 
-TEXT = """struct pkt { int c; int size; };
-typedef struct s2 { float c; } s2_t;
-struct pkt g_pkt;
-int c;
-struct pkt *get_pkt(void);
-
-void work(struct pkt *p, int n) {
-    s2_t *sp = 0;
-    float c = 0;
-    for (int i = 0; i < n; i++)
-        c += p->c;
-    sp->c = ((s2_t *)p)->c;
-    g_pkt.c = get_pkt()->size;
+HEADER = "struct leaf { int size; struct stem *on; };\nint trim(int size);\n"
+MAIN = """#include "tree.h"
+struct stem { struct leaf *first; long size; };
+typedef struct stem branch;
+struct stem trunk;
+/* grows by one */
+struct leaf *sprout(branch *b);
+long size;
+enum { SPRING = 3 };
+
+long measure(branch *b, int deep)
+{
+    struct leaf *l = b->first;
+    long size = l->size;
+    while (deep--)
+        size += trim(l->on->size) + sprout(b)->size;
+    trunk.size = size + ((branch *)l)->size;
+    return size;
 }
-void other(void) { c++; }
+
+int trim(int size) { return size > SPRING ? measure(0, size) : 0; }
+
+void grow(void) { size++; trunk.first = 0; unknown.size = 1; }
 """
+FILES_OF = {"t/tree.h": HEADER, "t/main.c": MAIN}
 
 
 @pytest.fixture(scope="module")
 def found(spark):
-    files = spark.createDataFrame([(stable_id("r.c"), "r.c", 0, len(TEXT), "c")], FILES).selectExpr("*", f"'{chr(0)}' as text").drop("text")
-    texts = files.join(spark.createDataFrame([("r.c", TEXT)], "path string, text string"), "path")
-    store = split(files, parse(texts, Settings()))
+    rows = [(stable_id(p), p, 0, len(t), "c", t) for p, t in FILES_OF.items()]
+    texts = spark.createDataFrame(rows, FILES + ", text string")
+    store = split(texts.drop("text"), parse(texts, Settings()))
+    store.symbols, store.refs = store.symbols.persist(), store.refs.persist()
     local, occ = R.scope_tables(texts)
-    return store, local.persist(), R.resolve(store, local, occ).persist()
-
-
-def test_resolution(found):
-    _, _, r = found
-    got = {(x.line, x.col): (x.res_kind, x.qualname, x.decl_line) for x in r.collect()}
-    line = TEXT.split("\n")
-    at = lambda n, part, skip=0: got[(n, line[n].index(part) + skip)]
-    assert at(10, "c +=") == ("local", None, 8)
-    assert at(10, "p->c", 3) == ("member", "pkt::c", 0) and at(10, "p->c") == ("local", None, 6)
-    assert at(11, "sp->c", 4) == ("member", "s2::c", 1) and at(11, "->c;", 2) == ("member", "s2::c", 1)
-    assert at(12, "g_pkt.c", 6) == ("member", "pkt::c", 0) and at(12, "->size", 2) == ("member", "pkt::size", 0)
-    assert at(9, "n; i")[0] == "local" and at(14, "c++") == ("symbol", "c", 3)
-
-
-def test_references_and_edits(found):
-    store, local, r = found
-    assert sorted((x.line) for x in R.references(r, "c", "pkt::c").where("res_kind = 'member'").collect()) == [10, 12]
-    assert 14 in {x.line for x in R.references(r, "c").collect()} and 10 not in {x.line for x in R.references(r, "c").collect()}
-    assert sorted(x.line for x in R.rename_edits(r, "r.c", 8, 10, "total").collect()) == [8, 10]
-    assert {x.line for x in R.highlights(r, "r.c", 14, 19).collect()} >= {14}
-    token = {(x.line, x.name): x.token for x in R.semantic_tokens(r, store).collect()}
-    assert token[(9, "n")] == "parameter" and token[(12, "get_pkt")] == "function" and token[(12, "g_pkt")] == "variable"
-    at = TEXT.index("sp->c")
-    assert [(x.name, x.source) for x in R.completion(store, local, "r.c", at, "sp").collect()] == [("sp", "local")]
-    assert not R.completion(store, local, "r.c", at, "s").count()
+    local = local.persist()
+    return store, local, R.resolve(store, local, occ).persist(), texts
+
+
+def place(part, skip=0, text=MAIN):
+    at = text.index(part) + skip
+    return text[:at].count("\n"), at - text.rfind("\n", 0, at) - 1
+
+
+def test_what_occurrences_mean(found):
+    got = {(r.line, r.col): (r.res_kind, r.qualname, r.decl_path, r.decl_line) for r in found[2].where("path = 't/main.c'").collect()}
+    row = lambda part: place(part)[0]
+    assert got[place("b->first", 3)] == ("member", "stem::first", "t/main.c", row("struct stem {"))
+    assert got[place("l->size", 3)] == ("member", "leaf::size", "t/tree.h", 0)
+    assert got[place("l->on->size", 7)] == ("member", "stem::size", "t/main.c", row("struct stem {"))
+    assert got[place("sprout(b)->size", 11)] == ("member", "leaf::size", "t/tree.h", 0)
+    assert got[place("trunk.size", 6)] == ("member", "stem::size", "t/main.c", row("struct stem {"))
+    assert got[place("(branch *)l)->size", 14)] == ("member", "stem::size", "t/main.c", row("struct stem {"))
+    assert got[place("size += trim")] == ("local", None, "t/main.c", row("long size = l"))
+    assert got[place("return size;", 7)] == ("local", None, "t/main.c", row("long size = l"))
+    assert got[place("size > SPRING")][0] == "local" and got[place("size++")] == ("symbol", "size", "t/main.c", row("\nlong size;") + 1)
+
+
+def test_references_with_options(found):
+    store, _, r, _ = found
+    at = lambda df: sorted((x.path, x.line, x.col) for x in df.collect())
+    leaf = at(R.references(store, r, "size", "leaf::size"))  # with what is only known by its name, as that may mean it
+    assert leaf == sorted([("t/main.c", *place("l->size", 3)), ("t/main.c", *place("sprout(b)->size", 11)), ("t/main.c", *place("unknown.size", 8)), ("t/main.c", *place("size++")), ("t/tree.h", 1, HEADER.split("\n")[1].index("size"))])
+    with_own = at(R.references(store, r, "size", "leaf::size", declarations=True))
+    assert ("t/tree.h", 0, HEADER.index("size")) in with_own and len(with_own) == len(leaf) + 1
+    top = at(R.references(store, r, "size"))
+    assert ("t/main.c", *place("size++")) in top and ("t/main.c", *place("l->size", 3)) not in top and ("t/main.c", *place("return size;", 7)) not in top
+    assert at(R.references(store, r, "trim", path="T/MAIN.C", declarations=True)) == sorted([("t/main.c", *place("int trim(int size) {", 4)), ("t/main.c", *place("trim(l->on"))])
+    assert not R.references(store, r, "trim", path="t/tree.h", declarations=True).count()  # a prototype is no definition
+    assert at(R.references_at(store, r, "t/main.c", *place("return size;", 7))) == sorted(("t/main.c", *place(p, k)) for p, k in (("size += trim", 0), ("trunk.size = size", 13), ("return size;", 7)))
+
+
+def test_edits_and_highlights(found):
+    _, _, r, _ = found
+    edits = R.rename_edits(r, "t/main.c", *place("size += trim"), "length").collect()
+    assert {(e.line, e.col) for e in edits} >= {place("size += trim"), place("return size;", 7)} and place("size++") not in {(e.line, e.col) for e in edits}
+    assert {e.text for e in edits} == {"length"} and {e.length for e in edits} == {4}
+    assert {(x.line, x.col) for x in R.highlights(r, "t/main.c", *place("deep--")).collect()} >= {place("deep--")}
+
+
+def test_tokens(found):
+    store, _, r, _ = found
+    token = {(x.line, x.col): x.token for x in R.semantic_tokens(r.where("path = 't/main.c'"), store).collect()}
+    assert token[place("deep--")] == "parameter" and token[place("return size;", 7)] == "variable" and token[place("measure(0")] == "function"
+    assert token[place("SPRING ?")] == "enumMember" and token[place("l->size", 3)] == "property" and token[place("trunk.size")] == "variable"
+
+
+def test_completion(found):
+    store, local, _, _ = found
+    body = MAIN.index("while (deep")
+    assert [(x.name, x.source) for x in R.completion(store, local, "t/main.c", body, "de").collect()] == [("deep", "local")]
+    assert {x.name: x.source for x in R.completion(store, local, "t/main.c", body, "tr").collect()} == {"trim": "function", "trunk": "variable"}
+    assert not R.completion(store, local, "t/main.c", body, "d").count()
+    assert [x.name for x in R.member_completion(store, local, "t/main.c", body, "b->").collect()] == ["first", "size"]
+    assert [x.name for x in R.member_completion(store, local, "t/main.c", body, "x = l->on->first.").collect()] == ["size", "on"]
+    assert [x.name for x in R.member_completion(store, local, "t/main.c", body, "sprout(b)->").collect()] == ["size", "on"]
+    assert not R.member_completion(store, local, "t/main.c", body, "nothing.").count()
+
+
+def test_signature_help(found):
+    store = found[0]
+    rows = T.signature_help(store, "    x = trim(measure(b, 1), ").collect()
+    assert [(r.signature, r.parameters, r.active) for r in rows] == [("int trim(int size)", ["int size"], 0)]
+    assert T.signature_help(store, "measure(b, d").first().active == 1 and not T.signature_help(store, "if (").count() and not T.signature_help(store, "absent(").count()
+
+
+def test_definition_and_hover(found):
+    store, _, r, texts = found
+    go = lambda *p: [(x.path, x.line) for x in T.definition(store, r, texts, "t/main.c", *p).collect()]
+    assert go(*place("tree.h")) == [("t/tree.h", 0)]
+    assert go(*place("trim(l->on")) == [("t/main.c", place("int trim(int size) {")[0])] and go(*place("deep--")) == [("t/main.c", place("int deep")[0])]
+    assert set(go(*place("\nlong size;", 6))) == {("t/tree.h", 0), ("t/main.c", 1)}  # the members of that name, but not the place itself
+    assert [x.path for x in T.declaration(store, r, "t/main.c", *place("trim(l->on")).collect()] == ["t/tree.h"]
+    shown = T.hover(store, r, texts, "t/main.c", *place("sprout(b)")).collect()
+    assert [(x.kind, x.comment) for x in shown] == [("prototype", None)]
+    assert [(x.kind, x.callers) for x in T.hover(store, r, texts, "t/main.c", *place("trim(l->on")).collect()] == [("function", 1)]
+    assert [x.signature for x in T.hover(store, r, texts, "t/main.c", *place("deep--")).collect()] == ["int deep"]
+
+
+def test_context_view(found):
+    store, local, r, texts = found
+    got = T.context(store, r, texts, "t/main.c", *place("trunk.size"))
+    assert [(x.kind, x.path) for x in got.definition.collect()] == [("variable", "t/main.c")]
+    assert [(x.name, x.kind) for x in got.type.collect()] == [("stem", "struct")] and [x.name for x in got.type_members.collect()] == ["first", "size"]
+    assert {(x.line, x.hidden) for x in got.uses.collect()} == {(place("trunk.size")[0], False), (place("trunk.first")[0], False)}
+    size = T.context(store, r, texts, "t/main.c", *place("size++"))
+    rows = [(x.line, x.col, x.hidden) for x in size.uses.collect()]
+    assert (*place("size++"), False) in rows and (*place("l->size", 3), True) in rows and rows[0][:2] == place("size++")
+
+
+def test_hierarchies(spark):
+    text = "class Top {};\nclass Mid : public Top { void run(); };\nclass Low : public Mid {};\nvoid Mid::run() { other(); }\nvoid other() {}\n"
+    rows = [(stable_id("h.cpp"), "h.cpp", 0, len(text), "cpp", text)]
+    texts = spark.createDataFrame(rows, FILES + ", text string")
+    store = split(texts.drop("text"), parse(texts, Settings()))
+    resolved = R.resolve(store, *R.scope_tables(texts)).persist()
+    item = T.type_item(store, resolved, "h.cpp", *place("Mid : ", 0, text)).first()
+    assert item.qualname == "Mid" and [x.base_qualname for x in T.supertypes(store, item.id).collect()] == ["Top"] and [x.name for x in T.subtypes(store, item.name).collect()] == ["Low"]
+    call = T.call_item(store, resolved, "h.cpp", *place("other(); }", 0, text)).first()
+    assert call.name == "other" and [x.from_qualname for x in store.incoming_calls(call.name).collect()] == ["Mid::run"]

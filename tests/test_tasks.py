@@ -12,13 +12,13 @@ def test_tasks(spark):
     store = split(texts.drop("text"), parse(texts, Settings()))
     resolved = R.resolve(store, *R.scope_tables(texts)).persist()
     col = MAIN.split("\n")[3].index("add")
-    assert [(r.path, r.line) for r in T.definition(resolved, "p/main.c", 3, col).collect()] == [("p/util.c", 0)]
-    assert {(r.kind, r.callers) for r in T.hover(store, resolved, "p/main.c", 3, col).collect()} == {("function", 2), ("prototype", 2)}
-    assert [r.signature for r in T.hover(store, resolved, "p/main.c", 3, MAIN.split("\n")[3].index("n,")).collect()] == ["int n"]
+    assert [(r.path, r.line) for r in T.definition(store, resolved, texts, "p/main.c", 3, col).collect()] == [("p/util.c", 0)]
+    assert {(r.kind, r.callers) for r in T.hover(store, resolved, texts, "p/main.c", 3, col).collect()} == {("function", 2)}
+    assert [r.signature for r in T.hover(store, resolved, texts, "p/main.c", 3, MAIN.split("\n")[3].index("n,")).collect()] == ["int n"]
     assert [r.name for r in T.search_project(store, "add, helper").collect()] == ["run"]
     run = str(T.centre(store, "run").first().id)
     g = T.relations(store, run, "both", 2)
-    assert sorted(r.label for r in g.nodes.collect()) == ["add", "ext:helper", "run"] and {r["count"] for r in g.edges.collect()} == {1, 2}
+    assert sorted(r.label for r in g.nodes.collect()) == ["add", "helper", "run"] and {r["count"] for r in g.edges.collect()} == {1, 2}
     inc = T.relations(store, "file:p/main.c", "includes")
     assert {r.label for r in inc.nodes.collect()} == {"main.c", "u.h"}
     assert {r.kind for r in T.symbol_tree(store).collect()} == {"function", "prototype"}
