@@ -89,9 +89,10 @@ def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD) ->
                 rows = np.flatnonzero(size == dim)
                 k = table_keys(_unit([vec[r] for r in rows]), bits, tables)
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(k.ravel()))], ["rep", "grp", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(4)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(k.ravel()))], ["rep", "grp", "v", "copies", "keys"])
 
-    found = classes.select("rep", "grp", "v").mapInArrow(keys, "rep long, grp long, keys array<long>")
+    # keys are computed once and go along with the vectors: a product of another shape may round a sign the other way
+    found = keep(classes.select("rep", "grp", "v", "copies").mapInArrow(keys, "rep long, grp long, v array<double>, copies long, keys array<long>"), "keys")
     at = found.select("rep", "grp", F.posexplode("keys").alias("no", "key"))
     w = Window.partitionBy("no", "grp", "key")
     met = at.withColumns({"all": F.count("*").over(w), "row": F.row_number().over(w.orderBy("rep"))}).where("all > 1")
@@ -103,18 +104,19 @@ def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD) ->
     tile, rows = F.xxhash64("bucket", "i", "j").alias("tile"), cut.drop("no")
     left = once.withColumn("block", F.col("i")).join(rows, ["bucket", "block"]).select(tile, "no", "rep", F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side"))
     right = once.where("i < j").withColumn("block", F.col("j")).join(rows, ["bucket", "block"]).select(tile, "no", "rep", F.lit(1).alias("side"))
-    full = left.unionByName(right).join(classes.select("rep", "copies", "v"), "rep").select("tile", "no", "side", "rep", "copies", "v")
+    earlier = F.slice("keys", F.lit(1), F.col("no")).alias("keys")
+    full = left.unionByName(right).join(found.select("rep", "copies", "v", "keys"), "rep").select("tile", "no", "side", "rep", "copies", "v", earlier)
 
     def compare(batches):
         now, held = None, []
         for batch in batches:
-            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             for k in range(batch.num_rows):
                 if c[0][k] != now:
-                    yield from _tile(held, bits, tables, threshold)
+                    yield from _tile(held, threshold)
                     now, held = c[0][k], []
-                held.append([c[m][k] for m in range(1, 6)])
-        yield from _tile(held, bits, tables, threshold)
+                held.append([c[m][k] for m in range(1, 7)])
+        yield from _tile(held, threshold)
 
     part = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "rep long, links long, root long")
     part = keep(part, "links")
@@ -125,12 +127,12 @@ def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD) ->
     linked = e.where(fine).join(per, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = e.where(f"not coalesce({fine}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = keep(linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id")), "result")
-    for table in (cut, once, part):
+    for table in (found, cut, once, part):
         drop(table)
     return out
 
 
-def _tile(held: list, bits: int, tables: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _tile(held: list, threshold: float) -> Iterator[pa.RecordBatch]:
     if len(held) < 2:
         return
     no, side, rep, copies = held[0][0], np.array([x[1] for x in held]), np.array([x[2] for x in held]), np.array([x[3] for x in held])
@@ -142,7 +144,7 @@ def _tile(held: list, bits: int, tables: int, threshold: float) -> Iterator[pa.R
     ok = (unit[i] * unit[j]).sum(1) >= threshold
     i, j = i[ok], j[ok]
     if no and len(i):  # a pair counts in the first table where it meets
-        k = table_keys(unit, bits, tables)[:, :no]
+        k = np.stack([np.asarray(x[5]) for x in held])
         new = ~(k[i] == k[j]).any(1)
         i, j = i[new], j[new]
     if not len(i):

@@ -29,6 +29,15 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit": "Released under the MIT License.",
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
+    "bsd-2-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "mit-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsl-1.0-header": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
 }
 
@@ -47,11 +56,48 @@ def compiled(templates: dict[str, str], width: int = WIDTH) -> list[tuple[str, i
     return out
 
 
+def stretches(at: np.ndarray, shingle: np.ndarray, size: int, percent: int) -> list[tuple[int, int, float]]:
+    """(first place, last place, containment) of the copies of a template of `size` shingles, from the places of its shingles in a
+    text, in one pass: a copy begins where the next two template lengths hold enough of them and most of all places near by, and ends
+    with the last new one, or before one that it already has. The next copy begins behind it.
+    """
+    need, n = -(-percent * size // 100), len(at)
+    seen, held, to, many = np.zeros(size, np.int64), 0, 0, np.zeros(n, np.int64)
+    for k in range(n):  # how many distinct ones begin at each place
+        while to < n and at[to] < at[k] + 2 * size:
+            held += seen[shingle[to]] == 0
+            seen[shingle[to]] += 1
+            to += 1
+        many[k] = held
+        seen[shingle[k]] -= 1
+        held -= seen[shingle[k]] == 0
+    out, k = [], 0
+    while k < n:
+        if many[k] < need:
+            k += 1
+            continue
+        near = int(np.searchsorted(at, at[k] + max(1, size // 4)))
+        k += int(np.argmax(many[k:near]))
+        mine, last = set(), k
+        for j in range(k, n):
+            if at[j] >= at[k] + 2 * size or len(mine) >= need and shingle[j] in mine:
+                break
+            if shingle[j] not in mine:
+                mine.add(shingle[j])
+                last = j
+        if len(mine) >= need:
+            out.append((int(at[k]), int(at[last]), len(mine) / size))
+            k = last + 1
+        else:
+            k += 1
+    return out
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, license, start, stop, containment) for each place of docs (doc_id, text) that holds `percent` of a template's shingles.
 
-    start and stop are the bytes from the first to the last matching shingle. Two windows over one place give one row, that of
-    higher containment. Texts that are null, empty or hold no template have no row; null ids stay null; rows repeated
+    start and stop are the bytes from the first to the last matching shingle. Copies one behind the other give a row each; a template
+    that is part of another one is reported besides it. Texts that are null, empty or hold no template have no row; null ids stay null; rows repeated
     whole are scanned as often. Other columns are ignored.
     """
     known = compiled(TEMPLATES if templates is None else templates, width)
@@ -87,18 +133,16 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, perce
         out = []
         for t, x in zip(group, hit, strict=True):
             first, of = windows[len(t[2])]
-            best: dict[tuple, tuple] = {}
-            for k in np.flatnonzero(x):
-                lo, hi = first[k], min(first[k] + 2 * len(t[2]), off[of[k] + 1])
-                inside = np.flatnonzero(np.isin(h[lo:hi], t[2]))
-                share = len(np.unique(h[lo:hi][inside])) / len(t[2])
-                if share * 100 >= percent - 1e-9:
-                    start, stop = int(w.start[place[lo + inside[0]]]), int(w.end[place[lo + inside[-1]] + own - 1])
-                    same = next((q for q in best if q[0] == of[k] and q[1] < stop and start < q[2]), None)
-                    if same is None or best[same][0] < share:
-                        best.pop(same, None)
-                        best[(of[k], start, stop)] = (share,)
-            out += [(r, t[0], s, e, v[0]) for (r, s, e), v in best.items()]
+            k = np.flatnonzero(x)
+            if not len(k):
+                continue
+            # windows that overlap are looked through as one stretch of a row
+            cut = np.flatnonzero(np.concatenate([[True], (of[k[1:]] != of[k[:-1]]) | (k[1:] > k[:-1] + 2)]))
+            for lo, last in zip(k[cut], k[np.append(cut[1:], len(k)) - 1], strict=True):
+                end = min(first[last] + 2 * len(t[2]), off[of[lo] + 1])
+                own_at = np.flatnonzero(np.isin(h[first[lo] : end], t[2])) + first[lo]
+                for i, j, share in stretches(own_at, np.searchsorted(t[2], h[own_at]), len(t[2]), percent):
+                    out.append((of[lo], t[0], int(w.start[place[i]]), int(w.end[place[j] + own - 1]), share))
         return out
 
     def run(batches):

@@ -1,7 +1,7 @@
 """Quality classifier by co-training: one model of what a text says, one of what its record and layout look like.
 
-Both start from a bounded sample of labelled rows. In rounds each model labels the pool rows that it is surest of for the
-other one. At the end both are calibrated on held-out labelled rows and combined, and all documents are scored.
+Both start from a bounded sample of labelled rows. In rounds each model labels, of all other documents, those that it is surest of
+for the other one. At the end both are calibrated on held-out labelled rows and combined, and all documents are scored.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
-from lattica.llm.learn import Logistic, lowest, sigmoid
-from lattica.llm.tables import small_batches
+from lattica.llm.learn import Logistic, sigmoid
+from lattica.llm.tables import BROADCAST_ROWS, drop, keep, small_batches
 
-#: Bounds of the samples that the classifiers are fitted on: labelled rows, and rows without label for pseudo-labels.
-LABELLED_ROWS, POOL_ROWS = 6_000, 6_000
+#: Bound of the sample of labelled rows that the classifiers are fitted on.
+LABELLED_ROWS = 6_000
 ROUNDS, PER_ROUND, SURE, SEED = 4, 400, 0.97, 17
 BIGRAMS, SOURCES, LANGS = 128, 16, 8
 #: A document is accepted from this probability of good quality on.
@@ -83,36 +83,34 @@ class Quality:
         return sigmoid(a), sigmoid(b), sigmoid(self.combine[0] * a + self.combine[1] * b + self.combine[2])
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray) -> Quality | None:
-    """y: 0 or 1 for each labelled row. None if a class is missing. A fifth of the labelled rows only calibrates."""
+def fit_view(x: np.ndarray, y: np.ndarray, extra: tuple[np.ndarray, np.ndarray]) -> Logistic:
+    """A view's model from labelled rows and pseudo-labelled ones, which weigh half."""
+    return Logistic(3.0).fit(np.vstack([x, extra[0]]), np.concatenate([y, extra[1]]), np.concatenate([np.ones(len(y)), np.full(len(extra[1]), 0.5)]))
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, surest) -> Quality | None:
+    """y: 0 or 1 for each labelled row. None if a class is missing. A fifth of the labelled rows only calibrates.
+
+    surest(models, share) gives for each view the columns of both views and the labels of the rows that its model is surest of, share
+    of them good; they are what the other view learns from in the next round.
+    """
     if len(np.unique(y)) < 2:
         return None
     held = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    views = [(content, pool_content), (meta, pool_meta)]
-    extra = [(np.zeros(0, np.int64), np.zeros(0)), (np.zeros(0, np.int64), np.zeros(0))]  # pool rows and their pseudo-labels, for each view
-    free = np.ones(len(pool_content), bool)
-
-    def fit(v: int) -> Logistic:
-        x, p = views[v]
-        rows, labels = extra[v]
-        return Logistic(3.0).fit(np.vstack([x[~held], p[rows]]), np.concatenate([y[~held], labels]), np.concatenate([np.ones((~held).sum()), np.full(len(rows), 0.5)]))
-
-    models = [fit(0), fit(1)]
+    views = [content, meta]
+    extra = [(np.zeros((0, x.shape[1])), np.zeros(0)) for x in views]
+    fit = lambda: [fit_view(views[v][~held], y[~held], extra[v]) for v in (0, 1)]
+    models = fit()
     for _ in range(ROUNDS):
-        if not free.any():
+        found = surest(models, float(y[~held].mean()))
+        if not any(len(f[2]) for f in found):
             break
-        for v in (0, 1):
-            p = sigmoid(models[v].logit(views[v][1]))
-            share = y[~held].mean()
-            for label, surest, most in ((1.0, p, int(PER_ROUND * share) + 1), (0.0, 1 - p, int(PER_ROUND * (1 - share)) + 1)):
-                pick = np.flatnonzero(free & (surest >= SURE))
-                pick = pick[np.argsort(-surest[pick], kind="stable")][:most]
-                rows, labels = extra[1 - v]
-                extra[1 - v] = (np.concatenate([rows, pick]), np.concatenate([labels, np.full(len(pick), label)]))
-                free[pick] = False
-        models = [fit(0), fit(1)]
+        for v, f in enumerate(found):
+            rows, labels = extra[1 - v]
+            extra[1 - v] = (np.vstack([rows, f[1 - v]]), np.concatenate([labels, f[2]]))
+        models = fit()
     on = held if held.any() else ~held
     both = Logistic(1.0).fit(np.column_stack([models[0].logit(content[on]), models[1].logit(meta[on])]), y[on])
     weights = np.maximum(both.w[:2] / both.scale, 0)
@@ -121,26 +119,61 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Quality | None:
-    """Fits on at most LABELLED_ROWS rows of labels (doc_id, quality) and POOL_ROWS documents without label."""
+    """Fits on at most LABELLED_ROWS rows of labels (doc_id, quality); of different labels of one id 1 counts. All other documents are
+    the pool: each round every one of them is scored, and the PER_ROUND surest of a view go to the other."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = lowest(known, LABELLED_ROWS, SEED)
-    pool = lowest(docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known.select("doc_id"), "doc_id", "left_anti").distinct(), POOL_ROWS, SEED + 1)
-    ids = chosen.unionByName(pool.withColumn("y", F.lit(-1)))
 
     def run(batches):
         for batch in batches:
             for a, b, content, meta in _batches(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array(list(np.hstack([content, meta]).astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
-
-    rows = _plain(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x array<float>").toArrow()
-    if not rows.num_rows:
+                x = np.hstack([content, meta]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), A.binary_array(x, np.arange(b - a + 1) * x.shape[1] * 4)], ["doc_id", "x"])
+
+    rows_kept = rows = keep(_plain(docs).mapInArrow(run, "doc_id long, x binary"), "features")
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(known) if few else known, "doc_id", "left")
+    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.xxhash64("x")]
+    got = rows.where("y is not null").orderBy(*order).limit(LABELLED_ROWS).toArrow()
+    if not got.num_rows:
+        drop(rows_kept)
         return None
-    rows = rows.sort_by("doc_id")
-    y, x = rows["y"].to_numpy(), np.stack(rows["x"].to_numpy(zero_copy_only=False)).astype(float)
+    unpack = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(float)
+    x, y, used = unpack(got["x"]), got["y"].to_numpy().astype(float), np.zeros(0, np.int64)
     cut = x.shape[1] - (SOURCES + LANGS + 6)
-    lab = y >= 0
-    return co_train(x[lab, :cut], x[lab, cut:], y[lab].astype(float), x[~lab, :cut], x[~lab, cut:]) if lab.any() else None
+    pool = rows.where("y is null and doc_id is not null").select("doc_id", "x")
+
+    def surest(models: list[Logistic], share: float) -> list:
+        nonlocal used
+        taken = used
+
+        def sure(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                raw, _ = A.string_bytes(batch.column(1).cast(pa.large_binary()))
+                z, ids = raw.view(np.float32).reshape(batch.num_rows, -1).astype(float), batch.column(0).to_numpy()
+                free = ~np.isin(ids, taken)
+                for v, part in enumerate((z[:, :cut], z[:, cut:])):
+                    p = sigmoid(models[v].logit(part))
+                    for label, how in ((1, p), (0, 1 - p)):
+                        k = np.flatnonzero(free & (how >= SURE))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), 2 * v + label, np.int32)), pa.array(how[k]), batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k))], ["slot", "sure", "doc_id", "x"])
+
+        most = {2 * v + label: int(PER_ROUND * (share if label else 1 - share)) + 1 for v in (0, 1) for label in (0, 1)}
+        top = Window.partitionBy("slot").orderBy(F.desc("sure"), "doc_id", F.xxhash64("x"))
+        best = pool.mapInArrow(sure, "slot int, sure double, doc_id long, x binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(most.values()))
+        got = best.toArrow().sort_by([("slot", "ascending"), ("r", "ascending")])
+        slot, ids, place = (got[c].to_numpy() for c in ("slot", "doc_id", "r"))
+        own = place <= np.array([most[int(s)] for s in slot], np.int64) if len(slot) else place > 0
+        own &= np.arange(len(ids)) == np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]] if len(ids) else own
+        z = unpack(got["x"]) if len(ids) else np.zeros((0, x.shape[1]))
+        used = np.concatenate([used, ids[own]])
+        return [(z[k, :cut], z[k, cut:], (slot[k] % 2).astype(float)) for k in (own & (slot // 2 == v) for v in (0, 1))]
+
+    model = co_train(x[:, :cut], x[:, cut:], y, surest)
+    drop(rows_kept)
+    return model
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -168,7 +201,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
+    """The rows of docs that the classifier accepts, with all their columns; null texts count as empty, and rows repeated whole or
+    without an id are judged like all others. All rows if nothing can be learned."""
     model = fit_quality(docs, labels)
     if model is None:
         return docs

@@ -7,10 +7,11 @@ for nothing bad are exceptions.
 
 from __future__ import annotations
 
-import re
+import bisect
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -89,7 +90,11 @@ def hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, float
                 free.append((at, end))
             elif w > best.get(at, 0.0):
                 best[at] = w
-    return [(k, w) for k, w in best.items() if not any(a <= k < e for a, e in free)]
+    if not free:
+        return list(best.items())
+    free.sort()
+    starts, reach = [a for a, _ in free], list(accumulate((e for _, e in free), max))
+    return [(k, w) for k, w in best.items() if not (n := bisect.bisect_right(starts, k)) or reach[n - 1] <= k]
 
 
 def columns(found: list[tuple[int, float]], words: int) -> list[float]:
@@ -113,6 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     rows = text.join(F.broadcast(ids), "doc_id").persist()
     sizes = dict(rows.groupBy("y").count().collect())
     if len(sizes) < 2:
+        rows.unpersist()
         return None
 
     def count(only: frozenset | None):
@@ -128,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
 
     def totals(y: int, only: frozenset | None, least: float) -> dict[str, int]:
         got = rows.where(F.col("y") == y).mapInArrow(count(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return dict(got.orderBy(F.desc("n"), "term").limit(20 * TERMS).collect())
+        return dict(got.collect())  # of a bounded sample
 
     toxic = totals(1, None, max(LEAST_ROWS, LEAST_SHARE * sizes[1]))
     clean = totals(0, frozenset(toxic), 1)
@@ -194,7 +200,13 @@ def toxicity(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, hits): learned only from rows whose crc32 of the id as text, modulo 4, is not 2."""
+    """(doc_id, held_out, score, predicted, hits) for each row of docs (doc_id, text): learned only from rows of labels (doc_id, toxic)
+    whose crc32 of the id as text, modulo 4, is not 2.
+
+    Null and empty texts have no hits and a score all the same; rows with null ids and repeated rows are scored like all others. Of
+    different labels of one id 1 counts; labels that are null or neither 0 nor 1, or of no document, are ignored. Without rows of both
+    labels scores are 0. An empty table gives an empty one; other columns are ignored.
+    """
     part = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string")), F.lit(4))
     lexicon = learn(docs, labels.where(part != 2))
     out = toxicity(docs, lexicon)

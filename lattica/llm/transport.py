@@ -46,11 +46,14 @@ def crc32_mpeg(data: bytes) -> int:
 
 @dataclass
 class Unit:
-    """A PES packet: presentation time in ticks of 90 kHz (None without), whether decoding can start there, payload bytes."""
+    """A PES packet: presentation and decoding time in ticks of 90 kHz (None without; decoding is at presentation if only that is
+    given), whether decoding can start there, payload bytes, the clock reference of its first packet (27 MHz, None without)."""
 
     pts: int | None
     random_access: bool
     size: int
+    dts: int | None = None
+    clock: int | None = None
 
 
 @dataclass
@@ -123,6 +126,10 @@ def _read_section(p: np.ndarray, at: int, found: Stream) -> bytes | None:
     return raw[: size - 1]
 
 
+def _read_stamp(b: bytes) -> int:
+    return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
+
+
 def demux(media: bytes) -> Stream:
     """Reads a stream. Packets without the sync byte are skipped and counted, as are tables with a wrong checksum and gaps
     in the counters of a packet identifier; a packet repeated once whole is dropped. Bytes after the last whole packet are ignored.
@@ -154,9 +161,12 @@ def demux(media: bytes) -> Stream:
                 at += 5 + ((s[at + 3] & 15) << 8 | s[at + 4])
             break
     for x in {0, pmt, *(i for i, _ in found.streams)} - {None}:
-        c = counter[(pid == x) & has].astype(np.int32)
+        at = np.flatnonzero((pid == x) & has)
+        c = counter[at].astype(np.int32)
         if len(c) > 1:
-            found.continuity_errors += int(((np.diff(c) & 15) > 1).sum())
+            step = np.diff(c) & 15
+            stay = np.flatnonzero(step == 0)  # a repeated packet has the same bytes
+            found.continuity_errors += int((step > 1).sum()) + sum(bool((p[at[k]] != p[at[k + 1]]).any()) for k in stay)
     if not found.streams:
         return found
     own = np.flatnonzero((pid == found.streams[0][0]) & has)
@@ -177,10 +187,14 @@ def demux(media: bytes) -> Stream:
             continue
         size, flags, head = int.from_bytes(data[lo + 4 : lo + 6], "big"), data[lo + 7], data[lo + 8]
         b = data[lo + 9 : lo + 14]
-        pts = (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1 if flags & 0x80 and head >= 5 and len(b) == 5 else None
+        pts = _read_stamp(b) if flags & 0x80 and head >= 5 and len(b) == 5 else None
+        late = data[lo + 14 : lo + 19]
+        dts = _read_stamp(late) if flags & 0xC0 == 0xC0 and head >= 10 and len(late) == 5 else pts
+        adapted = control[own[k]] & 2 and body[k][4] >= 7 and body[k][5] & 0x10
+        clock = int.from_bytes(body[k][6:12].tobytes(), "big") if adapted else None
         parts.append(data[lo + 9 + head : min(hi, lo + 6 + size) if size else hi])
         access = bool(control[own[k]] & 2 and body[k][4] and body[k][5] & 0x40)
-        found.units.append(Unit(pts, access, len(parts[-1])))
+        found.units.append(Unit(pts, access, len(parts[-1]), dts, (clock >> 15) * 300 + (clock & 0x1FF) if clock is not None else None))
     found.payload = b"".join(parts)
     return found
 
@@ -217,21 +231,21 @@ def transport_streams(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-UNITS = "array<struct<pts: bigint, random_access: boolean, size: int>>"
+UNITS = "array<struct<pts: bigint, dts: bigint, clock: bigint, random_access: boolean, size: int>>"
 
 
 def read_streams(media: DataFrame) -> DataFrame:
     """Adds to each row of (other columns, media) what demux() reads from it: payload, units, and `tables` and faults in one struct.
 
-    A null or empty medium gives an empty payload and no units.
+    A null or empty medium gives an empty payload and no units. Columns of the rows that are named like those added are replaced.
     """
-    names = [c for c in media.columns if c != "media"]
+    names = [c for c in media.columns if c.lower() not in ("media", "payload", "units", "found")]
     schema = ", ".join(f"`{c}` {dict(media.dtypes)[c]}" for c in [*names, "media"]) + f", payload binary, units {UNITS}, found struct<packets: int, program: int, pid: int, stream_type: int, continuity_errors: int, sync_errors: int, crc_errors: int>"
 
     def run(batches):
         for batch in _parts(batches):
             got = [demux(x or b"") for x in batch.column(len(names)).to_pylist()]
-            units = pa.array([[{"pts": u.pts, "random_access": u.random_access, "size": u.size} for u in s.units] for s in got], pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())])))
+            units = pa.array([[{"pts": u.pts, "dts": u.dts, "clock": u.clock, "random_access": u.random_access, "size": u.size} for u in s.units] for s in got], pa.list_(pa.struct([("pts", pa.int64()), ("dts", pa.int64()), ("clock", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())])))
             kinds = [(k, pa.int32()) for k in ("packets", "program", "pid", "stream_type", "continuity_errors", "sync_errors", "crc_errors")]
             facts = pa.array([{"packets": s.packets, "program": s.program, "pid": (s.streams or [(None, None)])[0][0], "stream_type": (s.streams or [(None, None)])[0][1], "continuity_errors": s.continuity_errors, "sync_errors": s.sync_errors, "crc_errors": s.crc_errors} for s in got], pa.struct(kinds))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.payload for s in got], pa.binary()), units, facts], [*batch.schema.names, "payload", "units", "found"])
@@ -242,6 +256,9 @@ def read_streams(media: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """The digest of each document's stream: sizes and hashes of the payload read back and of the stored form, and a feature
     string of packets, units, first and last timestamps and the places of random-access points.
+
+    A row for each row of docs (doc_id, text): null texts count as empty and give one unit of zeros; null ids and repeated rows stay,
+    equal texts give equal values. Other columns are ignored; an empty table gives an empty one.
     """
     rows = read_streams(transport_streams(docs))
 

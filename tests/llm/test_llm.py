@@ -414,22 +414,70 @@ def test_transport(spark, docs):
     assert not transport.media_features(empty(spark)).count()
 
 
+def test_transport_clashing_columns_and_times(spark):
+    media = spark.createDataFrame([(1, bytearray(transport.mux(bytes(70016))), "x", 2, 3)], "doc_id long, media binary, payload string, units int, found int")
+    got = transport.read_streams(media)
+    assert got.columns == ["doc_id", "media", "payload", "units", "found"]
+    row = got.first()
+    assert bytes(row.payload) == bytes(70016) and [u.pts for u in row.units] == [90_000 + 3_600 * k for k in range(5)]
+    assert all(u.dts == u.pts and u.clock == u.pts * 300 for u in row.units)
+
+
 def test_licenses(spark, docs):
     t = licenses.TEMPLATES["mit-text"].split()
-    rows = [(1, prose(40) + " " + " ".join(t) + " " + prose(40)), (2, prose(20) + " All  RIGHTS reserved. " + prose(9)), (3, " ".join(t[:20])), (4, " ".join([*t[:30], "other", *t[31:]])), (5, None), (6, ""), (7, "Released under the MIT License."), (7, "Released under the MIT License."), (8, " ".join([*t, prose(200), *t])), (9, prose(5000) + " Licensed under CC BY-NC 4.0. x")]
+    rows = [(1, prose(40) + " " + " ".join(t) + " " + prose(40)), (2, prose(20) + " All  RIGHTS reserved. " + prose(9)), (3, " ".join(t[:20])), (4, " ".join([*t[:30], "other", *t[31:]])), (5, None), (6, ""), (7, "Released under the MIT License."), (7, "Released under the MIT License."), (8, " ".join([*t, prose(200), *t])), (10, " ".join(t * 3)), (11, " ".join([*t, "so", "far", *t[:30]])), (9, prose(5000) + " Licensed under CC BY-NC 4.0. x")]
     out = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = Counter((r.doc_id, r.license) for r in out)
-    assert got == Counter({(1, "mit-text"): 1, (2, "all-rights-reserved"): 1, (4, "mit-text"): 1, (7, "mit"): 2, (8, "mit-text"): 2, (9, "cc-by-nc-4.0"): 1})
+    assert got == Counter({(1, "mit-text"): 1, (2, "all-rights-reserved"): 1, (4, "mit-text"): 1, (7, "mit"): 2, (8, "mit-text"): 2, (9, "cc-by-nc-4.0"): 1, (10, "mit-text"): 3, (11, "mit-text"): 1})
+    three = sorted((r.start, r.stop, r.containment) for r in out if r.doc_id == 10)
+    assert three == [(k * (len(" ".join(t)) + 1), k * (len(" ".join(t)) + 1) + len(" ".join(t)), 1.0) for k in range(3)]
     r = next(r for r in out if r.doc_id == 1)
     assert rows[0][1].encode()[r.start : r.stop].decode() == " ".join(t) and r.containment == 1.0
     assert not licenses.license_scan(empty(spark)).count() and not licenses.license_scan(docs).where("doc_id = 208").count()
 
 
+def test_licenses_against_brute_force(spark):
+    """Templates in texts of a few words, so that pieces of them stand everywhere: a document has a template's license if and only if
+    some stretch of two template lengths holds four fifths of its shingles. And a text of very many copies is scanned in one pass."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("one two three four five six".split())
+    templates = {f"t{k}": " ".join(word() for _ in range(n)) for k, n in enumerate((5, 6, 9, 14, 30))}
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(80)))) for k in range(150)]
+    for k in range(60):
+        w = templates[f"t{k % 5}"].split()
+        for _ in range(k % 3):
+            w[rng.randrange(len(w))] = "other"
+        rows.append((200 + k, " ".join([*(word() for _ in range(rng.randrange(30))), *w, *(word() for _ in range(rng.randrange(30)))])))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = set()
+    for i, t in rows:
+        own = grams(t.split())
+        for name, x in templates.items():
+            needed = set(grams(x.split()))
+            spans = (set(own[a : a + 2 * len(needed)]) & needed for a in range(max(1, len(own))))
+            if any(100 * len(s) >= 80 * len(needed) for s in spans):
+                want.add((i, name))
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {(r.doc_id, r.license) for r in out} == want and len(want) > 25
+    many = spark.createDataFrame([(1, "All rights reserved. " * 20_000)], "doc_id long, text string")
+    assert licenses.license_scan(many).count() == 20_000
+
+
 def test_toxicity(spark):
     assert toxicity.fold("Thé 1d10t, ｓtupid 123 ѕсuḿ!") == " the idiot stupid 123 scum "
     lex = toxicity.Lexicon({" trash ": 3.0, " idi": 2.0}, [" trash can "])
     hit = lambda t: toxicity.hits(toxicity.fold(t), lex.automaton())
     assert [w for _, w in hit("You TR4SH, 1diots!")] == [3.0, 2.0] and not hit("the trash can") and not hit("trashy")
+    rng = random.Random(4)
+    for _ in range(200):  # matches against looking for every term at every place
+        text = " ".join(rng.choice(["trash", "can", "idi", "idiom", "the", "tra sh"]) for _ in range(12))
+        folded, best = toxicity.fold(text), {}
+        for t, w in lex.terms.items():
+            for k in range(len(folded)):
+                if folded.startswith(t, k):
+                    best[k] = max(best.get(k, 0), w)
+        free = [k for k in range(len(folded)) if folded.startswith(" trash can ", k)]
+        assert sorted(toxicity.hits(folded, lex.automaton())) == sorted((k, w) for k, w in best.items() if not any(a <= k < a + 10 for a in free))
     rows, labels = [], []
     for k in range(800):
         bad = k % 4 == 0
@@ -461,5 +509,7 @@ def test_quality(spark):
     assert len(out) == len(rows)
     assert np.mean([r.accepted == bool(r.doc_id % 5) for r in out if r.doc_id is not None and r.doc_id < 300]) > 0.97
     assert quality.accepted_documents(docs, lab).columns == docs.columns
+    left = [(r.score, r.doc_id % 5) for r in out if r.doc_id is not None and r.doc_id < 300 and r.doc_id % 3 == 0]
+    assert min(s for s, good in left if good) > max(s for s, good in left if not good)  # rows that no label told of
     none = quality.quality_scores(docs, labels_of(spark, [], "quality"))
     assert none.where("accepted").count() == len(rows) and not quality.quality_scores(empty(spark), lab).count()
