@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions import exprs as X
 from lattica.operators import graph as G
 from lattica.operators import store as S
+from lattica.plans import tasks as T
 from lattica.sources import projects as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,12 +224,9 @@ def preview_lines(spark, d):
     return pick(P.text_lines(spark, d).where((F.col("path") == FILE) & F.col("line").between(0 - 6, 0 + 6)), "path line txt")
 
 
-@query(TEXT + "SELECT kind, name, line, path FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, path, line) AS r FROM symbols) WHERE r <= 2001")
+@query(TEXT + "SELECT kind, count, name, line, path FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, path, line) AS r, count(*) OVER (PARTITION BY kind) AS count FROM symbols) WHERE r <= 2001")
 def symbol_tree(spark, d):
-    from pyspark.sql import Window
-
-    s = P.text_store(spark, d).symbols.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("name", "path", "line")))
-    return pick(s.where("r <= 2001"), "kind name line path")
+    return T.symbol_tree(P.text_store(spark, d))
 
 
 # files and events
@@ -404,3 +402,9 @@ def path_parts(spark, d):
 @query(TEXT + ", c AS (SELECT path, line, trim(regexp_replace(txt, '\\s+', ' ', 'g')) AS s FROM lines) SELECT path, line, CASE WHEN length(s) > 240 THEN substr(s, 1, 239) || '…' ELSE s END AS signature FROM c")
 def collapsed_signature(spark, d):
     return P.text_lines(spark, d).select("path", "line", X.collapse(F.col("txt")).alias("signature"))
+
+
+from lattica import catalog_code  # noqa: E402
+
+QUERIES |= catalog_code.QUERIES
+ORACLES |= catalog_code.ORACLES

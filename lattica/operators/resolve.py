@@ -107,6 +107,8 @@ def resolve(store: Store, local: DataFrame, occurrences: DataFrame) -> DataFrame
     """
     m = _Members(store)
     plain = _nearest(occurrences.where("size(receiver) = 0"), local, "name")
+    own = store.symbols.where("kind in ('field', 'method', 'prototype')").where(F.col("qualname").contains("::")).select("path", "name", "line", "col", F.col("qualname").alias("own"))
+    plain = plain.join(own, ["path", "name", "line", "col"], "left")  # a member's own declaration
     behind = m.typed(occurrences.where("size(receiver) > 0"), local)
     member = behind.join(m.best.select(F.col("owner").alias("type"), "name", "m"), ["type", "name"], "left")
     s = store.symbols
@@ -122,7 +124,7 @@ def resolve(store: Store, local: DataFrame, occurrences: DataFrame) -> DataFrame
 
     columns = ("path", "name", "line", "col", "call")
     is_local, nothing = F.col("l_at").isNotNull(), F.lit(None).cast("string")
-    a = named(plain).select(*columns, F.when(is_local, "local").when(F.col("d").isNotNull(), "symbol").alias("res_kind"), F.when(~is_local, F.col("d.qualname")).alias("qualname"), F.when(is_local, F.col("path")).otherwise(F.col("d.path")).alias("decl_path"), F.when(is_local, F.col("l_line")).otherwise(F.col("d.line")).alias("decl_line"), "l_type", "l_kind")
+    a = named(plain).select(*columns, F.when(is_local, "local").when(F.col("own").isNotNull(), "member").when(F.col("d").isNotNull(), "symbol").alias("res_kind"), F.when(~is_local, F.coalesce("own", "d.qualname")).alias("qualname"), F.when(is_local | F.col("own").isNotNull(), F.col("path")).otherwise(F.col("d.path")).alias("decl_path"), F.when(is_local, F.col("l_line")).when(F.col("own").isNotNull(), F.col("line")).otherwise(F.col("d.line")).alias("decl_line"), "l_type", "l_kind")
     b = named(member).select(*columns, F.when(F.col("m").isNotNull(), "member").when(F.col("d").isNotNull(), "symbol").alias("res_kind"), F.coalesce("m.qualname", "d.qualname").alias("qualname"), F.coalesce("m.path", "d.path").alias("decl_path"), F.coalesce("m.line", "d.line").alias("decl_line"), nothing.alias("l_type"), nothing.alias("l_kind"))
     return a.unionByName(b)
 

@@ -237,11 +237,12 @@ class Store:
 
     def resolved_includes(self, includes: DataFrame | None = None) -> DataFrame:
         """Each include with the file that it names: the shortest path that ends with '/' and it, ties by path. Joined by base name."""
-        i = (self.includes if includes is None else includes).withColumn("_k", F.monotonically_increasing_id())
+        i = self.includes if includes is None else includes
+        names = i.select("path").distinct().withColumn("_b", F.lower(X.base_name(F.col("path"))))
         f = self.files.select(F.col("path").alias("resolved"), F.lower(F.col("path")).alias("_p"), F.lower(X.base_name(F.col("path"))).alias("_b"))
-        j = i.withColumn("_b", F.lower(X.base_name(F.col("path")))).join(f, "_b")
-        best = j.where(F.endswith(F.col("_p"), F.concat(F.lit("/"), F.lower("path")))).groupBy("_k").agg(F.min_by("resolved", F.struct(F.length("resolved"), "resolved")).alias("resolved"))
-        return i.join(best, "_k", "left").drop("_k")
+        j = names.join(f, "_b").where(F.endswith(F.col("_p"), F.concat(F.lit("/"), F.lower("path"))))
+        best = j.groupBy("path").agg(F.min_by("resolved", F.struct(F.length("resolved"), "resolved")).alias("resolved"))
+        return i.join(best, "path", "left")
 
     def included_by(self, path: str) -> DataFrame:
         """Files whose includes name the end of path."""
