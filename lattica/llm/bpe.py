@@ -247,12 +247,12 @@ class WordTable:
         raw, start = A.string_bytes(words.cast(pa.large_binary()))
         h = A.span_hashes(raw, start[:-1], start[1:])
         order = np.argsort(h, kind="stable")
-        size = np.diff(start)[order]
+        h, size = h[order], np.diff(start)[order].astype(np.int32)
         long = np.where(size > 8, size, 0)
-        ids = ids.cast(pa.large_binary()).take(pa.array(order))
-        flat, off = A.string_bytes(ids)
-        data = np.concatenate([raw[A.ragged(start[:-1][order], long)], np.zeros(8, np.uint8)])
-        return cls(h[order], size, np.cumsum(long) - long, data, off // 2, flat.view(np.uint16).copy())
+        data, _ = A.string_bytes(words.take(pa.array(order[size > 8])).cast(pa.large_binary()))
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+        flat, off = A.string_bytes(ids.take(pa.array(order)).cast(pa.large_binary()))
+        return cls(h, size, np.cumsum(long, dtype=np.int64) - long, data, (off // 2).astype(np.int32 if off[-1] < 1 << 31 else np.int64), flat.view(np.uint16).copy())
 
     def find(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the table, whether the word is there) of each span of raw. Hashes of words of up to eight bytes tell them apart

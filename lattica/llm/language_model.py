@@ -18,14 +18,15 @@ from lattica.llm import arrays as A
 from lattica.llm.tables import drop, keep, release, small_batches
 
 #: Words with ids: so many times the cube root of the training tokens; the softmax has the square root of them as classes.
-WORDS_FACTOR = 8
+WORDS_FACTOR = 6
 HIDDEN, WINDOW, STREAMS, ROUNDS, RATE, SEED = 16, 32, 192, 3, 0.01, 53
 #: Largest logit that is told apart, far above what fits give: exponents of it do not overflow.
 LOGIT = np.float32(60)
 #: Windows that a stream has at least before there are more streams; tokens fitted at a time, and of a task in all rounds.
 WINDOWS, FIT_TOKENS, TASK_TOKENS = 32, 1 << 18, 2_000_000
-#: Tokens of a scoring window over all documents in step; parameters in a row when copies are averaged.
-TOKENS, PART = 16_384, 4_096
+#: Tokens of a scoring window over all documents in step, and of the documents that are scored together; parameters in a row when
+#: copies are averaged.
+TOKENS, HELD_TOKENS, PART = 16_384, 4_000_000, 4_096
 
 
 class Recurrent:
@@ -300,28 +301,45 @@ def language_model_scores(docs: DataFrame, factor: float = WORDS_FACTOR, rounds:
 
     def score(batches):
         net, names = shared.value
-        for batch in batches:
-            rows, ids, ends_, rare, size = [], [], [np.zeros(1, np.int64)], [], 0
-            for _, _, h, w in _hashes(batch.column(1)):
-                hit, flat, off = names.ids(h, w)
-                few = np.bincount(w.row, ~hit, w.rows).astype(np.int64)
-                base = np.bincount(w.row, np.where(hit, log_c[flat[np.arange(len(h)) + w.row]], 0.0), w.rows) + log_c[names.end]
-                rows.append((w.count + 1, w.count - few + (ends > 0), base, few))
-                ids.append(flat)
-                ends_.append(off[1:] + size)
-                size += len(flat)
-                h, row = h[~hit], w.row[~hit]
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
-                rare.append((h[new].view(np.int64), np.diff(np.append(new, len(h))), np.bincount(row[new], minlength=w.rows)))
-            if not rows:
+        held, size = [], 0
+        for batch in batches:  # many at a time, as the longest documents go on alone at the end
+            if not batch.num_rows:
                 continue
-            got = net.score(np.concatenate(ids), np.concatenate(ends_), names.end) / np.log(10)
+            held.append(read(batch, names))
+            size += sum(map(len, held[-1][1]))
+            if size >= HELD_TOKENS:
+                yield from scored(held, net, names)
+                held, size = [], 0
+        yield from scored(held, net, names)
+
+    def scored(held, net, names):
+        if not held:
+            return
+        every = np.concatenate([x for _, ids, _, _ in held for x in ids] or [np.zeros(0, np.int32)])
+        counts_ = [np.concatenate([r[0] for r in rows]) for _, _, rows, _ in held]
+        got = net.score(every, np.concatenate([[0], np.cumsum(np.concatenate(counts_))]), names.end) / np.log(10)
+        at = 0
+        for (ids, _, rows, rare), own in zip(held, counts_, strict=True):
             n, found, base, tail = (np.concatenate(x) for x in zip(*rows, strict=True))
             h, k, per = (np.concatenate(x) for x in zip(*rare, strict=True))
             of = np.concatenate([[0], np.cumsum(per)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in (n, found, base, got, tail)), A.list_array(h, of, pa.int64()), A.list_array(k, of, pa.int32())], ["doc_id", "held_out", "n", "known", "base", "lm", "tail", "hs", "ks"])
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x) for x in (n, found, base, got[at : at + len(own)], tail)), A.list_array(h, of, pa.int64()), A.list_array(k, of, pa.int32())], ["doc_id", "held_out", "n", "known", "base", "lm", "tail", "hs", "ks"])
+            at += len(own)
+
+    def read(batch, names):
+        rows, ids, rare = [], [], []
+        for _, _, h, w in _hashes(batch.column(1)):
+            hit, flat, off = names.ids(h, w)
+            few = np.bincount(w.row, ~hit, w.rows).astype(np.int64)
+            base = np.bincount(w.row, np.where(hit, log_c[flat[np.arange(len(h)) + w.row]], 0.0), w.rows) + log_c[names.end]
+            rows.append((w.count + 1, w.count - few + (ends > 0), base, few))
+            ids.append(flat.astype(np.int32))
+            h, row = h[~hit], w.row[~hit]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+            rare.append((h[new].view(np.int64), np.diff(np.append(new, len(h))), np.bincount(row[new], minlength=w.rows)))
+        return (batch.column(0), batch.column(2)), ids, rows, rare
 
     release(docs.sparkSession)
     own = text.select("doc_id", "text", "held_out").mapInArrow(score, "doc_id long, held_out boolean, n long, known long, base double, lm double, tail long, hs array<long>, ks array<int>")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +103,10 @@ def mix(docs: DataFrame, share: float = 0.5, weights: dict[tuple, float] | None
     leaves = {(r[a], r[b], r[c]): r.n for r in got}
     target = budgets(leaves, int(share * sum(leaves.values())), weights or {}, epochs, alpha)
     rows = [(*k, target[k] // leaves[k], target[k] % leaves[k]) for k in leaves if leaves[k]]
-    plan = F.broadcast(docs.sparkSession.createDataFrame(rows, f"{a} string, {b} string, {c} string, {whole} long, {rest} long"))
+    # as an Arrow table: rows of Python objects would start further Python workers on all executors
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    plan = pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[*names, whole, rest])
+    plan = F.broadcast(docs.sparkSession.createDataFrame(plan))
     # as many ranges of the order as each of them then has rows, about
     digits = max(1, math.ceil(math.log(max(sum(r.rows for r in got), 2), 16) / 2))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(whole).cast("string"), F.col(key)).cast("binary"))
