@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANK = "CASE WHEN kind IN ('function','method') THEN 0 WHEN kind IN ('macro','struct','class','typedef','enum','union') THEN 1 WHEN kind IN ('variable','enumerator') THEN 2 WHEN kind = 'field' THEN 3 WHEN kind = 'prototype' THEN 4 ELSE 5 END"
-TEXT = """WITH raw AS (SELECT doc_id, lang, source, lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, string_split(text, chr(10)) AS ls, n_chars FROM documents),
+TEXT = """WITH raw AS (SELECT doc_id, lang, source, lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, string_split_regex(text, '\\r?\\n') AS ls, n_chars FROM documents),
 lines AS (SELECT doc_id, path, source, unnest(ls) AS txt, CAST(unnest(range(len(ls))) AS INTEGER) AS line FROM raw),
 named AS (SELECT *, regexp_extract_all(txt, '[A-Za-z_][A-Za-z0-9_]*') AS names FROM lines),
 files AS (SELECT doc_id AS id, path, CAST(0 AS BIGINT) AS mtime, n_chars AS size, lang FROM raw),
@@ -221,7 +221,7 @@ def outline_nesting(spark, d):
 
 @query(TEXT + "SELECT path, line, txt FROM lines WHERE path = 'en/src1/1.txt' AND line BETWEEN 0 AND 6")
 def preview_lines(spark, d):
-    return pick(P.text_lines(spark, d).where((F.col("path") == FILE) & F.col("line").between(0 - 6, 0 + 6)), "path line txt")
+    return T.preview(P.text_files(spark, d), FILE, 0)
 
 
 @query(TEXT + "SELECT kind, count, name, line, path FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, path, line) AS r, count(*) OVER (PARTITION BY kind) AS count FROM symbols) WHERE r <= 2001")
@@ -387,7 +387,36 @@ def include_graph(spark, d):
     return G.build(e, n, "file:en/src1/1.txt", "callees", 2, 1_000_000, ("file",)).edges
 
 
+# limits that end in the middle
+@query(TEXT + f"SELECT {REF_SQL} FROM refs r LEFT JOIN symbols s ON r.from_symbol = s.id WHERE r.name = '{FREQUENT}' ORDER BY r.path, r.line, r.col LIMIT 1000")
+def references_limited(spark, d):
+    return pick(P.text_store(spark, d).references_of(FREQUENT, 1000), REF)
+
+
+@query(TEXT + f"SELECT r.line, r.col, r.kind, s.qualname AS from_qualname FROM refs r LEFT JOIN symbols s ON r.from_symbol = s.id WHERE r.name = '{FREQUENT}' AND r.path = '{FILE}' ORDER BY r.line, r.col LIMIT 3")
+def references_in_file_limited(spark, d):
+    return P.text_store(spark, d).references_in_file(FREQUENT, FILE, 3)
+
+
+@query(TEXT + f"SELECT {SYMBOL_SQL} FROM symbols WHERE kind = 'macro' ORDER BY name, path, line, col LIMIT 50")
+def symbols_by_kind_limited(spark, d):
+    return pick(P.text_store(spark, d).symbols_by_kind("macro", 50), SYMBOL)
+
+
 # expressions
+@query("SELECT p_partkey, 'ns::' || replace(p_brand, '#', '_') AS type_name, replace(p_brand, '#', '_') AS declared FROM part")
+def type_names(spark, d):
+    """Types with template arguments, qualifiers, pointers and arrays, and the type in front of a declared name."""
+    brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
+    text = F.concat(F.lit("static const ns::"), brand, F.lit("<a, b<c>> *const &[4]"))
+    return P.read(spark, d, "part").select("p_partkey", X.base_type_name(text).alias("type_name"), X.type_from_declaration(F.concat(F.lit("extern struct "), brand, F.lit(" *kept[8], *other = 0")), "kept").alias("declared"))
+
+
+@query(TEXT + ", c AS (SELECT id, trim(regexp_replace(regexp_extract(text, '^[^\\r\\n]*'), '\\s+', ' ', 'g')) AS s FROM files JOIN documents ON doc_id = id) SELECT id, CASE WHEN length(s) > 200 THEN substr(s, 1, 199) || '…' ELSE s END AS first FROM c")
+def first_lines(spark, d):
+    return P.read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.first_line(F.col("text")).alias("first"))
+
+
 @query("SELECT p_partkey, p_type AS declaration, regexp_extract(p_type, '([A-Za-z_][A-Za-z0-9_]*)\\s*$', 1) AS type_name FROM part")
 def base_type_name(spark, d):
     return P.read(spark, d, "part").select("p_partkey", F.col("p_type").alias("declaration"), X.base_type_name(F.concat(F.lit("const "), "p_type", F.lit(" *&"))).alias("type_name"))

@@ -323,3 +323,26 @@ def context_type(spark, d):
     """The type of a parameter."""
     c = S.code(spark, d)
     return T.context(c.store, c.resolved, c.texts, ONE, 11, 19).type.select("name", "kind")
+
+
+TOKENS = [("#include", "preprocessor", 0, 0), ('"n{N}.h"', "string", 0, 9), ("int", "type", 1, 0), ("scale_{N}", "function", 1, 4), ("(", "operator", 1, 12), ("int", "type", 1, 13), ("x", "identifier", 1, 17), (",", "operator", 1, 18), ("int", "type", 1, 20), ("y", "identifier", 1, 24), (")", "operator", 1, 25), ("{", "operator", 1, 27), ("return", "keyword", 1, 29), ("x", "identifier", 1, 36), ("*", "operator", 1, 38), ("y", "identifier", 1, 40), (";", "operator", 1, 41), ("}", "operator", 1, 43)]
+
+
+@query(CODE + f"SELECT path, line, start, start + length(t) AS stop, cls FROM (SELECT path, line, start, replace(t, '{{N}}', n) AS t, cls FROM made, (VALUES {_values(TOKENS)}) x(t, cls, line, start) WHERE f = 'n')")
+def tokens_of_lines(spark, d):
+    """The line lexer as a table function over files."""
+    from lattica.functions.lines import Tokens
+
+    spark.udtf.register("lattica_tokens", Tokens)
+    S.code(spark, d).texts.where("path like 'parts/%.c'").createOrReplaceTempView("lattica_texts")
+    return spark.sql("SELECT f.path, t.line, t.start, t.stop, t.cls FROM lattica_texts f, LATERAL lattica_tokens(f.text) t")
+
+
+@query(CODE + "SELECT path, CASE f WHEN 'r' THEN 'cpp' WHEN 'h' THEN 'cpp' ELSE 'c' END AS lang, CASE WHEN f IN ('h', 'n') THEN regexp_replace(path, '^parts/', '') ELSE path END AS below FROM made")
+def path_languages(spark, d):
+    """Languages of files, and their paths without a folder in front."""
+    from lattica.functions import exprs as X
+
+    p = F.col("path")
+    inside = F.when(X.dir_of(p, "Parts") == "/", X.base_name(p)).otherwise(X.short_file(p))
+    return S.code(spark, d).store.files.select("path", X.lang_for_path(p).alias("lang"), inside.alias("below"))

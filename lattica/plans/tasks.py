@@ -32,6 +32,12 @@ def line_at(texts: DataFrame, path: str, line: int) -> DataFrame:
     return rows.where("line is not null")
 
 
+def preview(texts: DataFrame, path: str, line: int, around: int = 6) -> DataFrame:
+    """(path, line, txt): the lines of a file from `around` above a line to as many below it."""
+    rows = texts.where(F.col("path") == path).select("path", F.posexplode(F.split("text", "\r?\n")).alias("line", "txt"))
+    return rows.where(F.col("line").between(line - around, line + around))
+
+
 def word_at(line: Column, col: int) -> Column:
     """The identifier that a column is in or right behind."""
     head = F.regexp_extract(F.substring(line, 1, col), r"([A-Za-z0-9_]*)$", 1)

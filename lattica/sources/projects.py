@@ -24,8 +24,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(spark: SparkSession, sf_dir: str, inputs: tuple[str, ...], name: str, make: Callable[[], DataFrame], *by: str) -> DataFrame:
-    """make() as Parquet in the shared folder, in ranges of the columns `by`; written when first asked for, and anew when an input was."""
+def kept(spark: SparkSession, sf_dir: str, inputs: tuple[str, ...], name: str, make: Callable[[], DataFrame], *by: str, spread: bool = True) -> DataFrame:
+    """make() as Parquet in the shared folder, in ranges of the columns `by`; written when first asked for, and anew when an input was.
+    spread=False: rows stay in the partitions that they come in, sorted in each, without a shuffle."""
     mark = hashlib.sha256(f"{spark.sparkContext.applicationId} {sf_dir}".encode())
     for t in inputs:
         fs, path = hadoop_path(spark, f"{sf_dir}/{t}.parquet")
@@ -35,7 +36,8 @@ def kept(spark: SparkSession, sf_dir: str, inputs: tuple[str, ...], name: str, m
     fs, done = hadoop_path(spark, f"{place}/_SUCCESS")
     if not fs.exists(done):
         df = make()
-        (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(place)
+        df = df.repartitionByRange(*by) if by and spread else df
+        (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
 
 
@@ -43,7 +45,13 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, path, line, txt): lines of documents, numbered from 0."""
     d = read(spark, sf_dir, "documents")
     path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return d.select(F.col("doc_id").alias("file_id"), path.alias("path"), "source", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
+    return d.select(F.col("doc_id").alias("file_id"), path.alias("path"), "source", F.posexplode(F.split("text", "\r?\n")).alias("line", "txt"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, lang, text) of documents."""
+    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return read(spark, sf_dir, "documents").select(path.alias("path"), "lang", "text")
 
 
 def line_id(file_id, line):
@@ -63,8 +71,8 @@ def text_store(spark: SparkSession, sf_dir: str) -> Store:
     symbols = t.select(i.alias("id"), "file_id", "path", name.alias("name"), F.concat("source", F.lit("::"), name).alias("qualname"), kind.alias("kind"), "line", F.lit(0).alias("col"), (F.col("line") + F.pmod(F.length("txt"), F.lit(4))).alias("end_line"), X.collapse(F.col("txt"), 40).alias("signature"))
     refs = t.select("file_id", "path", "line", i.alias("from_symbol"), F.posexplode("names").alias("col", "name")).withColumns({"kind": F.when(F.col("col") == 0, "call").otherwise("ref"), "seq": F.col("col")})
     includes = d.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.concat((F.col("doc_id") + 20).cast("string"), F.lit(".txt"))).alias("path"), F.lit(0).alias("line"), F.lit(False).alias("is_system"))
-    own = lambda n, df, *by: kept(spark, sf_dir, ("documents",), f"text-{n}", lambda: df, *by)
-    by_file = own("refs_by_file", refs, "path", "line", "col")
+    own = lambda n, df, *by, spread=True: kept(spark, sf_dir, ("documents",), f"text-{n}", lambda: df, *by, spread=spread)
+    by_file = own("refs_by_file", refs, "path", "line", "col", spread=False)
     return Store(own("files", files, "path"), own("symbols", symbols, "name", "path", "line"), own("refs", by_file, "name", "path", "line"), None, own("includes", includes), by_file)
 
 
