@@ -33,6 +33,16 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run):
+    """A function of batches that gives memory back when it is through, so that the worker holds little until its next task."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
     h = (h ^ (h >> U(30))) * _MIX1

@@ -226,7 +226,7 @@ def word_counts(docs: DataFrame, longest: int = FOLD_BYTES) -> DataFrame:
         total = np.bincount(back, n, len(h)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([raw[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string()), pa.array(total)], ["word", "n"])
 
-    return _text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _text(docs).select("text").mapInArrow(A.tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -294,7 +294,7 @@ def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> WordTa
                 ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), A.binary_array(flat, ends * 2)], ["word", "ids"])
 
-        got = folded.mapInArrow(run, "word binary, ids binary").toArrow()
+        got = folded.mapInArrow(A.tidy(run), "word binary, ids binary").toArrow()
         new = got["word"].combine_chunks()
         if ranks.whole:
             got = got.filter(pc.invert(pc.is_in(new, pa.array(ranks.whole, pa.binary()))))
@@ -371,7 +371,7 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tup
                 out.append(ids.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    rows = _text(docs).mapInArrow(known, "doc_id long, ids binary, tail array<string>, long array<binary>")
+    rows = _text(docs).mapInArrow(A.tidy(known), "doc_id long, ids binary, tail array<string>, long array<binary>")
     rows = rows.select("doc_id", "ids", F.transform("tail", ranks.fold).alias("tail"), "long")
     return rows.mapInArrow(lambda batches: then(filled(batches), vocabulary.value), schema), [shared, vocabulary]
 
@@ -379,7 +379,7 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tup
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     """Adds `bytes` to (doc_id, ids): the pieces of the ids, one after another. Null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks.ranks)
-    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, shared.value), "doc_id long, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(A.tidy(lambda batches: _decoded(batches, shared.value)), "doc_id long, ids binary, bytes binary")
 
 
 def _joined(places: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:

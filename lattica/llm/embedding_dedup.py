@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm import arrays as A
 from lattica.llm.components import components
 from lattica.llm.tables import drop, keep
 
@@ -92,7 +93,7 @@ def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(4)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(k.ravel()))], ["rep", "grp", "v", "copies", "keys"])
 
     # keys are computed once and go along with the vectors: a product of another shape may round a sign the other way
-    found = keep(classes.select("rep", "grp", "v", "copies").mapInArrow(keys, "rep long, grp long, v array<double>, copies long, keys array<long>"), "keys")
+    found = keep(classes.select("rep", "grp", "v", "copies").mapInArrow(A.tidy(keys), "rep long, grp long, v array<double>, copies long, keys array<long>"), "keys")
     at = found.select("rep", "grp", F.posexplode("keys").alias("no", "key"))
     w = Window.partitionBy("no", "grp", "key")
     met = at.withColumns({"all": F.count("*").over(w), "row": F.row_number().over(w.orderBy("rep"))}).where("all > 1")
@@ -118,7 +119,7 @@ def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD) ->
                 held.append([c[m][k] for m in range(1, 7)])
         yield from _tile(held, threshold)
 
-    part = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "rep long, links long, root long")
+    part = full.repartition("tile").sortWithinPartitions("tile").mapInArrow(A.tidy(compare), "rep long, links long, root long")
     part = keep(part, "links")
     label = components(part.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = part.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -260,8 +260,8 @@ def fit_round(rows: DataFrame, model: Recurrent, words: Vocabulary, tasks: int)
         if now is not None:
             yield pa.RecordBatch.from_pydict({"no": [now], "part": [(total / weight).astype(np.float32).tobytes()]})
 
-    copies = rows.select("text").coalesce(tasks).mapInArrow(fit, "no long, weight double, part binary")
-    got = copies.repartition("no").sortWithinPartitions("no").mapInArrow(mean, "no long, part binary").toArrow().sort_by("no")
+    copies = rows.select("text").coalesce(tasks).mapInArrow(A.tidy(fit), "no long, weight double, part binary")
+    got = copies.repartition("no").sortWithinPartitions("no").mapInArrow(A.tidy(mean), "no long, part binary").toArrow().sort_by("no")
     shared.destroy()
     if got.num_rows:
         model.put(np.frombuffer(b"".join(got["part"].to_pylist()), np.float32))
@@ -284,7 +284,7 @@ def language_model_scores(docs: DataFrame, factor: float = WORDS_FACTOR, rounds:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     known = text.where("not held_out")
-    counts = keep(known.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    counts = keep(known.select("text").mapInArrow(A.tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
     ends = known.count()
     totals = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_all, v_all = totals[1] + ends, totals[0] + (ends > 0)
@@ -342,7 +342,7 @@ def language_model_scores(docs: DataFrame, factor: float = WORDS_FACTOR, rounds:
         return (batch.column(0), batch.column(2)), ids, rows, rare
 
     release(docs.sparkSession)
-    own = text.select("doc_id", "text", "held_out").mapInArrow(score, "doc_id long, held_out boolean, n long, known long, base double, lm double, tail long, hs array<long>, ks array<int>")
+    own = text.select("doc_id", "text", "held_out").mapInArrow(A.tidy(score), "doc_id long, held_out boolean, n long, known long, base double, lm double, tail long, hs array<long>, ks array<int>")
     own = keep(own.withColumn("row", F.monotonically_increasing_id()), "scores")  # the ids of rows are fixed once they are written
     shared.destroy()
     tail = own.select("row", F.explode(F.arrays_zip("hs", "ks")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.ks").alias("k")).join(counts, "h", "left")

@@ -162,4 +162,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, perce
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], ["doc_id", "license", "start", "stop", "containment"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(run, "doc_id long, license string, start long, stop long, containment double")
+    return text.mapInArrow(A.tidy(run), "doc_id long, license string, start long, stop long, containment double")

@@ -55,7 +55,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, per_band:
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(_sum(A.mix(h), o)), pa.array(_sum(A.mix(h * A.U(0x9FB21C651E98DF25)), o)), A.list_array(keys[n > 0].ravel(), ends, pa.int64()), A.binary_array(hashed.astype(np.uint8), np.arange(b - a + 1) * hashed.shape[1])], ["doc_id", "n", "set_a", "set_b", "keys", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(A.tidy(run), "doc_id long, n long, set_a long, set_b long, keys array<long>, signature binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -67,7 +67,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), A.binary_array(h, o * 8)], ["doc_id", "hashes"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_rows_of(text, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")
+    return with_rows_of(text, ids, "doc_id").select("doc_id", "text").mapInArrow(A.tidy(run), "doc_id long, hashes binary")
 
 
 def _by_tile(batches, columns: int, tile_of) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def thinned(tiles: DataFrame, signatures: DataFrame, percent: int = PERCENT, agr
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x, s in zip(held, stay, strict=True) if s], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["tile", "doc_id", "side", "comp"])
 
     rows = with_rows_of(signatures, tiles, "doc_id").select("tile", "doc_id", "side", "comp", "n", "signature")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _by_tile(b, 6, tile_of), "tile long, doc_id long, side int, comp long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(A.tidy(lambda b: _by_tile(b, 6, tile_of)), "tile long, doc_id long, side int, comp long")
 
 
 def links(tiles: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -115,7 +115,7 @@ def links(tiles: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     side 2 with all. Tiles hold at most a few hundred rows. Rows of equal comp are not compared, and two values of comp get one edge a tile.
     """
     rows = with_rows_of(sets, tiles, "doc_id").select("tile", "doc_id", "side", "comp", "hashes")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _by_tile(b, 5, lambda held: _tile(held, percent)), "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(A.tidy(lambda b: _by_tile(b, 5, lambda held: _tile(held, percent))), "a long, b long")
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:

@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, width: int = WIDTH, banded_only: bool = False) -> Da
                     ["doc_id", "text_key", "no", "start", "stop", "words", "fp", "prev", "gap", "subs"],
                 )
 
-    return _texts(docs).mapInArrow(run, "fp long, keys array<long>" if banded_only else "doc_id long, text_key long, no int, start long, stop long, words int, fp long, prev int, gap long, subs array<long>")
+    return _texts(docs).mapInArrow(A.tidy(run), "fp long, keys array<long>" if banded_only else "doc_id long, text_key long, no int, start long, stop long, words int, fp long, prev int, gap long, subs array<long>")
 
 
 def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
             h, o = A.distinct_sets(*A.shingles(w.hashes(), w.row, w.count, width), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), A.binary_array(h, o * 8)], ["doc_id", "hashes"])
 
-    return with_rows_of(_texts(docs), places, ["doc_id", "text_key"]).select("fp", "start", "stop", "text").mapInArrow(run, "doc_id long, hashes binary")
+    return with_rows_of(_texts(docs), places, ["doc_id", "text_key"]).select("fp", "start", "stop", "text").mapInArrow(A.tidy(run), "doc_id long, hashes binary")
 
 
 def _left(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +260,7 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
                 v, n = np.unique(g[g == most], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], ["v", "n"])
 
-    hot = keep(text.select("text").mapInArrow(anchors, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "anchors")
+    hot = keep(text.select("text").mapInArrow(A.tidy(anchors), "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "anchors")
     table = _bitmap(hot)
     drop(hot)
     release(docs.sparkSession)
@@ -288,10 +288,10 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
                 cols = [pa.array(cid), ids, batch.column(2).take(pa.array(row + a)), pos, pa.array(w.start[first] - base), *ends]
                 yield pa.RecordBatch.from_arrays(cols, ["cid", "doc_id", "text_key", "pos", "base", "starts", "stops"])
 
-    same = text.mapInArrow(lambda b: places(b, True), "v long, cid long, doc_id long, pos long, windows binary")
-    found = text.mapInArrow(lambda b: places(b, False), "cid long, doc_id long, text_key long, pos long, base long, starts array<int>, stops array<int>")
+    same = text.mapInArrow(A.tidy(lambda b: places(b, True)), "v long, cid long, doc_id long, pos long, windows binary")
+    found = text.mapInArrow(A.tidy(lambda b: places(b, False)), "cid long, doc_id long, text_key long, pos long, base long, starts array<int>, stops array<int>")
 
-    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(_first_places, "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
+    parts = keep(same.repartition("v").sortWithinPartitions("v").mapInArrow(A.tidy(_first_places), "cid long, o long, n long, first_doc long, first_pos long"), "firsts")
     release(docs.sparkSession)
     met = with_rows_of(found, parts, "cid")
     place = F.col("pos") + F.col("o")
@@ -399,4 +399,4 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     size = cuts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(tag)), F.lit(0)).alias("spans")).first()
     small = 24 * (size.rows + size.spans) <= BROADCAST_BYTES
     keyed = docs.withColumns({tag + "i": F.col("doc_id").cast("long"), tag + "k": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(F.broadcast(cuts) if small else cuts, [tag + "i", tag + "k"], "left").select(*columns, tag).mapInArrow(run, docs.schema)
+    return keyed.join(F.broadcast(cuts) if small else cuts, [tag + "i", tag + "k"], "left").select(*columns, tag).mapInArrow(A.tidy(run), docs.schema)

@@ -130,7 +130,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Quality | None:
                 x = np.hstack([content, meta]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), A.binary_array(x, np.arange(b - a + 1) * x.shape[1] * 4)], ["doc_id", "x"])
 
-    rows_kept = rows = keep(_plain(docs).mapInArrow(run, "doc_id long, x binary"), "features")
+    rows_kept = rows = keep(_plain(docs).mapInArrow(A.tidy(run), "doc_id long, x binary"), "features")
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(known) if few else known, "doc_id", "left")
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.xxhash64("x")]
@@ -162,7 +162,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Quality | None:
 
         most = {2 * v + label: int(PER_ROUND * (share if label else 1 - share)) + 1 for v in (0, 1) for label in (0, 1)}
         top = Window.partitionBy("slot").orderBy(F.desc("sure"), "doc_id", F.xxhash64("x"))
-        best = pool.mapInArrow(sure, "slot int, sure double, doc_id long, x binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(most.values()))
+        best = pool.mapInArrow(A.tidy(sure), "slot int, sure double, doc_id long, x binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(most.values()))
         got = best.toArrow().sort_by([("slot", "ascending"), ("r", "ascending")])
         slot, ids, place = (got[c].to_numpy() for c in ("slot", "doc_id", "r"))
         own = place <= np.array([most[int(s)] for s in slot], np.int64) if len(slot) else place > 0
@@ -197,7 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
     schema = "doc_id long, content_score double, metadata_score double, score double, accepted boolean"
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(None).cast("double").alias(c) for c in ("content_score", "metadata_score", "score")), F.lit(True).alias("accepted"))
-    return _plain(docs).mapInArrow(run, schema)
+    return _plain(docs).mapInArrow(A.tidy(run), schema)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -212,4 +212,4 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEP
             for a, b, content, meta in _batches(batch):
                 yield batch.slice(a, b - a).filter(pa.array(model.score(content, meta)[2] >= accept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.tidy(run), docs.schema)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm import arrays as A
 from lattica.llm.learn import Logistic, lowest, sigmoid
 
 #: Bounds of the sample that the lexicon and the weights are fitted on.
@@ -169,7 +170,7 @@ def _phrases(rows: DataFrame, lexicon: Lexicon) -> list[str]:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in total]), pa.array([v if k[0] else 0 for k, v in total.items()], pa.int64()), pa.array([0 if k[0] else v for k, v in total.items()], pa.int64())], ["phrase", "bad", "good"])
 
-    got = rows.select("y", "text").mapInArrow(run, "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    got = rows.select("y", "text").mapInArrow(A.tidy(run), "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     return [r.phrase for r in got.where("bad = 0 and good >= 3").orderBy(F.desc("good"), "phrase").limit(TERMS).collect()]
 
 

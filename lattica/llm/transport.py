@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm import arrays as A
+
 # Fixed values of the format.
 PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
 PAT_TABLE, PMT_TABLE = 0x00, 0x02
@@ -228,7 +230,7 @@ def transport_streams(docs: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(A.tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 UNITS = "array<struct<pts: bigint, dts: bigint, clock: bigint, random_access: boolean, size: int>>"
@@ -250,7 +252,7 @@ def read_streams(media: DataFrame) -> DataFrame:
             facts = pa.array([{"packets": s.packets, "program": s.program, "pid": (s.streams or [(None, None)])[0][0], "stream_type": (s.streams or [(None, None)])[0][1], "continuity_errors": s.continuity_errors, "sync_errors": s.sync_errors, "crc_errors": s.crc_errors} for s in got], pa.struct(kinds))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.payload for s in got], pa.binary()), units, facts], [*batch.schema.names, "payload", "units", "found"])
 
-    return media.select(*names, "media").mapInArrow(run, schema)
+    return media.select(*names, "media").mapInArrow(A.tidy(run), schema)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -274,4 +276,4 @@ def media_features(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([c["doc_id"], c["n_bytes"], *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(A.tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
