@@ -27,7 +27,7 @@ from lattica.llm.tables import drop, keep, release, small_batches
 
 #: Most words of the table that executors get, about 20 bytes each; and most bytes of a word that is folded.
 TABLE_WORDS, FOLD_BYTES = 2_000_000, 96
-BUCKETS = 16_381
+BUCKETS = 65_521
 BATCH_BYTES = 2 << 20
 # What may follow an apostrophe as a word of its own.
 SHORT_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")

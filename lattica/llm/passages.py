@@ -29,6 +29,8 @@ RUN_WORDS, BANDED = 25, 8
 #: A pair at Jaccard 0.8 misses all bands with probability (1 - 0.8^3)^10 = 8e-4, one at 0.9 with 2e-6.
 BANDS, PER_BAND, SEED = 10, 3, 41
 BLOCK = 256
+#: Parts that the stretches with one first place are dealt into.
+PARTS = 16
 #: Words of the windows that are compared exactly, and of the windows that their anchors are chosen from.
 EXACT_WORDS, ANCHOR_WORDS = 50, 16
 #: Sets of so many shingles at 0.8 and more to a smaller one hold all of it and one shingle besides; they are found by equal keys.
@@ -308,7 +310,11 @@ def exact_passages(docs: DataFrame, width: int = EXACT_WORDS, part: int = ANCHOR
     name = F.last(F.when(F.col("kept"), F.xxhash64("first_doc", "first_pos", F.lit(width))), True)
     spots = spots.withColumn("class_id", name.over(Window.partitionBy("first_doc").orderBy("first_pos").rowsBetween(Window.unboundedPreceding, 0)))
     spots = keep(spots.withColumn("copies", F.sum("rows").over(Window.partitionBy("first_doc", "class_id"))).select("first_doc", "first_pos", "class_id", "copies"), "spots")
-    out = with_rows_of(runs, spots, ["first_doc", "first_pos"])
+    # each stretch takes them over from its first place; that of very many is there once a part of them
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    both = runs.withColumn("part", part).unionByName(spots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), True)
+    at = Window.partitionBy("first_doc", "first_pos", "part")
+    out = both.withColumns({"class_id": F.max("class_id").over(at), "copies": F.max("copies").over(at)}).where("doc_id is not null")
     out = keep(out.select("doc_id", "text_key", "start", "stop", (F.col("n") + width - 1).cast("int").alias("words"), "class_id", "first_doc", "copies", "kept"), "exact")
     for table in (parts, runs, spots):
         drop(table)

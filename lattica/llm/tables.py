@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch of texts for Python workers.
 BATCH_ROWS = 2_000
+#: Characters of a plan's text that the driver keeps.
+PLAN_LENGTH = 20_000
 #: Rows of ids, and bytes of longer rows, that a broadcast may carry; a larger side is joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -27,7 +29,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts go to Python workers in batches of so many rows at most: a batch is held several times over on its way."""
+    """Whole texts go to Python workers in batches of so many rows at most: a batch is held several times over on its way. And texts of
+    plans, which the driver keeps for each job, are cut: with large literals they are megabytes."""
+    plan = "spark.sql.maxPlanStringLength"
+    if int("".join(filter(str.isdigit, spark.conf.get(plan)))) > PLAN_LENGTH:
+        spark.conf.set(plan, str(PLAN_LENGTH))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
