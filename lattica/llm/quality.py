@@ -20,7 +20,8 @@ from lattica.llm.tables import BROADCAST_ROWS, drop, keep, small_batches
 
 #: Bound of the sample of labelled rows that the classifiers are fitted on.
 LABELLED_ROWS = 6_000
-ROUNDS, PER_ROUND, SURE, SEED = 4, 400, 0.97, 17
+#: Rounds, pseudo-labels of a view in each, the logit from which on one is sure (a probability of 0.97), steps a unit of it.
+ROUNDS, PER_ROUND, SURE, STEPS, SEED = 4, 400, 3.476, 256, 17
 BIGRAMS, SOURCES, LANGS = 128, 16, 8
 #: A document is accepted from this probability of good quality on.
 ACCEPT = 0.4
@@ -147,7 +148,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Quality | None:
         nonlocal used
         taken = used
 
-        def sure(batches):
+        def surer(batches, least: dict | None):
+            """How sure the views are of pool rows, by slot: counts by STEPS of the logit, or with least the rows from a step on."""
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -155,14 +157,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Quality | None:
                 z, ids = raw.view(np.float32).reshape(batch.num_rows, -1).astype(float), batch.column(0).to_numpy()
                 free = ~np.isin(ids, taken)
                 for v, part in enumerate((z[:, :cut], z[:, cut:])):
-                    p = sigmoid(models[v].logit(part))
-                    for label, how in ((1, p), (0, 1 - p)):
-                        k = np.flatnonzero(free & (how >= SURE))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), 2 * v + label, np.int32)), pa.array(how[k]), batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k))], ["slot", "sure", "doc_id", "x"])
+                    at = models[v].logit(part)
+                    for label, how in ((1, at), (0, -at)):
+                        step = np.floor(how * STEPS).astype(np.int64)
+                        k = np.flatnonzero(free & (how >= SURE) & (step >= (least or {}).get(2 * v + label, 0)))
+                        if least is None:
+                            found, n = np.unique(step[k], return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), 2 * v + label, np.int32)), pa.array(found), pa.array(n)], ["slot", "step", "n"])
+                        elif 2 * v + label in least:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), 2 * v + label, np.int32)), pa.array(how[k]), batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k))], ["slot", "sure", "doc_id", "x"])
 
         most = {2 * v + label: int(PER_ROUND * (share if label else 1 - share)) + 1 for v in (0, 1) for label in (0, 1)}
+        # the step from which on there are enough rows, so that few go to one task
+        steps = pool.mapInArrow(A.tidy(lambda b: surer(b, None)), "slot int, step long, n long").groupBy("slot", "step").agg(F.sum("n").alias("n")).collect()
+        least: dict[int, int] = {}
+        for s in most:
+            held = 0
+            for r in sorted((r for r in steps if r["slot"] == s), key=lambda r: -r["step"]):
+                held += r.n
+                least[s] = r["step"]
+                if held >= most[s]:
+                    break
         top = Window.partitionBy("slot").orderBy(F.desc("sure"), "doc_id", F.xxhash64("x"))
-        best = pool.mapInArrow(A.tidy(sure), "slot int, sure double, doc_id long, x binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(most.values()))
+        best = pool.mapInArrow(A.tidy(lambda b: surer(b, least)), "slot int, sure double, doc_id long, x binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(most.values()))
         got = best.toArrow().sort_by([("slot", "ascending"), ("r", "ascending")])
         slot, ids, place = (got[c].to_numpy() for c in ("slot", "doc_id", "r"))
         own = place <= np.array([most[int(s)] for s in slot], np.int64) if len(slot) else place > 0
