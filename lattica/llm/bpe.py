@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ from lattica.llm.tables import drop, keep, release, small_batches
 
 #: Most words of the table that executors get, about 20 bytes each; and most bytes of a word that is folded.
 TABLE_WORDS, FOLD_BYTES = 2_000_000, 96
+#: Words of a part of the table. Tasks make the parts; the driver only puts them in line.
+PART_WORDS = 1 << 16
 BUCKETS = 65_521
 BATCH_BYTES = 2 << 20
 # What may follow an apostrophe as a word of its own.
@@ -254,6 +255,25 @@ class WordTable:
         flat, off = A.string_bytes(ids.take(pa.array(order)).cast(pa.large_binary()))
         return cls(h, size, np.cumsum(long, dtype=np.int64) - long, data, (off // 2).astype(np.int32 if off[-1] < 1 << 31 else np.int64), flat.view(np.uint16).copy())
 
+    @classmethod
+    def joined(cls, parts: list) -> WordTable:
+        """One table from rows of packed_words(). Rows leave the list, and each column its rows, as soon as they are copied, so that
+        little more than the table is held."""
+        parts.sort(key=lambda x: x.first)
+        columns = {c: [x[c] for x in parts] for c in ("hashes", "sizes", "data", "widths", "ids")}
+        parts.clear()
+
+        def flat(c: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in columns.pop(c))])
+
+        size, data = flat("sizes", np.int32), np.concatenate([flat("data", np.uint8), np.zeros(8, np.uint8)])
+        at = np.cumsum(np.where(size > 8, size, 0), dtype=np.int64)
+        at[1:], at[:1] = at[:-1], 0
+        widths = flat("widths", np.int32)
+        off = np.zeros(len(widths) + 1, np.int32 if widths.sum(dtype=np.int64) < 1 << 31 else np.int64)
+        np.cumsum(widths, out=off[1:])
+        return cls(flat("hashes", np.uint64), size, at, data, off, flat("ids", np.uint16))
+
     def find(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the table, whether the word is there) of each span of raw. Hashes of words of up to eight bytes tell them apart
         among those of equal size; the bytes of longer ones are compared."""
@@ -273,7 +293,39 @@ class WordTable:
         return k, hit
 
 
-def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> WordTable:
+def packed_words(words: DataFrame, most: int = PART_WORDS) -> DataFrame:
+    """Parts of about `most` rows of words (word binary, ids binary of two bytes each), by hash: their least hash, and columns of a
+    WordTable as bytes. Hashes of two parts do not overlap, but for equal ones at their ends."""
+
+    def hashed(batches):
+        for batch in batches:
+            raw, off = A.string_bytes(batch.column(0))
+            h = A.span_hashes(raw, off[:-1], off[1:]) ^ A.U(1 << 63)  # signed numbers in the order of the hashes
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *batch.columns], ["first", "word", "ids"])
+
+    def packed(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield part(held)
+                held, rows = [], 0
+        if rows:
+            yield part(held)
+
+    def part(held):
+        rows = pa.Table.from_batches(held)
+        t = WordTable.of(pa.concat_arrays(rows["word"].chunks), pa.concat_arrays(rows["ids"].chunks))
+        columns = [t.hashes, t.sizes, t.data[:-8], np.diff(t.off).astype(np.int32), t.ids]
+        first = next(b for b in held if b.num_rows).column(0).slice(0, 1)
+        return pa.RecordBatch.from_arrays([first, *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["first", "hashes", "sizes", "data", "widths", "ids"])
+
+    rows = words.mapInArrow(A.tidy(hashed), "first long, word binary, ids binary").repartitionByRange("first").sortWithinPartitions("first")
+    return rows.mapInArrow(A.tidy(packed), "first long, hashes binary, sizes binary, data binary, widths binary, ids binary")
+
+
+def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS, part: int = PART_WORDS) -> WordTable:
     """The table of at most `most` frequent words, with ids from folds over distinct words; besides, of what merges do not lead to."""
     counts = keep(word_counts(docs), "words")
     steps = counts.where("n > 1").groupBy(F.expr("cast(log2(n) * 8 as int)").alias("size")).agg(F.count("*").alias("k")).orderBy(F.desc("size")).collect()
@@ -283,26 +335,30 @@ def word_table(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> WordTa
         if held > most:
             break
         least = r["size"]
-    words, ids = [pa.array(ranks.whole, pa.binary())], [pa.array([np.uint16(ranks.ranks[w]).tobytes() for w in ranks.whole], pa.binary())]
-    if least is not None:
-        chosen = counts.where(F.expr(f"n > 1 and cast(log2(n) * 8 as int) >= {least}")).select("word").repartition(F.col("word"))
-        folded = keep(chosen.select("word", ranks.fold(F.col("word")).alias("ids")), "folded")
-
-        def run(batches):
-            for batch in batches:
-                flat = batch.column(1).flatten().to_numpy().astype(np.uint16)
-                ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), A.binary_array(flat, ends * 2)], ["word", "ids"])
-
-        got = folded.mapInArrow(A.tidy(run), "word binary, ids binary").toArrow()
-        new = got["word"].combine_chunks()
-        if ranks.whole:
-            got = got.filter(pc.invert(pc.is_in(new, pa.array(ranks.whole, pa.binary()))))
-        words.append(got["word"].combine_chunks())
-        ids.append(got["ids"].combine_chunks())
-        drop(folded)
-    drop(counts)
-    return WordTable.of(pa.concat_arrays(words), pa.concat_arrays(ids))
+    whole = {w: np.uint16(ranks.ranks[w]).tobytes() for w in ranks.whole}
+    if least is None:
+        drop(counts)
+        return WordTable.of(pa.array(whole.keys(), pa.binary()), pa.array(whole.values(), pa.binary()))
+    chosen = counts.where(F.expr(f"n > 1 and cast(log2(n) * 8 as int) >= {least}")).select("word").repartition(F.col("word"))
+    folded = keep(chosen.select("word", ranks.fold(F.col("word")).alias("ids")), "folded")
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy().astype(np.uint16)
+            ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))])
+            rows = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), A.binary_array(flat, ends * 2)], ["word", "ids"])
+            yield rows.filter(pa.array([w not in whole for w in rows.column(0).to_pylist()], pa.bool_())) if whole else rows
+
+    words = folded.mapInArrow(A.tidy(run), "word binary, ids binary")
+    if whole:
+        words = words.unionByName(docs.sparkSession.createDataFrame([*whole.items()], words.schema))
+    parts = keep(packed_words(words, part), "parts")
+    for table in (folded, counts):
+        drop(table)
+    release(docs.sparkSession)  # what planning took of the driver's memory is free before the parts come
+    out = WordTable.joined([*parts.toLocalIterator()])
+    drop(parts)
+    return out
 
 
 def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:

@@ -299,6 +299,41 @@ def test_word_table_compares_bytes():
     assert table.find(np.frombuffer(raw, np.uint8), ends[:-1], ends[1:])[1].tolist() == [True, True, False, False]
 
 
+def test_word_table_comes_to_the_driver_in_parts(spark, ranks, tmp_path):
+    """What the driver's Python holds at most, against the table: it was 5 times as much when all words came at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{k * 7919 % 1_000_003}{'abcdefghij' * (k % 2)}" for k in range(150_000)]
+    spark.createDataFrame([(k, " ".join(words[k : k + 3000])) for _ in range(2) for k in range(0, len(words), 3000)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        table = bpe.word_table(spark.read.parquet(f"{tmp_path}/docs"), ranks)
+        peak = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+    assert len(table.hashes) >= len(words) and (table.hashes[1:] > table.hashes[:-1]).all()
+    assert peak < 2.5 * sum(x.nbytes for x in (table.hashes, table.sizes, table.at, table.data, table.off, table.ids))
+
+
+def test_parts_of_a_word_table_make_the_whole(spark):
+    import pyarrow as pa
+
+    words = [f"{'long' * (k % 7)}{k}".encode() for k in range(3000)]
+    ids = [np.arange(k % 5, dtype=np.uint16).tobytes() for k in range(3000)]
+    whole = bpe.WordTable.of(pa.array(words, pa.binary()), pa.array(ids, pa.binary()))
+    rows = spark.createDataFrame([*zip(words, ids, strict=True)], "word binary, ids binary").repartition(3)
+    for most in (100, 1 << 16):
+        got = bpe.WordTable.joined(bpe.packed_words(rows, most).collect())
+        for c in ("hashes", "sizes", "at", "data", "off", "ids"):
+            assert np.array_equal(getattr(whole, c), getattr(got, c)) and getattr(whole, c).dtype == getattr(got, c).dtype
+    assert not len(bpe.WordTable.joined(bpe.packed_words(rows.limit(0)).collect()).hashes)
+
+
 def test_mixing(spark, docs):
     assert mixing.fill(10, [1, 1], [3, 100]) == [3, 7] and mixing.fill(10, [1, 1, 2], [100] * 3) == [3, 2, 5] and mixing.fill(9, [1], [4]) == [4]
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "1"): 100, ("b", "z", "1"): 1000}
