@@ -28,7 +28,10 @@ from lattica.llm.tables import drop, keep, release, small_batches
 TABLE_WORDS, FOLD_BYTES = 2_000_000, 96
 #: Words of a part of the table. Tasks make the parts; the driver only puts them in line.
 PART_WORDS = 1 << 16
-BUCKETS = 65_521
+#: Primes whose product is more than 2^32: a pair is known by what both leave of it.
+BUCKETS, SLOTS = 49_999, 90_007
+#: The id that stands for the ends of a word.
+END = (1 << 16) - 1
 BATCH_BYTES = 2 << 20
 # What may follow an apostrophe as a word of its own.
 SHORT_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -111,67 +114,77 @@ def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | No
     return parts[0], parts[1]
 
 
+def _slots(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(moves, slots) of a perfect hash: a pair's slot is the pair and its bucket's move, by remainder. A slot holds the bucket and, in
+    the lowest 16 bits, the rank; two pairs of a bucket that share a slot are equal."""
+    buckets: dict[int, list[int]] = {}
+    for pair in pairs:
+        buckets.setdefault(pair % BUCKETS, []).append(pair)
+    moves, slots = [0] * BUCKETS, [-1] * SLOTS
+    for bucket, held in sorted(buckets.items(), key=lambda x: -len(x[1])):
+        move = next((d for d in range(SLOTS) if all(slots[(p + d) % SLOTS] < 0 for p in held)), None)
+        if move is None:
+            raise ValueError("too many pairs")
+        moves[bucket] = move
+        for p in held:
+            slots[(p + move) % SLOTS] = bucket << 16 | pairs[p]
+    free = BUCKETS << 16  # no bucket
+    return moves, [free if x < 0 else x for x in slots]
+
+
 class Ranks:
     """Ranks in the forms that the parts need. `whole` has the tokens that merges do not lead to: only words equal to one give it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        if max(ranks.values()) >= 1 << 16:
-            raise ValueError("ids of more than 16 bits")
-        buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
-        self.whole = []
+        if max(ranks.values()) >= END:
+            raise ValueError("ids of more than 16 bits, or the one that stands for ends")
+        self.whole, pairs = [], {}
         for token, rank in ranks.items():
             if len(token) < 2:
                 continue
             if (parts := last_pair(token, ranks)) is None:
                 self.whole.append(token)
-                continue
-            pair = ranks[parts[0]] << 16 | ranks[parts[1]]
-            buckets[pair * 7919 % BUCKETS].append(pair << 16 | rank)
-        at, places = 0, []
-        for held in buckets:
-            places.append(at << 8 | len(held))
-            at += len(held)
-        self.pairs = json.dumps([x for held in buckets for x in held], separators=(",", ":"))
-        self.places = json.dumps(places, separators=(",", ":"))
-
-    def pair_rank(self, pair: Column) -> Column:
-        """The rank of two neighbours joined, or null; pair: both ids in one number. One literal has pairs and ranks by bucket, the
-        other where each bucket begins and how many it holds."""
-        pairs, places = F.from_json(F.lit(self.pairs), "array<bigint>"), F.from_json(F.lit(self.places), "array<int>")
-        place = F.array(F.get(places, F.pmod(pair * 7919, F.lit(BUCKETS)).cast("int")))
-        found = F.transform(place, lambda x: F.filter(F.slice(pairs, F.shiftright(x, 8) + 1, x.bitwiseAND(F.lit(255))), lambda y: F.shiftright(y, 16) == pair))
-        return F.get(F.get(found, F.lit(0)), F.lit(0)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+            else:
+                pairs[ranks[parts[0]] << 16 | ranks[parts[1]]] = rank
+        self.table = json.dumps([x for part in _slots(pairs) for x in part], separators=(",", ":"))
+
+    @staticmethod
+    def token(table: Column, pair: Column) -> Column:
+        """A number of the left one of two neighbours: above, the rank of both joined, or 2^16 at least if there is none; in the lowest
+        16 bits its id. pair: both ids in one number; table: how far each bucket is moved, then the slots."""
+        bucket = F.pmod(pair, F.lit(BUCKETS))
+        found = F.get(table, (F.pmod(pair + F.get(table, bucket.cast("int")), F.lit(SLOTS)) + BUCKETS).cast("int"))
+        return F.shiftleft(found.bitwiseXOR(F.shiftleft(bucket, 16)), 16).bitwiseOR(F.shiftright(pair, 16))
 
     def fold(self, word: Column) -> Column:
         """array<int> of ids: the lowest-ranked neighbours, leftmost first, are merged until none can be.
 
-        The fold carries the ids, the ranks of neighbours that are known (to the left and the right of the last merge) and the
-        pairs between them that are to be looked up: all at first, later two at most.
+        The fold carries one array of token(), between two that stand for the ends. The least of them is the next to be merged; the
+        two pairs that the merge makes are looked up. All look-ups share one literal.
         """
-        first = F.array(*map(F.lit, self.byte_ids))
-        octets = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(first, F.conv(F.hex(F.substring(word.cast("binary"), i, F.lit(1))), 16, 10).cast("int")))
+        first = F.from_json(F.lit(json.dumps(self.byte_ids)), "array<bigint>")
         let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-        pair = lambda a, b: F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long"))
-        ints, longs = F.array().cast("array<int>"), F.array().cast("array<bigint>")
-        state = lambda ids, left, pairs, right: F.struct(ids.alias("ids"), left.alias("left"), pairs.alias("pairs"), right.alias("right"))
-
-        def merged(ids: Column, ranks: Column, m: Column, p: Column) -> Column:
-            before = F.when(p > 1, F.array(pair(F.get(ids, p - 2), m))).otherwise(longs)
-            after = F.when(p + 1 < F.size(ids), F.array(pair(m, F.get(ids, p + 1)))).otherwise(longs)
-            new = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, F.size(ids)))
-            return state(new, F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), F.concat(before, after), F.slice(ranks, p + 2, F.size(ids)))
-
-        def step(s: Column, _: Column) -> Column:
-            ranks = F.concat(s["left"], F.transform(s["pairs"], self.pair_rank), s["right"])
-            found = lambda r, m: let(F.array_position(r, m).cast("int"), lambda p: merged(s["ids"], r, m, p))
-            return let(ranks, lambda r: let(F.array_min(r), lambda m: F.when(m.isNull(), state(s["ids"], r, longs, ints)).otherwise(found(r, m))))
-
-        pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: pair(F.get(x, i), F.get(x, i + 1)))
-        start = let(octets, lambda x: state(x, ints, pairs(x), ints))
-        long = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda s: s["ids"])
-        return F.when(F.octet_length(word) == 0, ints).when(F.octet_length(word) == 1, octets).otherwise(long)
+        pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
+        of = lambda t: t.bitwiseAND(F.lit(0xFFFF))
+        end = F.array(F.lit(END).cast("bigint"))
+        octets = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(first, F.ascii(c)))
+        pairs = let(F.concat(end, octets, end), lambda x: F.transform(x, lambda a, i: pair(a, F.coalesce(F.get(x, i + 1), F.lit(END)))))
+
+        def merged(table: Column, t: Column, m: Column, p: Column) -> Column:
+            new = F.shiftright(m, 16)
+            made = F.array(pair(of(F.get(t, p - 2)), new), pair(new, of(F.get(t, p + 1))))
+            return F.concat(F.slice(t, F.lit(1), p - 2), F.transform(made, lambda x: self.token(table, x)), F.slice(t, p + 2, F.size(t)))
+
+        def folded(table: Column) -> Column:
+            place = lambda t, m: let(F.array_position(t, m).cast("int"), lambda p: merged(table, t, m, p))
+            step = lambda t, _: let(F.array_min(t), lambda m: F.when(m < 1 << 32, place(t, m)).otherwise(t))
+            ids = lambda t: F.transform(F.slice(t, F.lit(2), F.size(t) - 2), lambda x: of(x).cast("int"))
+            return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), F.transform(pairs, lambda x: self.token(table, x)), step, ids)
+
+        table = F.from_json(F.lit(self.table), "array<bigint>")
+        return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(let(table, folded))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -285,6 +285,25 @@ def test_bpe_of_tokens_that_merges_do_not_lead_to(spark):
     assert got == {i: enc.encode_ordinary(t or "") for i, t in rows}
 
 
+def test_bpe_tells_pairs_apart_in_the_fold(spark, ranks):
+    """One literal has all pairs, at a place of its own each, and no other pair is taken for one of them: nothing is searched for."""
+    plan = spark.range(1).select(ranks.fold(F.lit("word").substr(F.lit(1), F.col("id") + 4)).alias("ids"))
+    assert plan.collect()[0].ids == bpe.merge_long(b"word", ranks.ranks)
+    assert len([v for v in vars(ranks).values() if isinstance(v, str)]) == 1 and len(ranks.table) < 1_100_000  # two of 1,244,295 before
+    own = {tuple(ranks.ranks[x] for x in p): r for t, r in ranks.ranks.items() if len(t) > 1 and (p := bpe.last_pair(t, ranks.ranks))}
+    moves, slots = bpe._slots({a << 16 | b: r for (a, b), r in own.items()})
+    rng = np.random.default_rng(3)
+    near = {(a + int(rng.integers(-1, 2)) & 0xFFFF, b + int(rng.integers(-1, 2)) & 0xFFFF) for a, b in own}
+    edges = {(0, 0), (bpe.END, bpe.END), (0, bpe.END), (bpe.END, 0)}
+    far = {tuple(x) for x in rng.integers(0, 1 << 16, (100_000, 2)).tolist()}
+    for a, b in own.keys() | near | far | edges:
+        q = a << 16 | b
+        found = slots[(q + moves[q % bpe.BUCKETS]) % bpe.SLOTS] ^ q % bpe.BUCKETS << 16
+        assert found == own[a, b] if (a, b) in own else found >= 1 << 16
+    with pytest.raises(ValueError, match="too many pairs"):
+        bpe._slots({k: 1 for k in range(bpe.SLOTS + 1)})
+
+
 def test_word_table_compares_bytes():
     words = [b"word", b"a longer word", b"another longer word, 26 bytes"]
     import pyarrow as pa
