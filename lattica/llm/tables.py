@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.arrays import give_back
+
 #: Rows of a batch of texts for Python workers.
 BATCH_ROWS = 2_000
 #: Characters of a plan's text that the driver keeps.
@@ -62,6 +64,8 @@ def with_rows_of(big: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFra
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more; else they stay until a collection happens."""
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; else they stay until a collection happens. The
+    driver's Python gives back what it does not need."""
     gc.collect()
+    give_back()
     spark._jvm.System.gc()

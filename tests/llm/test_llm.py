@@ -567,3 +567,19 @@ def test_quality(spark):
     assert min(s for s, good in left if good) > max(s for s, good in left if not good)  # rows that no label told of
     none = quality.quality_scores(docs, labels_of(spark, [], "quality"))
     assert none.where("accepted").count() == len(rows) and not quality.quality_scores(empty(spark), lab).count()
+
+
+def test_release_gives_back_the_memory_of_the_drivers_python(spark):
+    import psutil
+
+    from lattica.llm.tables import release
+
+    release(spark)
+    held = [bytearray(60_000) for _ in range(3000)]
+    for x in held:
+        x[::1000] = b"x" * 60
+    last = held[-1]  # so that the C library does not give the rest back by itself
+    del held, x
+    before = psutil.Process().memory_info().rss
+    release(spark)
+    assert before - psutil.Process().memory_info().rss > 100 << 20 and len(last) == 60_000
