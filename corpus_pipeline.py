@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, mixing, ngram_join, passages, quality
 from lattica.llm.queries import ranks, table
-from lattica.llm.tables import BROADCAST_ROWS, folder
+from lattica.llm.tables import BROADCAST_ROWS, folder, release_executors
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, ranks())
 
 
-STAGES = [("quality", quality_filter), ("near_copies", near_copies), ("passages", repeated_passages), ("mixing", mixed_sources), ("tokens", tokens)]
+def released(stage: Callable) -> Callable:
+    """stage, before which executors give back what the one before it left."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [("quality", released(quality_filter)), ("near_copies", released(near_copies)), ("passages", released(repeated_passages)), ("mixing", released(mixed_sources)), ("tokens", released(tokens))]
 #: Several stages cannot be put in SQL.
 ORACLE_SQL = None
 

@@ -378,11 +378,12 @@ def encode(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 16-bit integers, of each row of docs (doc_id, text). Null texts count as
     empty and give no ids. Rows stay as many as they are; other columns are ignored.
     """
-    return _encoded(docs, ranks, most, lambda batches, _: batches, "doc_id long, ids binary")[0]
+    return _encoded(docs, ranks, most, lambda batches: batches, "doc_id long, ids binary")[0]
 
 
 def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tuple[DataFrame, list]:
-    """Rows of encode() that then(batches, ranks) makes batches of `schema` from, in the same Python worker; and the broadcasts."""
+    """Rows of encode() that then(batches) makes batches of `schema` from, in the same Python worker; and the broadcasts. Workers load
+    the vocabulary for words beyond FOLD_BYTES only."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(word_table(docs, ranks, most))
@@ -417,7 +418,6 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tup
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), A.binary_array(out, ends * 4), pa.ListArray.from_arrays(pa.array(tail, pa.int32()), texts), pa.ListArray.from_arrays(pa.array(tail, pa.int32()), rest)], ["doc_id", "ids", "tail", "long"])
 
     def filled(batches):
-        table = vocabulary.value
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             out = []
             for raw, tail, long in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
@@ -429,7 +429,7 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tup
                     flat = lists.flatten().to_numpy()
                     size, parts = np.diff(o), None
                     if any(long):
-                        parts = [merge_long(w, table) if w else flat[o[k] - o[0] : o[k + 1] - o[0]] for k, w in enumerate(long)]
+                        parts = [merge_long(w, vocabulary.value) if w else flat[o[k] - o[0] : o[k + 1] - o[0]] for k, w in enumerate(long)]
                         size, flat = np.array([len(x) for x in parts]), np.concatenate(parts)
                     width = np.ones(len(ids), np.int64)
                     width[hole] = size
@@ -442,24 +442,28 @@ def _encoded(docs: DataFrame, ranks: Ranks, most: int, then, schema: str) -> tup
 
     rows = _text(docs).mapInArrow(A.tidy(known), "doc_id long, ids binary, tail array<string>, long array<binary>")
     rows = rows.select("doc_id", "ids", F.transform("tail", ranks.fold).alias("tail"), "long")
-    return rows.mapInArrow(lambda batches: then(filled(batches), vocabulary.value), schema), [shared, vocabulary]
+    return rows.mapInArrow(A.tidy(lambda batches: then(filled(batches))), schema), [shared, vocabulary]
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     """Adds `bytes` to (doc_id, ids): the pieces of the ids, one after another. Null ids give null."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks.ranks)
-    return encoded.select("doc_id", "ids").mapInArrow(A.tidy(lambda batches: _decoded(batches, shared.value)), "doc_id long, ids binary, bytes binary")
+    shared = encoded.sparkSession.sparkContext.broadcast(_decoder(ranks.ranks))
+    return encoded.select("doc_id", "ids").mapInArrow(A.tidy(lambda batches: _decoded(batches, *shared.value)), "doc_id long, ids binary, bytes binary")
+
+
+def _decoder(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, data): the bytes of all tokens by id, and where those of each begin."""
+    table = sorted(ranks.items(), key=lambda x: x[1])
+    places = np.full(table[-1][1] + 2, 0, np.int64)
+    places[np.array([r for _, r in table]) + 1] = [len(t) for t, _ in table]
+    return np.cumsum(places), np.frombuffer(b"".join(t for t, _ in table), np.uint8)
 
 
 def _joined(places: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return data[A.ragged(places[ids], places[ids.astype(np.int64) + 1] - places[ids])]
 
 
-def _decoded(batches, ranks: dict[bytes, int]):
-    table = sorted(ranks.items(), key=lambda x: x[1])
-    places = np.full(table[-1][1] + 2, 0, np.int64)
-    places[np.array([r for _, r in table]) + 1] = [len(t) for t, _ in table]
-    places, data = np.cumsum(places), np.frombuffer(b"".join(t for t, _ in table), np.uint8)
+def _decoded(batches, places: np.ndarray, data: np.ndarray):
     for batch in batches:
         out, held, first = [], 0, 0
         for k in range(batch.num_rows):
@@ -478,8 +482,10 @@ def token_digests(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> Dat
     repeated rows stay as they are; other columns are ignored; an empty table gives an empty one.
     """
 
-    def digests(batches, vocabulary):
-        for batch in _decoded(batches, vocabulary):
+    decoder = docs.sparkSession.sparkContext.broadcast(_decoder(ranks.ranks))
+
+    def digests(batches):
+        for batch in _decoded(batches, *decoder.value):
             n, ids, text = [], [], []
             for raw, back in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n.append(len(raw) // 2)
@@ -489,7 +495,7 @@ def token_digests(docs: DataFrame, ranks: Ranks, most: int = TABLE_WORDS) -> Dat
 
     out, held = _encoded(docs, ranks, most, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     out = keep(out, "result")
-    for x in held:
+    for x in (*held, decoder):
         x.destroy()
     release(docs.sparkSession)
     return out

@@ -69,3 +69,10 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     give_back()
     spark._jvm.System.gc()
+
+
+def release_executors(spark: SparkSession) -> None:
+    """Executors give memory back that an earlier job's garbage holds: their heaps grow with it and shrink only when they are collected
+    as a whole. As many tasks as there are cores, so that each executor of an idle cluster gets some."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("append").save()

@@ -285,6 +285,21 @@ def test_bpe_of_tokens_that_merges_do_not_lead_to(spark):
     assert got == {i: enc.encode_ordinary(t or "") for i, t in rows}
 
 
+def test_bpe_workers_hold_the_vocabulary_for_long_words_only(spark, ranks):
+    import pyarrow as pa
+
+    def then(batches, *_):
+        from pyspark.core.broadcast import _broadcastRegistry
+
+        for batch in batches:
+            held = sum(isinstance(x.__dict__.get("_value"), dict) for x in _broadcastRegistry.values())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held] * batch.num_rows, pa.int64())], ["doc_id", "held"])
+
+    for text, held in (("some words once " * 20, 0), ("once" * 60, 1)):
+        rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert [r.held for r in bpe._encoded(rows, ranks, 100, then, "doc_id long, held long")[0].collect()] == [held]
+
+
 def test_bpe_tells_pairs_apart_in_the_fold(spark, ranks):
     """One literal has all pairs, at a place of its own each, and no other pair is taken for one of them: nothing is searched for."""
     plan = spark.range(1).select(ranks.fold(F.lit("word").substr(F.lit(1), F.col("id") + 4)).alias("ids"))

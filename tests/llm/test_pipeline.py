@@ -133,3 +133,11 @@ def test_run_of_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert not P.run(spark, str(tmp_path)).count()
+
+
+def test_executors_are_collected_as_a_whole_before_each_stage(spark, stages):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    dict(P.STAGES)["mixing"](spark, spark.createDataFrame(made(), SCHEMA), None)
+    assert full() > before  # a local master's driver is the executor
